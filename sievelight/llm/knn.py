@@ -1,10 +1,11 @@
 """Most similar vectors of every vector, by additive quantisation.
 
 A vector is encoded by beam search as a sum of codewords, one from each of several full-dimensional codebooks fitted to
-the residuals of the ones before; the norm of the sum and its cosine with the vector are stored beside the codes. A query
-is scored against codes through a table of its inner products with all codewords (one lookup per codebook), and what
-passes is reranked by exact cosine. The first codebook also deals the vectors to cells: each is a query in its nearest
-cell and can be found in its `spread` nearest. The number of cells follows the number of vectors, so that a cell keeps
+the residuals of the ones before; the norm of the sum and its inner product with the vector are stored beside the codes.
+A query is scored against codes through a table of its inner products with all codewords (one lookup per codebook), and
+what passes is reranked by exact cosine. The first codebook also deals the vectors to cells: each is a query in its
+nearest cell and can be found in its `spread` nearest. Inside a cell all vectors share that direction, so scores there
+(and the stored norm and product) are of the sum without the first codeword, which tells them apart. The number of cells follows the number of vectors, so that a cell keeps
 its size; a cell far larger than others is cut into tiles of queries by vectors, and no task holds a whole cell.
 
 Fitting takes a sample of at most `FIT_ROWS` vectors (8 for each cell if that is more, at most 8 * MOST_CELLS); all
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 BOOKS, WORDS, BEAM = 8, 256, 4
 FIT_ROWS, CELL_ROWS, LEAST_CELLS, MOST_CELLS, ROUNDS = 16_384, 512, 4, 4096, 5
 #: Cells in which a vector can be found; rows of a tile's side; slack of the scores from codes before the exact cosine.
-SPREAD, TILE, SLACK = 3, 4096, 0.1
+SPREAD, TILE, SLACK = 3, 4096, 0.06
 #: Of the scores from codes, the share of a tile that is reranked where no least cosine is asked for, and the least number.
 RERANK_SHARE, RERANK_LEAST = 0.05, 64
 
@@ -81,8 +82,8 @@ class Quantiser:
         top = np.argpartition(-score, spread - 1, axis=1)[:, :spread] if spread < score.shape[1] else np.tile(np.arange(spread), (len(x), 1))
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes by beam search, norms of the sums, and cosines of the sums with the vectors."""
+    def encode(self, x: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes by beam search; norms of the sums from codebook `skip` on, and inner products of the unit sums with the vectors."""
         n = len(x)
         codes, cost = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1), np.float32)
         for m, book in enumerate(self.books):
@@ -96,15 +97,16 @@ class Quantiser:
             parent, word = at // len(book), at % len(book)
             codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None].repeat(m, 2), 1), word[:, :, None]], 2)
         best = codes[np.arange(n), cost.argmin(1)]
-        sums = sum(book[best[:, m]] for m, book in enumerate(self.books))
+        sums = sum(book[best[:, m]] for m, book in enumerate(self.books) if m >= skip)
         norm = np.maximum(np.sqrt((sums * sums).sum(1)), 1e-9)
         return best.astype(np.uint16), norm.astype(np.float32), ((x * sums).sum(1) / norm).astype(np.float32)
 
-    def scores(self, x: np.ndarray, codes: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, skip: int = 0) -> np.ndarray:
         """Inner products of queries with the unit sums behind the codes, by table lookups."""
         out = np.zeros((len(x), len(codes)), np.float32)
         for m, book in enumerate(self.books):
-            out += np.take(x @ book.T, codes[:, m], axis=1)
+            if m >= skip:
+                out += np.take(x @ book.T, codes[:, m], axis=1)
         return out / norm
 
 
@@ -151,7 +153,7 @@ def _deal_cells(batches: Iterator[pa.RecordBatch], model: Quantiser, dim: int, s
                         at.append(i)
                         key.append((cell << 40) | (q << 20) | d)
                         role.append(r)
-            yield _rows(key, role, at, ids, x, *model.encode(x))
+            yield _rows(key, role, at, ids, x, *model.encode(x, 1))
 
 
 def _deal_blocks(batches: Iterator[pa.RecordBatch], model: Quantiser, dim: int, query_blocks: int, index_blocks: int) -> Iterator[pa.RecordBatch]:
@@ -193,13 +195,22 @@ def _search_tile(table: pa.Table, model: Quantiser, dim: int, k: int, least: flo
         return
     for begin in range(0, len(asks), 1024):
         q = asks[begin : begin + 1024]
-        score = model.scores(x[q], codes[d], norm[d])
         if least is not None:
-            a, b = np.nonzero(score >= least * fit[d] - SLACK)
+            passed = model.scores(x[q], codes[d], norm[d], 1) >= least * fit[d] - SLACK
+            rows, some = np.flatnonzero(passed.any(1)), np.flatnonzero(passed.any(0))
+            # what passes is compared in one product, what is kept again in double precision
+            near = x[q[rows]] @ x[d[some]].T
+            a, b = np.nonzero(passed[np.ix_(rows, some)] & (near >= least - 1e-4))
+            a, b = rows[a], some[b]
         else:
+            near = x[q] @ x[d].T
+            score = model.scores(x[q], codes[d], norm[d])
             take = min(len(d), max(RERANK_LEAST, int(RERANK_SHARE * len(d))) + 1)
             top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-            a, b = np.repeat(np.arange(len(q)), take), top.ravel()
+            exact = np.take_along_axis(near, top, 1)
+            few = min(take, k + 2)  # the query itself may be among them
+            best = np.argpartition(-exact, few - 1, axis=1)[:, :few]
+            a, b = np.repeat(np.arange(len(q)), few), np.take_along_axis(top, best, 1).ravel()
         other = q[a] != d[b]
         a, b = q[a[other]], d[b[other]]
         exact = np.concatenate([np.einsum("ij,ij->i", x[a[s : s + 50_000]], x[b[s : s + 50_000]], dtype=np.float64) for s in range(0, len(a), 50_000)] or [np.zeros(0)])
