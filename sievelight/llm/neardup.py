@@ -6,7 +6,8 @@ several repetitions 7 symbols stand at the 7 points of the binary projective pla
 point p where <v, p> = 1, 4 points each) make a covering code of radius 2: whichever 2 symbols differ, some mask keeps
 none of them, so classes whose symbols differ in at most 2 places collide in a table for certain. At a similarity of 0.7
 one repetition finds 69 % of pairs, `REPEATS` find 99.1 %; at 0.8 they find 99.98 %. Rows of a table carry a 128-bit
-fingerprint of 32 symbols that settles most collisions inside the join; what passes is compared exactly.
+fingerprint of 32 symbols that settles most collisions inside the join; 64 symbols settle most of the rest, and what
+passes is compared exactly, text by text.
 
 The work is in classes: pairs are between class representatives, records are members of a class. Records are only paired
 one by one where a caller asks for that (`record_pairs`).
@@ -30,14 +31,16 @@ from ..runtime import materialize
 from . import flat
 
 SHINGLE, THRESHOLD = 5, 0.7
-#: Repetitions of the 7 masks; symbols of the fingerprint; how many of them must agree (at similarity 0.7 fewer agree in 0.1 % of pairs).
-REPEATS, SYMBOLS, AGREE = 4, 32, 15
+#: Repetitions of the 7 masks; symbols of the fingerprints; how many must agree (at similarity 0.7 fewer agree in 0.2 and 0.1 % of pairs).
+REPEATS, SYMBOLS, AGREE, WIDE_SYMBOLS, WIDE_AGREE = 4, 32, 16, 64, 34
+#: Pairs whose class keys may be sent to every worker (16 MB); more are met in a shuffle.
+BROADCAST_PAIRS = 500_000
 POINTS = range(1, 8)
 MASKS = [[p - 1 for p in POINTS if (p & v).bit_count() % 2] for v in POINTS]
 BATCH_CHARS = 2_000_000
 _rng = np.random.default_rng(20)
-ODD = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FLIP = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+ODD = _rng.integers(0, 1 << 63, WIDE_SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+FLIP = _rng.integers(0, 1 << 63, WIDE_SYMBOLS, dtype=np.uint64)
 
 
 def normalise(text: str | None) -> str:
@@ -57,11 +60,11 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat.mix(h[flat.ranges(offsets[:-1], count)]), np.append(0, np.cumsum(count))
 
 
-def sketches(texts: list[str]) -> np.ndarray:
+def sketches(texts: list[str], symbols: int = SYMBOLS) -> np.ndarray:
     """One row of minhash symbols for each text."""
     h, offsets = shingles(texts)
-    out = np.empty((len(texts), SYMBOLS), np.uint64)
-    for k in range(SYMBOLS):
+    out = np.empty((len(texts), symbols), np.uint64)
+    for k in range(symbols):
         out[:, k] = np.minimum.reduceat((h ^ FLIP[k]) * ODD[k], offsets[:-1])
     return flat.mix(out)
 
@@ -80,12 +83,11 @@ def table_keys(sketch: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1)
 
 
-def fingerprints(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Four bits of each symbol in two 64-bit numbers."""
+def fingerprints(sketch: np.ndarray) -> list[np.ndarray]:
+    """Four bits of each symbol, 16 symbols in a 64-bit number."""
     nibble = sketch & np.uint64(15)
     shift = np.arange(16, dtype=np.uint64) * np.uint64(4)
-    half = [np.bitwise_or.reduce(nibble[:, a : a + 16] << shift, axis=1).view(np.int64) for a in (0, 16)]
-    return half[0], half[1]
+    return [np.bitwise_or.reduce(nibble[:, a : a + 16] << shift, axis=1).view(np.int64) for a in range(0, sketch.shape[1], 16)]
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -117,6 +119,14 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, cls, low, high)], ["key", "cls", "low", "high"])
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for a, b in flat.slices(np.array([len(t) for t in texts], np.int64), BATCH_CHARS):
+            marks = fingerprints(sketches(texts[a:b], WIDE_SYMBOLS))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in (0, 1)], *[pa.array(m) for m in marks]], ["field", "cls", *WIDE])
+
+
 def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column(3).to_pylist(), batch.column(4).to_pylist()
@@ -131,10 +141,13 @@ def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*[batch.column(k).take(rows) for k in range(3)], pa.array(share[keep])], ["field", "cls_a", "cls_b", "similarity"])
 
 
-def _agreeing() -> F.Column:
-    """How many of the symbols' four bits agree in two fingerprints."""
-    differ = [F.expr(f"bit_count(((a.{c} ^ b.{c}) | shiftrightunsigned(a.{c} ^ b.{c}, 1) | shiftrightunsigned(a.{c} ^ b.{c}, 2) | shiftrightunsigned(a.{c} ^ b.{c}, 3)) & {0x1111111111111111}L)") for c in ("low", "high")]
-    return F.lit(SYMBOLS) - differ[0] - differ[1]
+WIDE = [f"w{k}" for k in range(WIDE_SYMBOLS // 16)]
+
+
+def _agreeing(columns: list[str]) -> F.Column:
+    """In how many symbols the four bits of the fingerprints of a and b agree."""
+    fold = "bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & " + f"{0x1111111111111111}L)"
+    return F.expr(f"{16 * len(columns)} - " + " - ".join(fold.format(x=f"(a.{c} ^ b.{c})") for c in columns))
 
 
 class NearDuplicates:
@@ -150,11 +163,19 @@ class NearDuplicates:
         self.classes = materialize(texts.dropDuplicates(["field", "cls"]), "classes")
         tables = self.classes.mapInArrow(_tables, "key bigint, cls bigint, low bigint, high bigint")
         a, b = tables.alias("a"), tables.alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (_agreeing() >= AGREE))
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (_agreeing(["low", "high"]) >= AGREE))
         pairs = met.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-        one = self.classes.select("field", F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
-        two = self.classes.select(F.col("field").alias("field_b"), F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
-        whole = pairs.join(one, "cls_a").join(two, "cls_b").filter(F.col("field") == F.col("field_b")).select("field", "cls_a", "cls_b", "text_a", "text_b")
+        wide = self.classes.mapInArrow(_wide, "field string, cls bigint, " + ", ".join(f"{w} bigint" for w in WIDE))
+        a, b = wide.alias("a"), wide.alias("b")
+        close = pairs.join(a, F.col("cls_a") == F.col("a.cls")).join(b, F.col("cls_b") == F.col("b.cls"))
+        close = close.filter((F.col("a.field") == F.col("b.field")) & (_agreeing(WIDE) >= WIDE_AGREE)).select("a.field", "cls_a", "cls_b")
+        close = materialize(close, "close")
+        ends = close.select("field", F.explode(F.array("cls_a", "cls_b")).alias("cls"))
+        ends = F.broadcast(ends) if close.count() <= BROADCAST_PAIRS else ends.distinct()
+        texts = self.classes.join(ends, ["field", "cls"], "left_semi")
+        one = texts.select("field", F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
+        two = texts.select("field", F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
+        whole = close.join(one, ["field", "cls_a"]).join(two, ["field", "cls_b"]).select("field", "cls_a", "cls_b", "text_a", "text_b")
         self.links = whole.mapInArrow(lambda it: _compare(it, least), "field string, cls_a bigint, cls_b bigint, similarity double")
 
     def record_pairs(self) -> DataFrame:

@@ -2,7 +2,9 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
+from sievelight.llm import neardup
 from sievelight.llm.neardup import MASKS, NearDuplicates, normalise, sketches
 
 
@@ -38,7 +40,9 @@ def test_symbols_agree_as_often_as_similar():
     assert abs((s[0] == s[1]).mean() - share(a, b)) < 0.2
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_against_all_pairs(spark, monkeypatch, bound):
+    monkeypatch.setattr(neardup, "BROADCAST_PAIRS", bound)
     texts = make()
     rows = [("t", f"i{k:04d}", t, 0) for k, t in enumerate(texts)] + [("u", "i0000", texts[0], 0), ("u", "z", texts[0] + "!", 0), (None, "n", "abc", 0)]
     df = spark.createDataFrame(rows + rows[:30], "field string, id string, text string, cls int")
