@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this subpackage with QUERIES and, where SQL can express a query, SQL.
-MODULES = ["q_units", "q_duplicates", "q_ranking", "q_vectors", "q_tokens", "q_leakage"]
+MODULES = ["q_units", "q_duplicates", "q_ranking", "q_vectors", "q_tokens", "q_leakage", "q_pii"]
 
 
 def _all(name: str) -> dict:
