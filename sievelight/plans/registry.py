@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["corpus_queries"]
+MODULES = ["corpus_queries", "retrieval_queries", "stream_queries"]
 
 
 def _all(name: str) -> dict:
