@@ -98,9 +98,18 @@ def hash_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = C.HASH_
     return counts.join(norms, "id")
 
 
+def _counted(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(1)
+        n = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(n)), n)
+        counts = np.bincount(row * dim + lists.flatten().to_numpy(), minlength=len(n) * dim).astype(np.float32)
+        offsets = pa.array(np.arange(len(n) + 1) * dim, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(counts))], ["id", "vec"])
+
+
 def dense_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = C.HASH_DIM) -> DataFrame:
     """(id, vec): the hashing embedder as dense vectors; texts without tokens have none."""
     tokens = F.transform(T.index_tokens(F.col(text_col)), lambda t: T.hash_bucket(t, dim))
     rows = df.select(F.col(id_col).alias("id"), tokens.alias("b")).filter(F.size("b") > 0)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter("b", lambda x: x == k)).cast("float"))
-    return rows.select("id", counts.alias("vec"))
+    return rows.mapInArrow(lambda it: _counted(it, dim), f"id {df.schema[id_col].dataType.simpleString()}, vec array<float>")

@@ -59,16 +59,15 @@ def fit_budget(sentences: DataFrame, types: DataFrame) -> DataFrame:
     ranked = rows.withColumn("__rn", F.row_number().over(W.partitionBy("query_id", "token_count").orderBy(*order)))
     can = ranked.filter((F.col("token_count") <= F.col("budget")) & ((F.col("token_count") <= 0) | (F.col("__rn") * F.col("token_count") <= F.col("budget"))))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["is_bridge", "score", "sentence_id"], ascending=[False, False, True])
-        left, taken = int(g.budget.iloc[0]) if len(g) else 0, []
-        for sid, n in zip(g.sentence_id, g.token_count):
-            if n <= left:
-                taken.append(sid)
-                left -= n
-        return pd.DataFrame({"query_id": [g.query_id.iloc[0]] * len(taken), "sentence_id": taken})
-
-    picked = can.select("query_id", "sentence_id", "token_count", "score", "is_bridge", "budget").groupBy("query_id").applyInPandas(fold, "query_id string, sentence_id string")
+    # the fold stays in the JVM: an array in the order of the pass, with what is left and what was taken as its state
+    item = F.struct((~F.col("is_bridge")).alias("b"), (-F.col("score")).alias("s"), "sentence_id", "token_count")
+    lists = can.groupBy("query_id").agg(F.max("budget").alias("budget"), F.array_sort(F.collect_list(item)).alias("items"))
+    state = F.struct(F.col("budget").cast("bigint").alias("left"), F.array().cast("array<string>").alias("taken"))
+
+    def take(acc: Column, x: Column) -> Column:
+        return F.when(x["token_count"] <= acc["left"], F.struct((acc["left"] - x["token_count"]).alias("left"), F.array_append(acc["taken"], x["sentence_id"]).alias("taken"))).otherwise(acc)
+
+    picked = lists.select("query_id", F.explode(F.aggregate("items", state, take, lambda acc: acc["taken"])).alias("sentence_id"))
     return rows.join(picked.withColumn("selected", F.lit(True)), ["query_id", "sentence_id"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
@@ -82,18 +81,17 @@ def budget_stats(filled: DataFrame) -> DataFrame:
     return out.withColumn("tokens_remaining", (F.col("budget") - F.col("tokens_used")).cast("bigint"))
 
 
-def cover_mask(text: Column, terms: Column) -> Column:
-    """One character for each term of the query: 1 where the sentence covers it."""
-    tokens = T.term_tokens(text)
-    return F.array_join(F.transform(terms, lambda t: F.when(T.covers(tokens, T.term_tokens(t)), "1").otherwise("0")), "")
-
-
 def with_masks(sentences: DataFrame, queries: DataFrame) -> DataFrame:
-    """Adds emask and kmask (cover of the query's distinct entities and keywords) and the sorted distinct terms."""
+    """Adds emask and kmask, one character for each distinct entity and keyword of the query (1 where the sentence covers it), and the sorted terms.
+
+    Token sets are made before the join, once for a sentence and once for a term of a query.
+    """
     none = F.array().cast("array<string>")
     terms = queries.select("query_id", F.array_sort(F.array_distinct(F.coalesce("entities", none))).alias("entities"), F.array_sort(F.array_distinct(F.coalesce("keywords", none))).alias("keywords"))
-    rows = sentences.join(terms, "query_id")
-    return rows.withColumn("emask", cover_mask(F.col("text"), F.col("entities"))).withColumn("kmask", cover_mask(F.col("text"), F.col("keywords")))
+    terms = terms.select("*", *[F.transform(k, T.term_tokens).alias(f"__{k}") for k in ("entities", "keywords")])
+    rows = sentences.withColumn("__tokens", T.term_tokens(F.col("text"))).join(terms, "query_id")
+    mask = lambda k: F.array_join(F.transform(f"__{k}", lambda t: F.when(T.covers(F.col("__tokens"), t), "1").otherwise("0")), "")
+    return rows.withColumn("emask", mask("entities")).withColumn("kmask", mask("keywords")).drop("__tokens", "__entities", "__keywords")
 
 
 def _bits(mask: str) -> int:
@@ -148,16 +146,20 @@ def _union(rows: list[dict]) -> int:
 
 
 def swap_for_coverage(masked: DataFrame) -> DataFrame:
-    """(query_id, sentence_id, selected, swaps) after the coverage swaps, for the rows that took part.
+    """(query_id, sentence_id, selected, swaps) after the coverage swaps, for the rows that took part; others keep their place.
 
     masked has selected, is_bridge, score, n_chars, doc_id, position and the masks. Each swap covers at least one term
     more, so there are at most as many swaps as terms, and of the candidates with one mask only the first that many in
     the order of the swaps can come in: the rest are cut off first. Candidates that cover nothing never come in.
     """
     n_terms = F.size("entities") + F.size("keywords")
+    # only queries whose candidates cover a term that the selection lacks can change at all (beyond 62 terms all are tried)
+    bits = F.when(n_terms <= 62, F.conv(F.concat("emask", "kmask"), 2, 10).cast("bigint"))
+    have = masked.select("query_id", "selected", bits.alias("bits")).groupBy("query_id").agg(F.bit_or("bits").alias("all"), F.bit_or(F.when(F.col("selected"), F.col("bits"))).alias("own"))
+    open_ = have.filter(F.col("all").isNull() | (F.col("all").bitwiseAND(F.bitwise_not(F.coalesce("own", F.lit(0)))) != 0)).select("query_id")
     order = [F.col("is_bridge").desc(), F.col("score").desc(), "n_chars", "doc_id", "position", "sentence_id"]
     rank = F.row_number().over(W.partitionBy("query_id", "selected", "emask", "kmask").orderBy(*order))
-    some = masked.withColumn("__rn", rank).filter(F.col("selected") | (F.concat("emask", "kmask").contains("1") & (F.col("__rn") <= n_terms))).drop("__rn")
+    some = masked.join(open_, "query_id", "left_semi").withColumn("__rn", rank).filter(F.col("selected") | (F.concat("emask", "kmask").contains("1") & (F.col("__rn") <= n_terms))).drop("__rn")
     columns = ["query_id", "sentence_id", "selected", "is_bridge", "score", "n_chars", "doc_id", "position", "emask", "kmask", "entities", "keywords"]
     return some.select(*columns).groupBy("query_id").applyInPandas(_swaps, "query_id string, sentence_id string, selected boolean, swaps int")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as T
 from ..operators import analyze, dense, fusion, graph, score, segment, select, sparse
-from ..runtime import table
+from ..runtime import materialize, table
 from . import sqltext as S
 
 #: Literal questions whose results are known, beside those of the tables.
@@ -242,7 +242,8 @@ def budget_stats(spark, sf):
 
 
 def masked(spark: SparkSession, sf: str) -> DataFrame:
-    return select.with_masks(filled(spark, sf), table(spark, sf, "queries"))
+    """The filled budget with cover masks, written once: every later step reads it several times."""
+    return materialize(select.with_masks(filled(spark, sf), table(spark, sf, "queries")).drop("text"), "masked")
 
 
 def missing_terms(spark, sf):
@@ -257,14 +258,14 @@ def swap_loop(spark, sf):
     return m.select("query_id", "sentence_id", "selected").join(after, ["query_id", "sentence_id"]).filter("selected <> after").select("query_id", "sentence_id", "after", "swaps")
 
 
-def swapped(spark: SparkSession, sf: str) -> DataFrame:
-    m = masked(spark, sf)
+def swapped(m: DataFrame) -> DataFrame:
     after = select.swap_for_coverage(m).select("query_id", "sentence_id", F.col("selected").alias("after"))
     return m.join(after, ["query_id", "sentence_id"], "left").withColumn("selected", F.coalesce("after", "selected")).drop("after")
 
 
 def diversity_stats(spark, sf):
-    before, after = select.coverage(masked(spark, sf)), select.coverage(swapped(spark, sf))
+    m = masked(spark, sf)
+    before, after = select.coverage(m), select.coverage(swapped(m))
     b = before.select("query_id", (F.col("covered_entities") + F.col("covered_keywords")).alias("coverage_before"))
     ratio = lambda k: F.when(F.col(f"n_{k}") > 0, F.round(F.col(f"covered_{k}") / F.col(f"n_{k}"), 6)).otherwise(1.0)
     out = after.join(b, "query_id").withColumn("coverage_after", F.col("covered_entities") + F.col("covered_keywords"))
@@ -273,7 +274,7 @@ def diversity_stats(spark, sf):
 
 
 def sufficiency(spark, sf):
-    return select.expand(swapped(spark, sf), complexities(spark, sf)).withColumn("added", F.array_join("added", "|"))
+    return select.expand(swapped(masked(spark, sf)), complexities(spark, sf)).withColumn("added", F.array_join("added", "|"))
 
 
 def full_pipeline(spark, sf):
