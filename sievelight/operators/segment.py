@@ -27,24 +27,30 @@ def verdict(sentence: Column, least: int = C.SENTENCE_TOKENS[0], most: int = C.S
     return F.when(T.is_fragment(sentence), "fragment").when(n < least, "short").when(n > most, "long").otherwise("keep")
 
 
-def mentions(sentence: Column, entities: Column, keywords: Column) -> Column:
-    """Whether any entity occurs as a part of the text, or a keyword equals a normal form of one of its words; case does not matter."""
-    low = F.lower(sentence)
-    none = F.array().cast("array<string>")
-    by_entity = F.exists(F.coalesce(entities, none), lambda e: (e != "") & low.contains(F.lower(e)))
-    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1))
-    return by_entity | F.arrays_overlap(F.coalesce(keywords, none), F.transform(words, T.lemma))
+NONE = "cast(array() as array<string>)"
 
 
-def segment(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def lemmas(sentence: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.lower(sentence), F.lit("([a-z0-9]+)"), F.lit(1)), T.lemma)
+
+
+def mentions(low: Column, forms: Column, entities: Column, keywords: Column) -> Column:
+    """Whether any entity occurs as a part of the lower-cased text, or a keyword equals one of its words' normal forms."""
+    by_entity = F.exists(F.coalesce(entities, F.expr(NONE)), lambda e: (e != "") & low.contains(F.lower(e)))
+    return by_entity | F.arrays_overlap(F.coalesce(keywords, F.expr(NONE)), forms)
+
+
+def segment(hits: DataFrame, chunks: DataFrame, queries: DataFrame, signals: dict[str, Column] | None = None) -> DataFrame:
     """Sentence objects of hits (query_id, chunk_idx, rrf_rank, rrf_score, bm25_score, faiss_score, doc_id, dataset, title, year).
 
     chunks is (chunk_idx, chunk_text), each split once however many queries hit it; queries has entities and keywords.
+    signals are further columns made of `sentence`. All that depends on the sentence alone is made before the join.
     """
     kept = split_chunks(chunks, "chunk_idx", "chunk_text").filter(verdict(F.col("sentence")) == "keep")
+    kept = kept.select("*", T.word_count(F.col("sentence")).alias("token_count"), F.lower("sentence").alias("__low"), lemmas(F.col("sentence")).alias("__forms"), *[c.alias(k) for k, c in (signals or {}).items()])
     rows = hits.join(kept, "chunk_idx").join(queries.select("query_id", "entities", "keywords"), "query_id")
     return rows.select(
         "query_id", F.concat_ws(":", "dataset", "doc_id", F.col("chunk_idx").cast("string"), F.col("position").cast("string")).alias("sentence_id"), F.col("sentence").alias("text"), "doc_id", "dataset",
         "title", "position", F.col("position").alias("sent_idx"), F.col("rrf_rank").alias("retrieval_rank"), F.col("chunk_idx").alias("chunk_id"), "year", "bm25_score", "faiss_score",
-        F.col("rrf_score").alias("retrieval_score"), mentions(F.col("sentence"), F.col("entities"), F.col("keywords")).alias("contains_query_entity"), T.word_count(F.col("sentence")).alias("token_count"),
+        F.col("rrf_score").alias("retrieval_score"), mentions(F.col("__low"), F.col("__forms"), F.col("entities"), F.col("keywords")).alias("contains_query_entity"), "token_count", *(signals or {}),
     )

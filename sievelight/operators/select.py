@@ -6,7 +6,10 @@ Spark prunes early, so that the folds in Python see a bounded number of rows. Th
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,13 +97,34 @@ def with_masks(sentences: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.withColumn("emask", mask("entities")).withColumn("kmask", mask("keywords")).drop("__tokens", "__entities", "__keywords")
 
 
+def _by_query(batches: Iterator[pa.RecordBatch], fold: Callable[[list[dict]], list[dict]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Applies a fold to the rows of each query; batches come in the order of query_id, the last query of one may go on in the next."""
+    held: list[dict] = []
+    for batch in batches:
+        groups = [list(group) for _, group in groupby([*held, *batch.to_pylist()], key=lambda r: r["query_id"])]
+        held = groups.pop() if groups else []
+        done = [r for g in groups for r in fold(g)]
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema)
+    if held:
+        yield pa.RecordBatch.from_pylist(fold(held), schema)
+
+
+def fold_queries(df: DataFrame, fold: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """Rows of a query (a bounded number) to result rows; one shuffle by query, many queries in a task."""
+    arrow = pa.schema([(f.split()[0], _ARROW[f.split()[1]]) for f in schema.split(", ")])
+    return df.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(lambda it: _by_query(it, fold, arrow), schema)
+
+
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+
+
 def _bits(mask: str) -> int:
     return int(mask, 2) if mask else 0
 
 
-def _swaps(g: pd.DataFrame) -> pd.DataFrame:
+def _swaps(rows: list[dict]) -> list[dict]:
     """Best strictly improving swap, again and again."""
-    rows = g.to_dict("records")
     for r in rows:
         r["bits"] = _bits(r["emask"] + r["kmask"])
     chosen = [r for r in rows if r["selected"]]
@@ -131,7 +155,7 @@ def _swaps(g: pd.DataFrame) -> pd.DataFrame:
         rest = [r for r in rest if r is not c] + [out]
         swaps += 1
     ids = {r["sentence_id"] for r in chosen}
-    return pd.DataFrame({"query_id": g.query_id, "sentence_id": g.sentence_id, "selected": [s in ids for s in g.sentence_id], "swaps": swaps})
+    return [{"query_id": r["query_id"], "sentence_id": r["sentence_id"], "selected": r["sentence_id"] in ids, "swaps": swaps} for r in rows]
 
 
 def _covered(r: dict) -> list[str]:
@@ -161,7 +185,7 @@ def swap_for_coverage(masked: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id", "selected", "emask", "kmask").orderBy(*order))
     some = masked.join(open_, "query_id", "left_semi").withColumn("__rn", rank).filter(F.col("selected") | (F.concat("emask", "kmask").contains("1") & (F.col("__rn") <= n_terms))).drop("__rn")
     columns = ["query_id", "sentence_id", "selected", "is_bridge", "score", "n_chars", "doc_id", "position", "emask", "kmask", "entities", "keywords"]
-    return some.select(*columns).groupBy("query_id").applyInPandas(_swaps, "query_id string, sentence_id string, selected boolean, swaps int")
+    return fold_queries(some.select(*columns), _swaps, "query_id string, sentence_id string, selected boolean, swaps int")
 
 
 def coverage(masked: DataFrame, selected_only: bool = True) -> DataFrame:
@@ -185,8 +209,7 @@ def required_evidence(query_type: Column, complexity: Column) -> Column:
     return base + F.coalesce(*[F.when(complexity == k, F.lit(v)) for k, v in C.COMPLEXITY_BUMP.items()], F.lit(0))
 
 
-def _expand(g: pd.DataFrame) -> pd.DataFrame:
-    rows = g.to_dict("records")
+def _expand(rows: list[dict]) -> list[dict]:
     head = rows[0]
     chosen, rest = [r for r in rows if r["selected"]], [r for r in rows if not r["selected"]]
     every = [*head["entities"], *head["keywords"]]
@@ -212,10 +235,10 @@ def _expand(g: pd.DataFrame) -> pd.DataFrame:
         missing_k -= set(_covered(best))
         bridge = bridge or best["is_bridge"]
     complete = not missing_e and not missing_k
-    return pd.DataFrame([{
+    return [{
         "query_id": head["query_id"], "sufficient": complete and count >= head["required"] and bridge, "coverage_complete": complete, "minimum_met": count >= head["required"], "bridge_met": bridge,
         "required": head["required"], "n_selected": count, "n_added": len(added), "added": added, "stopped": reason, "n_terms": len(every),
-    }])
+    }]
 
 
 EXPANDED = "query_id string, sufficient boolean, coverage_complete boolean, minimum_met boolean, bridge_met boolean, required int, n_selected int, n_added int, added array<string>, stopped string, n_terms int"
@@ -234,4 +257,4 @@ def expand(masked: DataFrame, queries: DataFrame) -> DataFrame:
     some = masked.withColumn("__rn", rank).filter(F.col("__rn") <= F.when(F.col("selected"), 1).otherwise(most)).drop("__rn", "query_type")
     q = queries.select("query_id", F.coalesce("query_type", F.lit("")).alias("query_type"), required_evidence(F.col("query_type"), F.col("complexity")).alias("required"))
     columns = ["query_id", "sentence_id", "selected", "is_bridge", "score", "n_chars", "doc_id", "position", "emask", "kmask", "entities", "keywords", "query_type", "required", "n_selected"]
-    return some.join(q, "query_id").join(sizes, "query_id").select(*columns).groupBy("query_id").applyInPandas(_expand, EXPANDED)
+    return some.join(q, "query_id").join(sizes, "query_id").select(*columns).transform(lambda d: fold_queries(d, _expand, EXPANDED))

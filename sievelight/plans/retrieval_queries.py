@@ -286,14 +286,14 @@ def full_pipeline(spark, sf):
     near = near.filter("cosine > 0").select(F.col("id").alias("query_id"), F.col("other").cast("bigint").alias("id"), F.col("cosine").alias("score"), "rank")
     fused = fusion.fuse(found, near, q).withColumnRenamed("id", "chunk_idx")
     meta = table(spark, sf, "retrieved_chunks").groupBy("chunk_idx").agg(F.min("doc_id").alias("doc_id"), F.min("dataset").alias("dataset"), F.min("title").alias("title"), F.min("year").alias("year"))
-    rows = segment.segment(fused.join(meta, "chunk_idx"), texts, q).join(q.select("query_id", "query", "query_type"), "query_id")
-    t = F.col("text")
-    signals = [F.lit(0.0) + F.coalesce("faiss_score", F.lit(0.0)), score.evidence(t), T.evidentiality(t), score.density(t), score.temporal(F.col("query"), F.col("year"))]
-    rows = rows.withColumn("score", score.combined(F.col("query_type"), signals)).withColumn("is_bridge", F.col("contains_query_entity"))
+    own = F.col("sentence")
+    signals = {"evidence": score.evidence(own), "evidential": T.evidentiality(own), "density": score.density(own), "digest": F.md5(F.lower(own))}
+    rows = segment.segment(fused.join(meta, "chunk_idx"), texts, q, signals).join(q.select("query_id", "query", "query_type"), "query_id")
+    five = [F.coalesce("faiss_score", F.lit(0.0)), F.col("evidence"), F.col("evidential"), F.col("density"), score.temporal(F.col("query"), F.col("year"))]
+    rows = rows.withColumn("score", score.combined(F.col("query_type"), five)).withColumn("is_bridge", F.col("contains_query_entity"))
     # equal sentences of a query count once, the best-scored first
-    key = F.md5(F.lower(t))
-    rows = rows.groupBy("query_id", key.alias("digest")).agg(F.min_by(F.struct("sentence_id", "text", "token_count", "score", "is_bridge", "doc_id", "position"), F.struct((-F.col("score")).alias("s"), "sentence_id")).alias("r")).select("query_id", "r.*")
-    out = select.fit_budget(rows, q)
+    rows = rows.groupBy("query_id", "digest").agg(F.min_by(F.struct("sentence_id", "text", "token_count", "score", "is_bridge", "doc_id", "position"), F.struct((-F.col("score")).alias("s"), "sentence_id")).alias("r")).select("query_id", "r.*")
+    out = select.fit_budget(materialize(rows, "scored"), q)
     return out.filter("selected").select("query_id", "sentence_id", "text", "token_count", F.round("score", 4).alias("score"), "is_bridge")
 
 
