@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
-from ..operators import analyze, dense, fusion, graph, score, segment, select, sparse
+from ..operators import analyze, control, dense, fusion, graph, score, segment, select, sparse
 from ..runtime import materialize, table
 from . import sqltext as S
 
@@ -131,6 +131,23 @@ def dense_topk(spark, sf):
     return out.select(F.col("id").alias("vec_id"), F.col("other").alias("other_id"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def dense_shard_retrieve(spark, sf):
+    """Dense hits with the shard that holds each, in search order."""
+    from .corpus_queries import batched
+
+    rows = batched(spark, sf)
+    shards = control.shard_of(rows, control.manifest(rows)).withColumnRenamed("vec_id", "other_id")
+    return dense_topk(spark, sf).join(shards, "other_id").select("vec_id", "rank", "other_id", "shard")
+
+
+def layer_stats(spark, sf):
+    """Figures of the budget step in long form: (query_id, layer, metric, value)."""
+    stats = budget_stats(spark, sf)
+    names = ["budget", "tokens_used", "tokens_remaining", "n_input", "n_selected"]
+    long = stats.unpivot(["query_id"], [F.col(c).cast("bigint").alias(c) for c in names], "metric", "value")
+    return long.select("query_id", F.lit("budget").alias("layer"), "metric", "value")
+
+
 def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The delivered scores of either side as rankings; null, NaN and 0.0 mean not retrieved."""
     from pyspark.sql import Window as W
@@ -300,7 +317,7 @@ def full_pipeline(spark, sf):
 QUERIES = {f.__name__: f for f in [
     query_info, query_type, query_negation, query_keywords, query_entities, query_complexity, required_evidence, sentence_clean, plural_normalise, evidentiality, recency, segment_sentences, segment_drop_counts,
     sentence_objects, term_coverage, bm25_topk, dense_topk, hybrid_rrf, hash_embed, hash_similarity, evidence_density, multi_signal_score, cosine_pairs, greedy_dedup, concepts, bridge_nodes, budget_fill, budget_stats,
-    missing_terms, swap_loop, diversity_stats, sufficiency, full_pipeline,
+    missing_terms, swap_loop, diversity_stats, sufficiency, full_pipeline, dense_shard_retrieve, layer_stats,
 ]}
 
 _Q = "q AS (SELECT query_id, query FROM queries UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('f{i:02d}', '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(FIXTURES)) + ") AS v(query_id, query))"
@@ -408,3 +425,7 @@ c AS (SELECT u.query_id, u.kind, u.term, coalesce(max(CASE WHEN len(tt) > 0 AND
 SELECT g.query_id, coalesce(string_agg(term, '|' ORDER BY term) FILTER (WHERE kind = 'e' AND cov = 0), '') AS missing_entities, coalesce(string_agg(term, '|' ORDER BY term) FILTER (WHERE kind = 'k' AND cov = 0), '') AS missing_keywords
 FROM (SELECT DISTINCT query_id FROM r) g LEFT JOIN c ON c.query_id = g.query_id GROUP BY 1""",
 }
+
+SQL["dense_shard_retrieve"] = f"WITH top AS ({SQL['dense_topk']}), pos AS (SELECT vec_id AS other_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 128 AS INT) AS shard FROM embeddings) SELECT vec_id, rank, other_id, shard FROM top JOIN pos USING (other_id)"
+SQL["layer_stats"] = f"""WITH s AS ({SQL['budget_stats']}) SELECT query_id, 'budget' AS layer, metric, value FROM (SELECT query_id, CAST(budget AS BIGINT) AS budget, tokens_used, tokens_remaining, n_input, n_selected FROM s)
+UNPIVOT (value FOR metric IN (budget, tokens_used, tokens_remaining, n_input, n_selected))"""
