@@ -1,10 +1,13 @@
-"""Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation texts leaking into training text: n-gram seeds, then Smith-Waterman alignment.
 
-Words are maximal runs of letters and digits, lower-cased. The n-grams of all passages and questions are counted over
-the whole corpus; of every stretch of `window` passage words (and of every question) the rarest n-gram becomes its seed,
-so that no text can hold the stretch without holding a seed. Documents that hold a seed are aligned with its item by a
-local Smith-Waterman alignment over words, which scores paraphrased and edited copies; the longest run without a gap or
-change is reported beside it.
+Words are maximal runs of letters and digits, lower-cased. Every n-gram of a passage or question is a seed: a document
+that shares one with an item is aligned with it by a local Smith-Waterman alignment over words, which scores paraphrased
+and edited copies; the longest run without a gap or change is reported beside it. Where only a least share of matched
+words is asked for, pairs whose longest common subsequence is shorter are not aligned; no alignment matches more words.
+
+Where only exact copies are asked for, the n-grams are counted over the whole corpus, and of every stretch of `window`
+passage words (and of every question) the rarest is its seed: no text can hold the stretch without it. An edited copy
+may well lack that n-gram, so these seeds serve exact copies alone.
 
 The evaluation side is sent to the workers as sorted arrays while it has at most `BROADCAST_WORDS` words; beyond that
 its n-grams and those of the corpus meet in a join. Both give the same result.
@@ -73,12 +76,16 @@ def text_grams(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Item:
-    """Words of the passage and of the question of one evaluation item."""
+    """Words of the passage and of the question of one evaluation item; the places of each passage word as bits."""
 
-    __slots__ = ("item_id", "passage", "question")
+    __slots__ = ("item_id", "passage", "question", "places", "asked")
 
     def __init__(self, item_id, passage: np.ndarray, question: np.ndarray):
         self.item_id, self.passage, self.question = item_id, passage, question
+        self.places: dict[int, int] = {}
+        for k, word in enumerate(passage.tolist()):
+            self.places[word] = self.places.get(word, 0) | 1 << k
+        self.asked = frozenset(question.tolist())
 
 
 def read_items(rows: list, window: int = WINDOW) -> list[Item]:
@@ -120,8 +127,21 @@ def hits(words: np.ndarray, offsets: np.ndarray, seeds: dict[int, np.ndarray]) -
     return np.concatenate(at), np.concatenate(keys)
 
 
+def item_seeds(items: list[Item], n: int) -> dict[int, list[int]]:
+    """Seed hash -> numbers of the items that hold it: every n-gram of the passage and of the question."""
+    out: dict[int, set[int]] = {}
+    for number, item in enumerate(items):
+        for words in (item.passage, item.question):
+            for seed in text_grams(words, n).tolist():
+                out.setdefault(seed, set()).add(number)
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def rare_seeds(items: list[Item], counts: dict[int, int], n: int, window: int) -> dict[int, list[int]]:
-    """Seed hash -> numbers of the items it stands for: the rarest n-gram of every window of the passage and of the question."""
+    """Seed hash -> numbers of the items it stands for: the rarest n-gram of every window of the passage and of the question.
+
+    Enough for exact copies of a window or question only.
+    """
     out: dict[int, set[int]] = {}
     for number, item in enumerate(items):
         if len(item.passage) >= window:
@@ -147,20 +167,20 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         return 0, 0, 0
     m = len(b)
     slope = np.arange(m + 1) * -GAP
-    before = np.zeros(m + 1, np.int64)
     rows = np.zeros((len(a) + 1, m + 1), np.int64)
-    run_before = np.zeros(m + 1, np.int64)
-    longest = 0
+    same = a[:, None] == b
+    step = np.where(same, MATCH, MISMATCH)
+    run, most = np.zeros(m + 1, np.int64), np.zeros(m, np.int64)
     for i in range(len(a)):
-        same = b == a[i]
-        now = np.zeros(m + 1, np.int64)
-        now[1:] = np.maximum(0, np.maximum(before[:-1] + np.where(same, MATCH, MISMATCH), before[1:] + GAP))
-        now = np.maximum(now, np.maximum.accumulate(now + slope) - slope)
-        rows[i + 1] = now
-        run = np.zeros(m + 1, np.int64)
-        run[1:] = np.where(same, run_before[:-1] + 1, 0)
-        longest = max(longest, int(run.max()))
-        before, run_before = now, run
+        before, now = rows[i], rows[i + 1]
+        np.maximum(before[:-1] + step[i], before[1:] + GAP, out=now[1:])
+        np.maximum(now, 0, out=now)
+        now += slope
+        np.maximum.accumulate(now, out=now)
+        now -= slope
+        run[1:] = (run[:-1] + 1) * same[i]
+        np.maximum(most, run[1:], out=most)
+    longest = int(most.max())
     i, j = np.unravel_index(int(rows.argmax()), rows.shape)
     score, matched = int(rows[i, j]), 0
     while i and j and rows[i, j]:
@@ -175,16 +195,52 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return score, matched, longest
 
 
+def common(words: list[int], item: Item) -> int:
+    """Length of the longest common subsequence of the words and the passage, in the bits of one number."""
+    full = (1 << len(item.passage)) - 1
+    open_, places = full, item.places
+    for at in filter(None, map(places.get, words)):
+        same = open_ & at
+        open_ = ((open_ + same) | (open_ - same)) & full
+    return len(item.passage) - open_.bit_count()
+
+
+def stretches(places: list[int], item: Item) -> list[tuple[int, int]]:
+    """Begin and end of the words that an alignment sees: the surroundings of the seeds, joined where they are near each other."""
+    reach = max(len(item.passage), len(item.question)) + MARGIN
+    out: list[tuple[int, int]] = []
+    last = None
+    for place in sorted(places):
+        begin = out.pop()[0] if last is not None and place - last <= reach else max(0, place - reach)
+        out.append((begin, place + reach))
+        last = place
+    return out
+
+
+def holds(words: list[int], part: list[int]) -> bool:
+    return any(words[k : k + len(part)] == part for k, word in enumerate(words) if word == part[0])
+
+
+def may_match(words: list[int], known: set[int], places: list[int], item: Item, least: float) -> bool:
+    """Whether an alignment could match the least share of the passage, or the text hold the question; False is certain.
+
+    known is the set of words. The words the passage shares with the whole text are counted first.
+    """
+    if item.asked and item.asked <= known and holds(words, item.question.tolist()):
+        return True
+    size = max(1, len(item.passage))
+    if sum(item.places[word].bit_count() for word in item.places.keys() & known) / size < least:
+        return False
+    return any(common(words[a:b], item) / size >= least for a, b in stretches(places, item))
+
+
 def compare(words: np.ndarray, places: np.ndarray, item: Item) -> tuple[int, float, int, bool]:
     """(score, share of the passage's words matched, longest exact run in the passage, whole question held) near the seeds."""
-    reach = max(len(item.passage), len(item.question)) + MARGIN
     best = (0, 0.0, 0)
-    begins = np.sort(places)
-    groups = np.split(begins, np.flatnonzero(np.diff(begins) > reach) + 1)
     question = False
     q = item.question
-    for g in groups:
-        stretch = words[max(0, int(g[0]) - reach) : int(g[-1]) + reach]
+    for begin, end in stretches(places.tolist(), item):
+        stretch = words[begin:end]
         score, matched, run = align(item.passage, stretch)
         best = max(best, (score, matched / max(1, len(item.passage)), run))
         if len(q) and len(stretch) >= len(q) and not question:
@@ -209,7 +265,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch], seeds: dict[int, np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["seed", "n"])
 
 
-def _align_batches(batches: Iterator[pa.RecordBatch], items: list[Item], rare: dict[int, list[int]], sizes: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _align_batches(batches: Iterator[pa.RecordBatch], items: list[Item], owners: dict[int, list[int]], sizes: dict[int, np.ndarray], least: float) -> Iterator[pa.RecordBatch]:
     names = ["id", "item_id", "score", "matched", "longest_run", "question"]
     for batch in batches:
         out: list[list] = [[] for _ in names[1:]]
@@ -221,9 +277,16 @@ def _align_batches(batches: Iterator[pa.RecordBatch], items: list[Item], rare: d
             text = np.searchsorted(offsets, at, side="right") - 1
             pairs: dict[tuple[int, int], list[int]] = {}
             for t, place, key in zip(text.tolist(), at.tolist(), keys.tolist()):
-                for number in rare[key]:
+                for number in owners[key]:
                     pairs.setdefault((t, number), []).append(place - int(offsets[t]))
-            for (t, number), places in pairs.items():
+            last = -1
+            for (t, number), places in sorted(pairs.items()):
+                if least > 0:
+                    if t != last:
+                        last, own = t, words[offsets[t] : offsets[t + 1]].tolist()
+                        known = set(own)
+                    if not may_match(own, known, places, items[number], least):
+                        continue
                 result = compare(words[offsets[t] : offsets[t + 1]], np.array(places), items[number])
                 rows.append(a + t)
                 for column, value in zip(out, (items[number].item_id, *result)):
@@ -262,32 +325,44 @@ def _pair_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Reco
 RESULT = "item_id bigint, score bigint, matched double, longest_run bigint, question boolean"
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SEED_WORDS, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SEED_WORDS, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, least: float = 0.0, exact: bool = False) -> DataFrame:
     """(id, item_id, score, matched, longest_run, question) of every document and item that share a seed.
 
     items has item_id, passage and question. score and matched (share of the passage's words) are those of the best
     local alignment, longest_run counts equal consecutive words, question tells that the whole question is held.
+    least keeps the rows with that share of matched words, or the question; exact those with a run of `window` words,
+    or the question, and without score and matched, which only all seeds tell.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     held = items.select(F.col("item_id").cast("bigint"), F.col("passage").cast("string"), F.col("question").cast("string"))
     chars = held.agg(F.sum(F.coalesce(F.length("passage"), F.lit(0)) + F.coalesce(F.length("question"), F.lit(0)))).first()[0] or 0
     if chars > 6 * broadcast_words:
-        return _joined(src, held, kind, n, window, id_col)
+        return _wanted(_joined(src, held, kind, n), least, exact, window).withColumnRenamed("id", id_col)
     read = read_items([tuple(r) for r in held.collect()])
     seeds = all_seeds(read, n)
+    if not exact:
+        owners = item_seeds(read, n)
+        out = src.mapInArrow(lambda it: _align_batches(it, read, owners, seeds, least), f"id {kind}, {RESULT}")
+        return _wanted(out.dropDuplicates(["id", "item_id"]), least, exact, window).withColumnRenamed("id", id_col)
     counted = src.select("text").mapInArrow(lambda it: _count_batches(it, seeds), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
     counts = {r.seed & 0xFFFFFFFFFFFFFFFF: r.n for r in counted.collect()}  # at most one row for each n-gram of the items
     rare = rare_seeds(read, counts, n, window)
     chosen = np.array(sorted(rare), np.uint64)
     sizes = {k: v[np.isin(v, chosen)] for k, v in seeds.items()}
     sizes = {k: v for k, v in sizes.items() if len(v)}
-    out = src.mapInArrow(lambda it: _align_batches(it, read, rare, sizes), f"id {kind}, {RESULT}")
-    return out.dropDuplicates(["id", "item_id"]).withColumnRenamed("id", id_col)
+    out = src.mapInArrow(lambda it: _align_batches(it, read, rare, sizes, 0.0), f"id {kind}, {RESULT}")
+    return _wanted(out.dropDuplicates(["id", "item_id"]), least, exact, window).withColumnRenamed("id", id_col)
+
+
+def _wanted(rows: DataFrame, least: float, exact: bool, window: int) -> DataFrame:
+    if exact:
+        return rows.filter((F.col("longest_run") >= window) | F.col("question")).drop("score", "matched")
+    return rows.filter(((F.col("score") > 0) & (F.col("matched") >= least)) | F.col("question"))
 
 
-def _joined(src: DataFrame, held: DataFrame, kind: str, n: int, window: int, id_col: str) -> DataFrame:
-    """The same for an evaluation side of any size: n-grams meet in a join, rarity comes from counts, texts are joined to pairs.
+def _joined(src: DataFrame, held: DataFrame, kind: str, n: int) -> DataFrame:
+    """The same for an evaluation side of any size: n-grams meet in a join, texts are joined to pairs.
 
     Every n-gram of an item is a seed here, and the whole of a text shorter than n words.
     """
@@ -300,8 +375,7 @@ def _joined(src: DataFrame, held: DataFrame, kind: str, n: int, window: int, id_
         corpus = corpus.unionByName(part.join(short.select("seed").distinct(), "seed", "left_semi").select("id", "seed"))
     pairs = corpus.distinct().join(gram.unionByName(short).distinct(), "seed").select("id", "item_id").distinct()
     whole = pairs.join(held, "item_id").join(src.dropDuplicates(["id"]), "id").select("id", "item_id", "passage", "question", "text")
-    out = whole.mapInArrow(lambda it: _pair_batches(it, n), f"id {kind}, {RESULT}")
-    return out.filter("score > 0 OR question").withColumnRenamed("id", id_col)
+    return whole.mapInArrow(lambda it: _pair_batches(it, n), f"id {kind}, {RESULT}")
 
 
 def _short_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:

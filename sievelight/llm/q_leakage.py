@@ -3,24 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..runtime import table
 from .leakage import WINDOW, leaks
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+def found(spark: SparkSession, sf_dir: str, **asked) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), **asked)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id): at least 13 consecutive words of the passage, or the whole question."""
-    return found(spark, sf_dir).filter((F.col("longest_run") >= WINDOW) | F.col("question")).select("doc_id", "item_id")
+    return found(spark, sf_dir, window=WINDOW, exact=True).select("doc_id", "item_id")
 
 
 def p7_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every aligned document and item, edited copies included, with the scores of the alignment."""
-    return found(spark, sf_dir).filter((F.col("matched") >= 0.5) | F.col("question"))
+    return found(spark, sf_dir, least=0.5)
 
 
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:

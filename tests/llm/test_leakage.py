@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from sievelight.llm.leakage import align, leaks, word_hashes
+from sievelight.llm.leakage import SEED_WORDS, align, common, compare, leaks, read_items, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -66,3 +67,64 @@ def test_words_are_runs_of_letters_and_digits():
     words, o = word_hashes(texts)
     assert [int(o[k + 1] - o[k]) for k in range(5)] == [len(WORD.findall(t.lower())) for t in texts]
     assert words[0] == words[4] and words[1] == words[5] and (words[2:4] == words[-2:]).all()
+
+
+def shared(docs, items, n=SEED_WORDS):
+    """Every document and item with a common n-gram (or a whole shorter text of the item), aligned from all common places."""
+    held = read_items(items)
+    out = {}
+    for doc_id, text in docs:
+        words, _ = word_hashes([text or ""])
+        for item in held:
+            at = []
+            for own in (item.passage, item.question):
+                size = min(n, len(own))
+                runs = {tuple(own[k : k + size]) for k in range(len(own) - size + 1)} if size else set()
+                at += [k for k in range(len(words) - size + 1) if tuple(words[k : k + size]) in runs]
+            if at:
+                result = compare(words, np.array(at), item)
+                if result[0] > 0 or result[3]:
+                    out[doc_id, item.item_id] = result
+    return out
+
+
+def edited(passage, step):
+    """Every step-th word replaced."""
+    return " ".join(f"other{k}" if k % step == step - 1 else w for k, w in enumerate(passage.split()))
+
+
+def with_edits():
+    docs, items = make(11)
+    docs += [(1000 + k, f"so they said {edited(p, 8)} and left") for k, (_, p, _) in enumerate(items) if p and len(p.split()) >= 20]
+    return docs, items
+
+
+def test_copies_edited_every_8_words(spark):
+    docs, items = with_edits()
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, question string")
+    want = shared(docs, items)
+    copies = {k for k, v in want.items() if k[0] >= 1000 and v[1] >= 0.5}
+    assert len({k[0] for k in copies}) == sum(a >= 1000 for a, _ in docs) > 3
+    rows = {(r.doc_id, r.item_id): (r.score, r.matched, r.longest_run, r.question) for r in leaks(d, i).collect()}
+    assert rows == want
+    half = {(r.doc_id, r.item_id): (r.score, r.matched, r.longest_run, r.question) for r in leaks(d, i, least=0.5).collect()}
+    assert half == {k: v for k, v in want.items() if v[1] >= 0.5 or v[3]}
+
+
+def test_no_alignment_matches_more_than_the_common_subsequence():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([f"w{rng.randrange(9)}" for _ in range(rng.randrange(1, 90))] for _ in range(2))
+        item = read_items([(0, " ".join(a), "")])[0]
+        words, _ = word_hashes([" ".join(b)])
+        line = [0] * (len(b) + 1)
+        for x in a:
+            line = _row(line, x, b)
+        assert common(words.tolist(), item) == line[-1] >= round(align(item.passage, words)[1])
+
+
+def _row(before, x, b):
+    now = [0]
+    for k, y in enumerate(b):
+        now.append(before[k] + 1 if x == y else max(before[k + 1], now[k]))
+    return now
