@@ -294,9 +294,45 @@ def sufficiency(spark, sf):
     return select.expand(swapped(masked(spark, sf)), complexities(spark, sf)).withColumn("added", F.array_join("added", "|"))
 
 
+def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
+    """Scored sentences (query_id, sentence_id, text, token_count, score, doc_id, position) to each query's evidence.
+
+    Near copies go out by cosine, then bridges are found, the budget is filled, swapped for coverage and expanded.
+    q has query, query_type, entities and keywords, none of them null.
+    """
+    rows = materialize(rows, "scored")
+    vectors = dense.dense_vectors(rows.select("sentence_id", "text").dropDuplicates(["sentence_id"]), "sentence_id", "text")
+    s = rows.select("query_id", "sentence_id").join(vectors.withColumnRenamed("id", "sentence_id"), "sentence_id")
+    pairs = materialize(dense.close_pairs(s, "query_id", "sentence_id", "vec", C.HASH_DIM, min(C.GRAPH_COSINE, C.DUPLICATE_SOFT)), "pairs")
+    side = lambda key, doc: rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias(key), F.col("doc_id").alias(doc))
+    both = pairs.join(side("id", "da"), ["grp", "id"]).join(side("other", "db"), ["grp", "other"])
+    bad = both.filter((F.col("cosine") >= C.DUPLICATE_EXACT) | ((F.col("cosine") >= C.DUPLICATE_SOFT) & F.col("da").eqNullSafe(F.col("db"))))
+    nodes = rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias("id"), F.struct((-F.col("score")).alias("s"), F.col("sentence_id").alias("i")).alias("prio"))
+    kept = select.keep_greedily(nodes, bad.select("grp", F.col("id").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"grp": "query_id", "id": "sentence_id"})
+    rows = materialize(rows.join(kept, ["query_id", "sentence_id"], "left_semi"), "distinct")
+
+    links = graph.incidences(rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias("node"), "text"))
+    wanted = q.select(F.col("query_id").alias("grp"), F.explode(F.concat("entities", "keywords")).alias("t")).select("grp", F.lower(F.trim("t")).alias("concept")).distinct()
+    sources = links.join(wanted, ["grp", "concept"], "left_semi").select("grp", "node").distinct()
+    ends = pairs.filter(F.col("cosine") >= C.GRAPH_COSINE).select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
+    for key in ("a", "b"):
+        ends = ends.join(rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias(key)), ["grp", key], "left_semi")
+    on_path = graph.bridge_nodes(graph.bridges(links, sources, ends)).select(F.col("grp").alias("query_id"), F.col("node").alias("sentence_id"), F.lit(True).alias("is_bridge"))
+    rows = rows.join(on_path, ["query_id", "sentence_id"], "left").withColumn("is_bridge", F.coalesce("is_bridge", F.lit(False))).withColumn("n_chars", F.length("text"))
+
+    m = materialize(select.with_masks(select.fit_budget(materialize(rows, "bridged"), q), q), "masked")
+    m = materialize(swapped(m), "swapped")
+    of = analyze.complexity(F.col("query"), F.size("entities"), F.size("keywords"))
+    more = select.expand(m, q.select("query_id", "query_type", of.alias("complexity"))).select("query_id", F.explode("added").alias("sentence_id"), F.lit(True).alias("added"))
+    out = m.join(more, ["query_id", "sentence_id"], "left").filter(F.col("selected") | F.col("added"))
+    return out.select("query_id", "sentence_id", "text", "token_count", F.round("score", 4).alias("score"), "is_bridge")
+
+
 def full_pipeline(spark, sf):
-    """Questions to evidence: sparse and dense retrieval, fusion, sentences, signals, de-duplication, budget."""
-    q = table(spark, sf, "queries").withColumn("query_type", F.coalesce("query_type", analyze.query_type(F.col("query"))))
+    """Questions to evidence: sparse and dense retrieval, fusion, sentences, signals, de-duplication, bridges, budget, coverage swaps, expansion."""
+    q = table(spark, sf, "queries")
+    for c, own in (("query_type", analyze.query_type), ("entities", analyze.entities), ("keywords", analyze.keywords)):
+        q = q.withColumn(c, F.coalesce(c, own(F.col("query"))))
     texts = chunks(spark, sf)
     found = sparse.search(sparse.Index(texts, "chunk_idx", "chunk_text"), sparse.keyword_terms(q), 30)
     near = dense.top_k(dense.dense_vectors(q, "query_id", "query"), dense.dense_vectors(texts.select(F.col("chunk_idx").cast("string").alias("chunk_idx"), "chunk_text"), "chunk_idx", "chunk_text"), C.HASH_DIM, 30)
@@ -304,14 +340,11 @@ def full_pipeline(spark, sf):
     fused = fusion.fuse(found, near, q).withColumnRenamed("id", "chunk_idx")
     meta = table(spark, sf, "retrieved_chunks").groupBy("chunk_idx").agg(F.min("doc_id").alias("doc_id"), F.min("dataset").alias("dataset"), F.min("title").alias("title"), F.min("year").alias("year"))
     own = F.col("sentence")
-    signals = {"evidence": score.evidence(own), "evidential": T.evidentiality(own), "density": score.density(own), "digest": F.md5(F.lower(own))}
+    signals = {"evidence": score.evidence(own), "evidential": T.evidentiality(own), "density": score.density(own)}
     rows = segment.segment(fused.join(meta, "chunk_idx"), texts, q, signals).join(q.select("query_id", "query", "query_type"), "query_id")
     five = [F.coalesce("faiss_score", F.lit(0.0)), F.col("evidence"), F.col("evidential"), F.col("density"), score.temporal(F.col("query"), F.col("year"))]
-    rows = rows.withColumn("score", score.combined(F.col("query_type"), five)).withColumn("is_bridge", F.col("contains_query_entity"))
-    # equal sentences of a query count once, the best-scored first
-    rows = rows.groupBy("query_id", "digest").agg(F.min_by(F.struct("sentence_id", "text", "token_count", "score", "is_bridge", "doc_id", "position"), F.struct((-F.col("score")).alias("s"), "sentence_id")).alias("r")).select("query_id", "r.*")
-    out = select.fit_budget(materialize(rows, "scored"), q)
-    return out.filter("selected").select("query_id", "sentence_id", "text", "token_count", F.round("score", 4).alias("score"), "is_bridge")
+    rows = rows.withColumn("score", score.combined(F.col("query_type"), five))
+    return evidence_of(rows.select("query_id", "sentence_id", "text", "token_count", "score", "doc_id", "position"), q)
 
 
 QUERIES = {f.__name__: f for f in [
