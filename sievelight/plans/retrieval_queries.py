@@ -211,6 +211,12 @@ def conflicts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, bad.select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
 
 
+def greedy_dedup_all(spark, sf):
+    """The sentences that de-duplication keeps; one without a usable embedding is a near copy of none and is kept."""
+    every = one_sentence(spark, sf).select("query_id", "sentence_id")
+    return greedy_dedup(spark, sf).unionByName(every.join(conflicts(spark, sf)[0].select(F.col("id").alias("sentence_id")), "sentence_id", "left_anti").select("query_id", "sentence_id"))
+
+
 def cosine_pairs(spark, sf):
     s = one_sentence(spark, sf).select("query_id", "sentence_id", "embedding")
     out = dense.close_pairs(s, "query_id", "sentence_id", "embedding", 384, C.GRAPH_COSINE)
@@ -218,6 +224,7 @@ def cosine_pairs(spark, sf):
 
 
 def greedy_dedup(spark, sf):
+    """De-duplication among the sentences with a usable embedding, as its SQL has it; greedy_dedup_all has all sentences."""
     nodes, bad = conflicts(spark, sf)
     return select.keep_greedily(nodes, bad).select(F.col("grp").alias("query_id"), F.col("id").alias("sentence_id"))
 
@@ -349,7 +356,7 @@ def full_pipeline(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     query_info, query_type, query_negation, query_keywords, query_entities, query_complexity, required_evidence, sentence_clean, plural_normalise, evidentiality, recency, segment_sentences, segment_drop_counts,
-    sentence_objects, term_coverage, bm25_topk, dense_topk, hybrid_rrf, hash_embed, hash_similarity, evidence_density, multi_signal_score, cosine_pairs, greedy_dedup, concepts, bridge_nodes, budget_fill, budget_stats,
+    sentence_objects, term_coverage, bm25_topk, dense_topk, hybrid_rrf, hash_embed, hash_similarity, evidence_density, multi_signal_score, cosine_pairs, greedy_dedup, greedy_dedup_all, concepts, bridge_nodes, budget_fill, budget_stats,
     missing_terms, swap_loop, diversity_stats, sufficiency, full_pipeline, dense_shard_retrieve, layer_stats,
 ]}
 
@@ -459,6 +466,7 @@ SELECT g.query_id, coalesce(string_agg(term, '|' ORDER BY term) FILTER (WHERE ki
 FROM (SELECT DISTINCT query_id FROM r) g LEFT JOIN c ON c.query_id = g.query_id GROUP BY 1""",
 }
 
+SQL["greedy_dedup_all"] = f"SELECT query_id, sentence_id FROM ({SQL['greedy_dedup']}) UNION ALL SELECT query_id, sentence_id FROM {S.ONE_SENTENCE} WHERE sentence_id NOT IN (WITH {_VALID} SELECT sentence_id FROM v)"
 SQL["dense_shard_retrieve"] = f"WITH top AS ({SQL['dense_topk']}), pos AS (SELECT vec_id AS other_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 128 AS INT) AS shard FROM embeddings) SELECT vec_id, rank, other_id, shard FROM top JOIN pos USING (other_id)"
 SQL["layer_stats"] = f"""WITH s AS ({SQL['budget_stats']}) SELECT query_id, 'budget' AS layer, metric, value FROM (SELECT query_id, CAST(budget AS BIGINT) AS budget, tokens_used, tokens_remaining, n_input, n_selected FROM s)
 UNPIVOT (value FOR metric IN (budget, tokens_used, tokens_remaining, n_input, n_selected))"""
