@@ -17,18 +17,18 @@ from ..runtime import exists, materialize
 from .analyze import FUNCTION_WORDS
 
 
-def concepts(text: Column) -> Column:
-    """Capitalised words behind the first word, lower-cased, and the normal forms of words of five letters or more, without function words."""
+def concepts(text: Column, word: str = "[a-z]{5,}") -> Column:
+    """Capitalised words behind the first word, lower-cased, and the normal forms of the words of a pattern, without function words."""
     rest = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\S+", "")
     words = F.transform(F.regexp_extract_all(rest, F.lit("([A-Z][A-Za-z0-9]+)"), F.lit(1)), lambda w: F.lower(w))
-    content = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]{5,})"), F.lit(1)), T.lemma)
+    content = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({word})"), F.lit(1)), T.lemma)
     stop = F.array(*[F.lit(x) for x in FUNCTION_WORDS])
     return F.array_distinct(F.filter(F.concat(words, content), lambda w: ~F.array_contains(stop, w)))
 
 
 def incidences(sentences: DataFrame, text: str = "text") -> DataFrame:
-    """(grp, node, concept) from sentences (grp, node, text)."""
-    return sentences.select("grp", "node", F.explode(concepts(F.col(text))).alias("concept"))
+    """(grp, node, concept) from sentences (grp, node, text); words of two letters or digits and more are concepts."""
+    return sentences.select("grp", "node", F.explode(concepts(F.col(text), "[a-z0-9]{2,}")).alias("concept"))
 
 
 def bridges(incident: DataFrame, sources: DataFrame, pairs: DataFrame | None = None, most_hops: int = 16) -> DataFrame:

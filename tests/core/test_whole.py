@@ -1,5 +1,8 @@
 """Rows that a narrower version would lose."""
 
+import pytest
+
+from sievelight.operators import graph
 from sievelight.plans import retrieval_queries as R
 
 SENTENCES = "query_id string, sentence_id string, doc_id string, embedding array<double>, final_score double"
@@ -11,3 +14,9 @@ def test_sentences_without_a_usable_embedding_are_kept(spark, tmp_path):
     spark.createDataFrame(rows, SENTENCES).write.parquet(str(tmp_path / "sentences.parquet"))
     got = sorted(r.sentence_id for r in R.greedy_dedup_all(spark, str(tmp_path)).collect())
     assert got == ["a", "nan", "none", "short", "zero"]
+
+
+@pytest.mark.parametrize("word", ["mill", "zinc", "1733", "ox"])
+def test_short_words_and_numbers_link_sentences(spark, word):
+    s = spark.createDataFrame([("q", 1, f"Behind stands the {word} alone."), ("q", 2, f"Then came {word} again.")], "grp string, node int, text string")
+    assert word in {r.concept for r in graph.incidences(s).groupBy("concept").count().filter("count = 2").collect()}
