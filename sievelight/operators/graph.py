@@ -31,11 +31,11 @@ def incidences(sentences: DataFrame, text: str = "text") -> DataFrame:
     return sentences.select("grp", "node", F.explode(concepts(F.col(text), "[a-z0-9]{2,}")).alias("concept"))
 
 
-def bridges(incident: DataFrame, sources: DataFrame, pairs: DataFrame | None = None, most_hops: int = 16) -> DataFrame:
+def bridges(incident: DataFrame, sources: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(grp, src, path): from every source the shortest path to the nearest other source, the smallest of those alike.
 
     incident (grp, node, concept), sources (grp, node), pairs (grp, a, b) further neighbours. A source without another
-    source within most_hops has no path. Every pair is taken as a concept of its own.
+    source in reach has no path. Every pair is taken as a concept of its own.
     """
     links = incident
     if pairs is not None:
@@ -53,9 +53,8 @@ def bridges(incident: DataFrame, sources: DataFrame, pairs: DataFrame | None = N
     alone = sources.withColumnRenamed("node", "src").join(found[0].select("grp", "src"), ["grp", "src"], "left_anti")
     frontier = materialize(alone.select("grp", "src", F.col("src").alias("node"), F.array("src").alias("path")), "frontier")
     visited = frontier.select("grp", "src", "node")
-    for hop in range(most_hops):
-        if not exists(frontier):
-            break
+    hop = 0
+    while exists(frontier):
         over = frontier.join(links, ["grp", "node"]).groupBy("grp", "src", "concept").agg(F.min("path").alias("path"))
         step = over.join(links, ["grp", "concept"]).groupBy("grp", "src", "node").agg(F.min("path").alias("path"))
         step = step.join(visited, ["grp", "src", "node"], "left_anti").withColumn("path", F.concat("path", F.array("node")))
@@ -64,6 +63,7 @@ def bridges(incident: DataFrame, sources: DataFrame, pairs: DataFrame | None = N
         found.append(materialize(ends, f"ends{hop}"))
         frontier = materialize(step.join(found[-1].select("grp", "src"), ["grp", "src"], "left_anti"), f"frontier{hop}")
         visited = materialize(visited.unionByName(frontier.select("grp", "src", "node")), f"visited{hop}")
+        hop += 1
     return reduce(DataFrame.unionByName, found)
 
 

@@ -20,3 +20,9 @@ def test_sentences_without_a_usable_embedding_are_kept(spark, tmp_path):
 def test_short_words_and_numbers_link_sentences(spark, word):
     s = spark.createDataFrame([("q", 1, f"Behind stands the {word} alone."), ("q", 2, f"Then came {word} again.")], "grp string, node int, text string")
     assert word in {r.concept for r in graph.incidences(s).groupBy("concept").count().filter("count = 2").collect()}
+
+
+def test_far_sources_have_a_path(spark):
+    links = spark.createDataFrame([("q", n, f"c{c:02d}") for c in range(18) for n in (c, c + 1)], "grp string, node int, concept string")
+    ends = spark.createDataFrame([("q", 0), ("q", 18)], "grp string, node int")
+    assert sorted(r.path for r in graph.bridges(links, ends).collect()) == [list(range(19)), list(range(18, -1, -1))]
