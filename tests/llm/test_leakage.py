@@ -128,3 +128,14 @@ def _row(before, x, b):
     for k, y in enumerate(b):
         now.append(before[k] + 1 if x == y else max(before[k + 1], now[k]))
     return now
+
+
+def test_both_paths_give_the_same_rows(spark):
+    docs, items = with_edits()
+    docs += [(2000, "here a small stone bridge crosses it"), (2001, "see the small stone bridge crosses slowly today")]
+    items += [(30, "a small stone bridge crosses the small stone bridge crosses slowly", "")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, question string")
+    for asked in ({}, {"least": 0.5}, {"exact": True}):
+        small, large = (sorted(map(tuple, leaks(d, i, broadcast_words=bound, **asked).collect())) for bound in (2_000_000, 1))
+        assert small == large and small
+        assert "exact" in asked or {r[0] for r in small if r[1] == 30} >= {2001}
