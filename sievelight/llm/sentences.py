@@ -45,7 +45,7 @@ EVENTS = re.compile(
     r"|(?P<item>(?:\r\n|\r|\n)[^\S\r\n]*(?=(?:[-*•‣◦▪–]|\d{1,3}[.)]|\(?[A-Za-z]\))[^\S\r\n]+\S))"
     r"|(?P<mark>[.!?…。！？｡．؟।॥۔]+)"
     r"|(?P<sign>[“”‘’«»「」『』„‚‹›《》\"()\[\]（）【】{}])"
-    rf"|(?P<thai>(?<=[{THAI}])[^\S\r\n]+|[^\S\r\n]+(?=[{THAI}]))"
+    rf"|(?P<thai>(?<=[{THAI}])[^\S\r\n]+|(?<![^\S\r\n])[^\S\r\n]++(?=[{THAI}]))"
 )
 WORD_BEFORE = re.compile(r"[^\s(\[“\"«„‘—]*\Z")
 NEXT_WORD = re.compile(r"\w+")
@@ -86,19 +86,33 @@ def _cjk(c: str) -> bool:
     return "぀" <= c <= "ヿ" or "㐀" <= c <= "鿿" or "가" <= c <= "힯"
 
 
-def _tail(text: str, end: int) -> int:
-    """Beyond the closing signs at `end`; signs that also open count where a blank, a comma or nothing follows them."""
-    while end < len(text) and (text[end] in CLOSERS or text[end] in "\"“‘" and (end + 1 == len(text) or text[end + 1].isspace() or text[end + 1] in ",;.")):
-        end += 1
-    return end
-
-
-def _follow(text: str, at: int) -> tuple[int, str]:
-    """Position and character of what follows at, beyond white space; '' at the end."""
-    n = len(text)
-    while at < n and text[at].isspace():
-        at += 1
-    return at, text[at] if at < n else ""
+class Ahead:
+    """What follows a place of a text. A run of closing signs or of white space is read once, however many places in it ask."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.closed, self.blank = (-1, -1), (-1, -1)
+
+    def tail(self, end: int) -> int:
+        """Beyond the closing signs at `end`; signs that also open count where a blank, a comma or nothing follows them."""
+        if self.closed[0] <= end <= self.closed[1]:
+            return self.closed[1]
+        text, begin = self.text, end
+        while end < len(text) and (text[end] in CLOSERS or text[end] in "\"“‘" and (end + 1 == len(text) or text[end + 1].isspace() or text[end + 1] in ",;.")):
+            end += 1
+        self.closed = (begin, end)
+        return end
+
+    def follow(self, at: int) -> tuple[int, str]:
+        """Position and character of what follows at, beyond white space; '' at the end."""
+        text, begin, n = self.text, at, len(self.text)
+        if self.blank[0] <= at <= self.blank[1]:
+            at = self.blank[1]
+        else:
+            while at < n and text[at].isspace():
+                at += 1
+            self.blank = (begin, at)
+        return at, text[at] if at < n else ""
 
 
 def _goes_on(text: str, at: int) -> bool:
@@ -112,10 +126,10 @@ def _goes_on(text: str, at: int) -> bool:
     return c.islower() or c in ",;:，、；："
 
 
-def _ends(text: str, start: int, end: int, unit: int) -> bool:
+def _ends(ahead: Ahead, start: int, end: int, unit: int) -> bool:
     """Whether the mark text[start:end] ends the unit that began at `unit`."""
-    tail = _tail(text, end)
-    at, c = _follow(text, tail)
+    text, tail = ahead.text, ahead.tail(end)
+    at, c = ahead.follow(tail)
     if not c:
         return False
     mark = text[start:end]
@@ -152,10 +166,10 @@ def _ends(text: str, start: int, end: int, unit: int) -> bool:
     return True
 
 
-def _closes(text: str, frame: Frame, end: int) -> bool:
+def _closes(ahead: Ahead, frame: Frame, end: int) -> bool:
     """Whether the closing sign before `end`, right after a final mark, ends the unit as well."""
-    end = _tail(text, end)
-    at, c = _follow(text, end)
+    text, end = ahead.text, ahead.tail(end)
+    at, c = ahead.follow(end)
     if not c:
         return False
     if _goes_on(text, at):
@@ -169,22 +183,79 @@ def _closes(text: str, frame: Frame, end: int) -> bool:
     return c.isupper() or c.isdigit() or not c.isalpha() or frame.introduced or not frame.at_start
 
 
+class Stack:
+    """Open frames; for each closing sign the depths of the frames that it closes, so that no sign walks the stack."""
+
+    def __init__(self):
+        self.frames: list[Frame] = []
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, frame: Frame) -> None:
+        for sign in frame.closers:
+            self.depths.setdefault(sign, []).append(len(self.frames))
+        self.frames.append(frame)
+
+    def depth(self, sign: str) -> int:
+        """Depth of the innermost frame that the sign closes, -1 where there is none."""
+        at = self.depths.get(sign)
+        return at[-1] if at else -1
+
+    def pop(self, depth: int) -> tuple[Frame, int]:
+        """Takes off the frame and all above it; with it the end of the last mark inside any of them."""
+        marked = -1
+        while len(self.frames) > depth:
+            frame = self.frames.pop()
+            marked = max(marked, frame.marked)
+            for sign in frame.closers:
+                self.depths[sign].pop()
+        return frame, marked
+
+    def clear(self) -> None:
+        self.frames.clear()
+        self.depths.clear()
+
+
+QUIET = frozenset("”’»」』)]） \u00a0\u202f")
+SOLID = re.compile(rf"[^ \t\r\n{re.escape(DASHES)}]")
+
+
+class Quiet:
+    """Whether text[a:b] holds closing signs and blanks only, for ever larger b; what was seen before is not read again."""
+
+    def __init__(self, text: str):
+        self.text, self.begin, self.end = text, 0, 0
+
+    def __call__(self, a: int, b: int) -> bool:
+        k = b
+        while k > a:
+            if k == self.end and self.begin < k:
+                k = self.begin
+            elif self.text[k - 1] in QUIET:
+                k -= 1
+            else:
+                break
+        self.begin, self.end = k, b
+        return k <= a
+
+
 def unit_starts(text: str) -> list[int]:
-    """Start of every unit of the text, the first included."""
-    first, c = _follow(text, 0)
+    """Start of every unit of the text, the first included; in time linear in its length."""
+    ahead = Ahead(text)
+    first, c = ahead.follow(0)
     if not c:
         return []
-    starts, stack, unit = [first], [], first
+    starts, stack, unit, solid, quiet = [first], Stack(), first, -1, Quiet(text)
+    frames = stack.frames
 
     def cut(end: int) -> None:
-        nonlocal unit
-        at, c = _follow(text, _tail(text, end))
+        nonlocal unit, solid
+        at, c = ahead.follow(ahead.tail(end))
         if c and at > starts[-1]:
             starts.append(at)
-            unit = at
+            unit, solid = at, -1
 
     def release() -> None:
-        for frame in stack:
+        for frame in frames:
             for end in frame.pending:
                 cut(end)
         stack.clear()
@@ -192,36 +263,36 @@ def unit_starts(text: str) -> list[int]:
     for m in EVENTS.finditer(text):
         kind, start, end = m.lastgroup, m.start(), m.end()
         if kind == "mark":
-            if stack:
-                stack[-1].marked = end
-                if _ends(text, start, end, unit):
-                    stack[-1].pending.append(end)
-            elif _ends(text, start, end, unit):
+            if frames:
+                frames[-1].marked = end
+                if _ends(ahead, start, end, unit):
+                    frames[-1].pending.append(end)
+            elif _ends(ahead, start, end, unit):
                 cut(end)
         elif kind == "sign":
             sign = text[start]
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if sign in stack[i].closers), -1)
+            depth = stack.depth(sign)
             if depth >= 0 and (sign not in "’‘" or not text[end : end + 1].isalpha()):
-                frame = stack[depth]
-                marked = max(f.marked for f in stack[depth:])
-                del stack[depth:]
-                if marked >= 0 and not text[marked:start].strip("”’»」』)]）   "):
-                    if stack:
-                        stack[-1].marked = end
-                    if _closes(text, frame, end):
-                        if stack:
-                            stack[-1].pending.append(end)
+                frame, marked = stack.pop(depth)
+                if marked >= 0 and quiet(marked, start):
+                    if frames:
+                        frames[-1].marked = end
+                    if _closes(ahead, frame, end):
+                        if frames:
+                            frames[-1].pending.append(end)
                         else:
                             cut(end)
             elif sign in OPENERS and not (sign in "‘‚" and text[start - 1 : start].isalpha() and start):
-                ahead = text[max(0, start - 2) : start].rstrip()
-                at_start = start <= unit or not text[unit:start].strip(" \t\r\n" + DASHES)
-                stack.append(Frame(OPENERS[sign], sign in QUOTES, at_start, ahead[-1:] in ("：", ":", "，", ",") and ahead != ""))
+                before = text[max(0, start - 2) : start].rstrip()
+                if solid < 0:  # the first place of the unit with more than blanks and dashes
+                    found = SOLID.search(text, unit)
+                    solid = found.start() if found else len(text)
+                stack.push(Frame(OPENERS[sign], sign in QUOTES, start <= unit or solid >= start, before[-1:] in ("：", ":", "，", ",")))
         elif kind == "thai":
-            if not stack:
+            if not frames:
                 cut(end)
             else:
-                stack[-1].pending.append(end)
+                frames[-1].pending.append(end)
         elif kind == "blank":
             release()
             cut(end)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +86,14 @@ def test_frames(spark):
     assert sorted((r.id, r.piece_no, r.piece) for r in split_oversized(df, ["id"], "text", 7, 1).collect()) == sorted(want)
     assert split_oversized(df.limit(0), ["id"], "text").collect() == []
 
+
+
+@pytest.mark.parametrize("text", ["( a " * 250_000, "(. " * 100_000 + "x" + ")" * 100_000, "a.(" * 100_000 + "b." + ")" * 100_000, " " * 500_000 + "a", "“a. " * 200_000, "—(" * 200_000])
+def test_units_take_linear_time(text):
+    begun = time.process_time()
+    assert unit_starts(text)
+    assert time.process_time() - begun < 10
+
+
+def test_signs_close_the_innermost_frame_of_their_kind():
+    assert unit_starts("(A [b “cat.” d] end.) Then fog came. Gulls.") == [0, 22, 37]
