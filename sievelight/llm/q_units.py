@@ -10,18 +10,9 @@ from .sentences import sentence_offsets, sentence_units
 from .split import LIMIT, OVERLAP, split_oversized
 
 
-def distinct_chunks(spark: SparkSession, sf_dir: str, longer_than: int = -1) -> DataFrame:
-    """(chunk_idx, chunk_text), one row for each chunk_idx; the length test comes before the shuffle."""
-    chunks = table(spark, sf_dir, "retrieved_chunks").select("chunk_idx", "chunk_text").filter(F.col("chunk_text").isNotNull())
-    if longer_than >= 0:
-        chunks = chunks.filter(F.length("chunk_text") > longer_than)
-    return chunks.dropDuplicates(["chunk_idx"])
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk that the splitter had to cut."""
-    cut = split_oversized(distinct_chunks(spark, sf_dir, LIMIT), ["chunk_idx"], "chunk_text", LIMIT, OVERLAP)
-    return cut.filter(F.col("piece_no") == 1).select("chunk_idx")
+def distinct_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_idx, chunk_text), one row for each chunk_idx."""
+    return table(spark, sf_dir, "retrieved_chunks").select("chunk_idx", "chunk_text").filter(F.col("chunk_text").isNotNull()).dropDuplicates(["chunk_idx"])
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +20,11 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(distinct_chunks(spark, sf_dir), ["chunk_idx"], "chunk_text", LIMIT, OVERLAP)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of which the splitter made more than one piece, among the pieces of all chunks."""
+    return p1_pieces(spark, sf_dir).filter(F.col("piece_no") == 1).select("chunk_idx")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field, record_id, start_char) of every unit but the first of a record."""
     chunks = sentence_offsets(distinct_chunks(spark, sf_dir), ["chunk_idx"], "chunk_text")
