@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from .rankwalk import rank_walk, ranking
+from .rankwalk import leaders, rank_walk, ranking
 
 SCORES = ["bm25_score", "faiss_score", "rrf_score"]
 
@@ -17,10 +17,8 @@ def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that lead two of the three rankings and are at most second in the third, by the ranks of the walk."""
-    above = [F.col(f"above_{s}") for s in SCORES]
-    leads = sum((F.when(a == 0, 1).otherwise(0) for a in above), F.lit(0))
-    return walked(spark, sf_dir).filter((F.col("stationarity") > 0) & (leads >= 2) & (F.greatest(*above) <= 1)).select("query_id", "chunk_idx")
+    """Chunks that lead two of the three rankings and are at most second in the third: candidates by their mass in the walk, settled by their ranks."""
+    return leaders(walked(spark, sf_dir), SCORES).select("query_id", "chunk_idx")
 
 
 def p3_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

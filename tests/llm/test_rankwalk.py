@@ -1,7 +1,7 @@
 import math
 import random
 
-from sievelight.llm.rankwalk import DAMPING, rank_walk, ranking
+from sievelight.llm.rankwalk import DAMPING, SLACK, leaders, rank_walk, ranking
 
 NAN = float("nan")
 
@@ -44,14 +44,20 @@ SCHEMA = "q string, c long, a double, b double, r double, stationarity string"
 
 def compare(spark, rows, damping=DAMPING, **more):
     df = spark.createDataFrame(rows + rows[::3], SCHEMA)
-    got = {(x.q, x.c): x for x in rank_walk(df, "q", "c", ["a", "b", "r"], damping, **more).collect()}
+    walked = rank_walk(df, "q", "c", ["a", "b", "r"], damping, **more).persist()
+    got = {(x.q, x.c): x for x in walked.collect()}
     assert len(got) == len(rows)
+    heads = {(x.q, x.c) for x in leaders(walked, ["a", "b", "r"]).collect()}
     for q in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == q]
         mass, above = brute([r[2:5] for r in own], damping)
         for r, p, up in zip(own, mass, above):
             x = got[r[:2]]
             assert abs(x.stationarity - p) < 1e-7 and [x.above_a, x.above_b, x.above_r] == up
+            # no item that leads all scores but one has less than the mass proven for it
+            assert up.count(0) < 2 or x.stationarity >= x.leader_mass - SLACK
+            assert (r[:2] in heads) == (up.count(0) >= 2 and max(up) <= 1)
+    walked.unpersist()
 
 
 def test_against_dense_matrix(spark):
@@ -62,6 +68,10 @@ def test_large_groups_take_the_distributed_way(spark):
     compare(spark, make(random.Random(4), [("p", 3), ("q", 14)]), 0.3, group_rows=5)
 
 
+def test_large_ties_are_spread(spark):
+    compare(spark, make(random.Random(6), [("q", 14)]), 0.3, group_rows=5, level_rows=2)
+
+
 def test_scale_does_not_matter_and_ties_follow_the_key(spark):
     rows = [("q", i, float(i), float(i) * 1e6, 1.0 / (1 + i)) for i in range(5)] + [("q", 9, 4.0, 4e6, 0.2)]
     df = spark.createDataFrame(rows, "q string, c long, a double, b double, r double")
