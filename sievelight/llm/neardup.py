@@ -6,10 +6,12 @@ several repetitions 7 symbols stand at the 7 points of the binary projective pla
 point p where <v, p> = 1, 4 points each) make a covering code of radius 2: whichever 2 symbols differ, some mask keeps
 none of them, so classes whose symbols differ in at most 2 places collide in a table for certain. At a similarity of 0.7
 one repetition finds 69 % of pairs, `REPEATS` find 99.1 %; at 0.8 they find 99.98 %. Rows of a table carry a 128-bit
-fingerprint of 32 symbols that settles most collisions inside the join; 64 symbols settle most of the rest, and what
-passes is compared exactly, text by text.
+fingerprint of 32 symbols that settles most collisions inside the buckets of a table; 64 symbols settle most of the
+rest, and what passes is compared exactly, text by text. A bucket of more than `BUCKET` classes (boilerplate) is dealt to
+blocks, and every pair of blocks is a tile of its own, so that no task holds a whole bucket and no pair is left out.
 
-The work is in classes: pairs are between class representatives, records are members of a class. Records are only paired
+The work is in classes, told apart by 128 bits of their text: pairs are between class representatives, records are
+members of a class. Tables carry half of these bits; where two classes agree in that half, both are compared. Records are only paired
 one by one where a caller asks for that (`record_pairs`).
 
 Defined results: null texts and texts without a character other than white space take no part; a text under 5 characters
@@ -27,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import exists, materialize
 from . import flat
 
 SHINGLE, THRESHOLD = 5, 0.7
 #: Repetitions of the 7 masks; symbols of the fingerprints; how many must agree (at similarity 0.7 fewer agree in 0.2 and 0.1 % of pairs).
 REPEATS, SYMBOLS, AGREE, WIDE_SYMBOLS, WIDE_AGREE = 4, 32, 16, 64, 34
+#: Classes of a bucket that are compared in place; keys of larger buckets that may be sent to every worker (1.6 MB).
+BUCKET, BROADCAST_BUCKETS = 2048, 100_000
 #: Pairs whose class keys may be sent to every worker (16 MB); more are met in a shuffle.
 BROADCAST_PAIRS = 500_000
 POINTS = range(1, 8)
@@ -75,7 +79,7 @@ def table_keys(sketch: np.ndarray, salt: np.ndarray) -> np.ndarray:
     for repeat in range(REPEATS):
         symbols = sketch[:, 7 * repeat : 7 * repeat + 7]
         for number, mask in enumerate(MASKS):
-            key = salt + np.uint64(7 * repeat + number + 1) * np.uint64(0xD6E8FEB86659FD93)
+            key = salt + np.uint64((7 * repeat + number + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
             for p in mask:
                 key = (key ^ symbols[:, p]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(32)
@@ -100,12 +104,17 @@ def _classes(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
         texts = [normalise(t) for t in batch.column(2).to_pylist()]
         keep = [i for i, t in enumerate(texts) if t]
         own = [texts[i] for i in keep]
-        cls = np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in own], np.uint64).view(np.int64)
+        cls = pa.array([xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own], pa.binary())
         rows = pa.array(keep, pa.int64())
-        columns = [batch.column(0).take(rows), *([] if with_text else [batch.column(1).take(rows)]), pa.array(cls), *([pa.array(own, pa.string())] if with_text else [])]
+        columns = [batch.column(0).take(rows), *([] if with_text else [batch.column(1).take(rows)]), cls, *([pa.array(own, pa.string())] if with_text else [])]
         yield pa.RecordBatch.from_arrays(columns, ["field", "cls", "text"] if with_text else ["field", "id", "cls"])
 
 
+def halves(cls: pa.Array) -> np.ndarray:
+    """The first 64 bits of each class."""
+    return np.frombuffer(b"".join(c[:8] for c in cls.to_pylist()), np.int64)
+
+
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n_tables = REPEATS * len(MASKS)
     for batch in batches:
@@ -114,7 +123,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketch = sketches(texts[a:b])
             salt = np.array([xxhash.xxh3_64_intdigest(f) for f in batch.column(0).slice(a, b - a).to_pylist()], np.uint64)
             keys = table_keys(sketch, salt).ravel().view(np.int64)
-            cls = np.repeat(batch.column(1).slice(a, b - a).to_numpy(), n_tables)
+            cls = np.repeat(halves(batch.column(1).slice(a, b - a)), n_tables)
             low, high = (np.repeat(x, n_tables) for x in fingerprints(sketch))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, cls, low, high)], ["key", "cls", "low", "high"])
 
@@ -124,7 +133,101 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(2).to_pylist()
         for a, b in flat.slices(np.array([len(t) for t in texts], np.int64), BATCH_CHARS):
             marks = fingerprints(sketches(texts[a:b], WIDE_SYMBOLS))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in (0, 1)], *[pa.array(m) for m in marks]], ["field", "cls", *WIDE])
+            own = batch.column(1).slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), own, pa.array(halves(own)), *[pa.array(m) for m in marks]], ["field", "cls", "half", *WIDE])
+
+
+LOWEST = np.int64(0x1111111111111111)
+
+
+def agreeing(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> np.ndarray:
+    """In how many of the 32 symbols two fingerprints agree."""
+    out = np.full(np.broadcast(low_a, low_b).shape, SYMBOLS, np.int64)
+    for x in (low_a ^ low_b, high_a ^ high_b):
+        out -= np.bitwise_count((x | x >> 1 | x >> 2 | x >> 3) & LOWEST)
+    return out
+
+
+MET = ["key", "cls_a", "cls_b", "low", "high"]
+
+
+def _met(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Pairs of classes, the smaller half first; equal halves are no pair."""
+    apart = a != b
+    a, b = a[apart], b[apart]
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none], MET)
+
+
+def _bucket_batches(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs inside the buckets of rows ordered by key; the rows of a bucket larger than `most` go out as they are, with their key."""
+    held = [np.zeros(0, np.int64)] * 4
+    large = None  # key of the bucket whose rows go out
+    again = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(len(rows[0]), pa.int64()), pa.array(rows[2]), pa.array(rows[3])], MET)
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Each row with the one `apart` places on, as long as any two of them share a bucket."""
+        key, cls, low, high = rows
+        at = np.arange(len(key))
+        for apart in range(1, len(key)):
+            at = at[: np.searchsorted(at, len(key) - apart)]
+            at = at[key[at] == key[at + apart]]
+            if not len(at):
+                break
+            near = at[agreeing(low[at], high[at], low[at + apart], high[at + apart]) >= AGREE]
+            if len(near):
+                yield _met(cls[near], cls[near + apart])
+
+    for batch in batches:
+        rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)]
+        if large is not None:
+            n = int(np.searchsorted(rows[0], large, side="right"))
+            if n:
+                yield again([r[:n] for r in rows])
+            rows = [r[n:] for r in rows]
+            if len(rows[0]):
+                large = None
+        if not len(rows[0]):
+            held = rows
+            continue
+        edges = np.append(np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1])), len(rows[0]))
+        size = np.diff(edges)
+        beyond = np.repeat(size > most, size)
+        if beyond.any():
+            yield again([r[beyond] for r in rows])
+            large = rows[0][-1] if beyond[-1] else None
+        last = 0 if large is not None else int(size[-1])  # the last bucket may go on in the next batch
+        end = len(rows[0]) - last
+        yield from pairs([r[:end][~beyond[:end]] for r in rows])
+        held = [r[end:] for r in rows]
+    yield from pairs(held)
+
+
+def _tile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the tiles of large buckets, rows (tile, side, cls, low, high) ordered by tile: side 0 with side 1, and all of side 2."""
+    held: list[pa.RecordBatch] = []
+
+    def run() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        side, cls, low, high = (table.column(k).to_numpy() for k in range(1, 5))
+        for one, two in ((0, 1), (2, 2)):
+            b = np.flatnonzero(side == two)
+            a = np.flatnonzero(side == one)
+            for begin in range(0, len(a) if len(b) else 0, 256):
+                own = a[begin : begin + 256, None]
+                i, j = np.nonzero((agreeing(low[own], high[own], low[b], high[b]) >= AGREE) & ((one != two) | (own < b)))
+                yield _met(cls[own[i, 0]], cls[b[j]])
+
+    for batch in batches:
+        tile = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
+        for a, b in zip(edges, edges[1:]):
+            if held and held[-1].column(0)[0].as_py() != tile[a]:
+                yield from run()
+                held.clear()
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield from run()
 
 
 def _compare(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -150,25 +253,41 @@ def _agreeing(columns: list[str]) -> F.Column:
     return F.expr(f"{16 * len(columns)} - " + " - ".join(fold.format(x=f"(a.{c} ^ b.{c})") for c in columns))
 
 
+def _tiled(large: DataFrame, bucket: int) -> DataFrame:
+    """The rows of large buckets, dealt to blocks, in every tile of their block: (tile, side, cls, low, high) ordered by tile."""
+    sizes = large.groupBy("key").agg(F.ceil(F.count("*") / bucket).cast("int").alias("blocks"))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_BUCKETS else sizes
+    own = large.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cls_a"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return own.select(tile.alias("tile"), side.alias("side"), F.col("cls_a").alias("cls"), "low", "high").repartition("tile").sortWithinPartitions("tile")
+
+
 class NearDuplicates:
     """members (field, id, cls), and links (field, cls_a, cls_b, similarity) between the classes."""
 
-    def __init__(self, records: DataFrame, least: float = THRESHOLD):
+    def __init__(self, records: DataFrame, least: float = THRESHOLD, bucket: int = BUCKET):
         """records: field, id, text; only records of one field are compared."""
         kind = records.schema["id"].dataType.simpleString()
         src = records.select(F.col("field").cast("string"), "id", F.col("text").cast("string"))
         src = src.filter(F.col("field").isNotNull() & F.col("text").isNotNull())
-        self.members = src.mapInArrow(lambda it: _classes(it, False), f"field string, id {kind}, cls bigint").distinct()
-        texts = src.mapInArrow(lambda it: _classes(it, True), "field string, cls bigint, text string")
+        self.members = src.mapInArrow(lambda it: _classes(it, False), f"field string, id {kind}, cls binary").distinct()
+        texts = src.mapInArrow(lambda it: _classes(it, True), "field string, cls binary, text string")
         self.classes = materialize(texts.dropDuplicates(["field", "cls"]), "classes")
         tables = self.classes.mapInArrow(_tables, "key bigint, cls bigint, low bigint, high bigint")
-        a, b = tables.alias("a"), tables.alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (_agreeing(["low", "high"]) >= AGREE))
-        pairs = met.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-        wide = self.classes.mapInArrow(_wide, "field string, cls bigint, " + ", ".join(f"{w} bigint" for w in WIDE))
+        met_rows = ", ".join(f"{c} bigint" for c in MET)
+        met = tables.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _bucket_batches(it, bucket), met_rows)
+        met = materialize(met, "met")
+        pairs = met.filter("key IS NULL").select("cls_a", "cls_b")
+        large = met.filter("key IS NOT NULL")
+        if exists(large):
+            pairs = pairs.unionByName(_tiled(large, bucket).mapInArrow(_tile_batches, met_rows).select("cls_a", "cls_b"))
+        pairs = pairs.distinct()
+        wide = self.classes.mapInArrow(_wide, "field string, cls binary, half bigint, " + ", ".join(f"{w} bigint" for w in WIDE))
         a, b = wide.alias("a"), wide.alias("b")
-        close = pairs.join(a, F.col("cls_a") == F.col("a.cls")).join(b, F.col("cls_b") == F.col("b.cls"))
-        close = close.filter((F.col("a.field") == F.col("b.field")) & (_agreeing(WIDE) >= WIDE_AGREE)).select("a.field", "cls_a", "cls_b")
+        close = pairs.join(a, F.col("cls_a") == F.col("a.half")).join(b, F.col("cls_b") == F.col("b.half"))
+        close = close.filter((F.col("a.field") == F.col("b.field")) & (_agreeing(WIDE) >= WIDE_AGREE)).select("a.field", F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))
         close = materialize(close, "close")
         ends = close.select("field", F.explode(F.array("cls_a", "cls_b")).alias("cls"))
         ends = F.broadcast(ends) if close.count() <= BROADCAST_PAIRS else ends.distinct()
@@ -176,7 +295,7 @@ class NearDuplicates:
         one = texts.select("field", F.col("cls").alias("cls_a"), F.col("text").alias("text_a"))
         two = texts.select("field", F.col("cls").alias("cls_b"), F.col("text").alias("text_b"))
         whole = close.join(one, ["field", "cls_a"]).join(two, ["field", "cls_b"]).select("field", "cls_a", "cls_b", "text_a", "text_b")
-        self.links = whole.mapInArrow(lambda it: _compare(it, least), "field string, cls_a bigint, cls_b bigint, similarity double")
+        self.links = whole.mapInArrow(lambda it: _compare(it, least), "field string, cls_a binary, cls_b binary, similarity double")
 
     def record_pairs(self) -> DataFrame:
         """(field, id_a, id_b, similarity), id_a < id_b, of all records, members of one class included."""
@@ -192,4 +311,4 @@ class NearDuplicates:
         ends = self.links.select("field", F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("field", "cls").agg(F.count("*").alias("n_links"))
         copies = self.members.groupBy("field", "cls").agg(F.count("*").alias("n_copies"))
         out = self.members.join(copies, ["field", "cls"]).join(ends, ["field", "cls"], "left")
-        return out.select("field", "id", "cls", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        return out.select("field", "id", F.hex("cls").alias("cls"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

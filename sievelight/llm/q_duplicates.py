@@ -27,7 +27,7 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The linked pairs of classes with their similarity."""
-    return near(spark, sf_dir).links.withColumn("similarity", F.round("similarity", 9))
+    return near(spark, sf_dir).links.select("field", F.hex("cls_a").alias("cls_a"), F.hex("cls_b").alias("cls_b"), F.round("similarity", 9).alias("similarity"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_links": p2_links}
