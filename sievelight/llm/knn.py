@@ -27,11 +27,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BOOKS, WORDS, BEAM = 8, 256, 4
-FIT_ROWS, CELL_ROWS, LEAST_CELLS, MOST_CELLS, ROUNDS = 16_384, 512, 4, 4096, 5
+FIT_ROWS, CELL_ROWS, LEAST_CELLS, FIRST_CELLS, ROUNDS = 16_384, 512, 4, 4096, 5
 #: Cells in which a vector can be found; rows of a tile's side; slack of the scores from codes before the exact cosine.
 SPREAD, TILE, SLACK = 3, 4096, 0.06
-#: Of the scores from codes, the share of a tile that is reranked where no least cosine is asked for, and the least number.
-RERANK_SHARE, RERANK_LEAST = 0.05, 64
+#: Vectors of a tile that are compared exactly with a query, for each of its k places (with equal scores the smaller id goes first);
+#: where no least cosine is asked for the share of a tile, and the least number.
+FEW, RERANK_SHARE, RERANK_LEAST = 8, 0.05, 64
+#: Rows that a task of the search reads (about 15 MB of vectors), so that tasks grow in number and not in size; beyond MOST_TASKS tasks up to 16 times as many.
+TASK_ROWS, MOST_TASKS = 8192, 20_000
 
 
 def clean(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,27 +63,49 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray,
     return words, own
 
 
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n highest scores of each row, the highest first."""
+    n = min(n, score.shape[1])
+    top = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < score.shape[1] else np.tile(np.arange(n), (len(score), 1))
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+
+
 class Quantiser:
-    """Codebooks, their inner products, and the number of salts of each cell."""
+    """Codebooks, their inner products, the words that part the cells of the first one, and the salts of cells that need more than one."""
 
-    def __init__(self, sample: np.ndarray, cells: int, total: int, tile: int, seed: int = 1):
+    def __init__(self, sample: np.ndarray, cells: int, total: int, tile: int, seed: int = 1, first_cells: int = FIRST_CELLS):
         rng = np.random.default_rng(seed)
-        rest, self.books = sample.copy(), []
+        rest, self.books, self.parts = sample.copy(), [], None
+        first = min(cells, first_cells)
         for m in range(BOOKS):
-            words, own = _means(rest, cells if m == 0 else WORDS, rng)
-            if m == 0:
-                share = np.bincount(own, minlength=cells) / len(own)
-                self.salts = np.maximum(1, np.ceil(share * total * SPREAD / tile)).astype(np.int64)
+            words, own = _means(rest, first if m == 0 else WORDS, rng)
             self.books.append(words)
             rest = rest - words[own]
+            if m == 0 and cells > first:
+                self.parts = _means(rest, min(first_cells, -(-cells // first)), rng)[0]
         self.norms = [(b * b).sum(1) for b in self.books]
         self.gram = {(j, m): 2 * self.books[j] @ self.books[m].T for m in range(BOOKS) for j in range(m)}
+        cell, n = np.unique(self.nearest_cells(sample, 1)[:, 0], return_counts=True)
+        salts = np.ceil(n / len(sample) * total * SPREAD / tile).astype(np.int64)
+        self.total = total
+        self.salts = {int(c): int(s) for c, s in zip(cell, salts) if s > 1}
 
     def nearest_cells(self, x: np.ndarray, spread: int) -> np.ndarray:
+        """Numbers of the nearest cells of each vector, the nearest first."""
         score = x @ self.books[0].T - 0.5 * self.norms[0]
-        spread = min(spread, score.shape[1])
-        top = np.argpartition(-score, spread - 1, axis=1)[:, :spread] if spread < score.shape[1] else np.tile(np.arange(spread), (len(x), 1))
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+        if self.parts is None:
+            return _best(score, spread)
+        first = _best(score, spread)
+        norms = 0.5 * (self.parts * self.parts).sum(1)
+        cells, costs = [], []
+        for place in range(first.shape[1]):
+            own = first[:, place]
+            near = (x - self.books[0][own]) @ self.parts.T - norms
+            part = _best(near, spread)
+            cells.append(own[:, None] * len(self.parts) + part)
+            # |x - word - part|^2 = |x - word|^2 - 2 near
+            costs.append(np.take_along_axis(near, part, 1) + np.take_along_axis(score, own[:, None], 1))
+        return np.take_along_axis(np.concatenate(cells, 1), _best(np.concatenate(costs, 1), spread), 1)
 
     def encode(self, x: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes by beam search; norms of the sums from codebook `skip` on, and inner products of the unit sums with the vectors."""
@@ -142,7 +167,7 @@ def _deal_cells(batches: Iterator[pa.RecordBatch], model: Quantiser, dim: int, s
             at, key, role = [], [], []
             for i, own in enumerate(cells.tolist()):
                 for place, cell in enumerate(own):
-                    s = int(model.salts[cell])
+                    s = model.salts.get(cell, 1)
                     mine = int(_salt(names[i : i + 1], s)[0]) if s > 1 else 0
                     # role INDEX in tiles (any query block, mine), role QUERY in tiles (mine, any index block) of the nearest cell
                     tiles = {(q, mine): INDEX for q in range(s)}
@@ -151,7 +176,7 @@ def _deal_cells(batches: Iterator[pa.RecordBatch], model: Quantiser, dim: int, s
                             tiles[mine, d] = tiles.get((mine, d), 0) | QUERY
                     for (q, d), r in tiles.items():
                         at.append(i)
-                        key.append((cell << 40) | (q << 20) | d)
+                        key.append((cell << 36) | (q << 18) | d)
                         role.append(r)
             yield _rows(key, role, at, ids, x, *model.encode(x, 1))
 
@@ -193,30 +218,23 @@ def _search_tile(table: pa.Table, model: Quantiser, dim: int, k: int, least: flo
     asks = np.flatnonzero(role & QUERY)
     if not len(d) or not len(asks):
         return
-    for begin in range(0, len(asks), 1024):
-        q = asks[begin : begin + 1024]
-        if least is not None:
-            passed = model.scores(x[q], codes[d], norm[d], 1) >= least * fit[d] - SLACK
-            rows, some = np.flatnonzero(passed.any(1)), np.flatnonzero(passed.any(0))
-            # what passes is compared in one product, what is kept again in double precision
-            near = x[q[rows]] @ x[d[some]].T
-            a, b = np.nonzero(passed[np.ix_(rows, some)] & (near >= least - 1e-4))
-            a, b = rows[a], some[b]
-        else:
-            near = x[q] @ x[d].T
-            score = model.scores(x[q], codes[d], norm[d])
-            take = min(len(d), max(RERANK_LEAST, int(RERANK_SHARE * len(d))) + 1)
-            top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-            exact = np.take_along_axis(near, top, 1)
-            few = min(take, k + 2)  # the query itself may be among them
-            best = np.argpartition(-exact, few - 1, axis=1)[:, :few]
-            a, b = np.repeat(np.arange(len(q)), few), np.take_along_axis(top, best, 1).ravel()
-        other = q[a] != d[b]
-        a, b = q[a[other]], d[b[other]]
-        exact = np.concatenate([np.einsum("ij,ij->i", x[a[s : s + 50_000]], x[b[s : s + 50_000]], dtype=np.float64) for s in range(0, len(a), 50_000)] or [np.zeros(0)])
-        if least is not None:
-            keep = exact >= least - 1e-7
-            a, b, exact = a[keep], b[keep], exact[keep]
+    for begin in range(0, len(asks), QUERIES):
+        q = asks[begin : begin + QUERIES]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for block in range(0, len(d), TILE):
+            own = d[block : block + TILE]
+            if least is not None:
+                score = model.scores(x[q], codes[own], norm[own], 1)
+                a, b = best_scored(np.where(score >= least * fit[own] - SLACK, score, -np.inf), FEW * k)
+            else:
+                take = max(RERANK_LEAST, FEW * k, int(RERANK_SHARE * len(own))) + 1  # the query itself may be among them
+                a, b = best_scored(model.scores(x[q], codes[own], norm[own]), take)
+            a, b = q[a], own[b]
+            a, b = a[a != b], b[a != b]
+            exact = np.concatenate([np.einsum("ij,ij->i", x[a[s : s + 20_000]], x[b[s : s + 20_000]], dtype=np.float64) for s in range(0, len(a), 20_000)] or [np.zeros(0)])
+            keep = exact >= (least - 1e-7 if least is not None else -np.inf)
+            found.append((a[keep], b[keep], exact[keep]))
+        a, b, exact = (np.concatenate(part) for part in zip(*found))
         # ids ascend with their position, so position breaks ties
         order = np.lexsort((b, -np.round(exact, 9), a))
         a, b, exact = a[order], b[order], exact[order]
@@ -226,6 +244,20 @@ def _search_tile(table: pa.Table, model: Quantiser, dim: int, k: int, least: flo
         yield pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(exact[keep])], ["id", "other", "cosine"])
 
 
+#: Queries of a tile that are scored at once.
+QUERIES = 256
+
+
+def best_scored(score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the n highest finite scores of each row; of equal ones those that come first."""
+    if n < score.shape[1]:
+        least = np.partition(score, -n, axis=1)[:, -n, None]
+        above, equal = score > least, score == least
+        take = above | (equal & (np.cumsum(equal, axis=1) <= n - above.sum(1, keepdims=True)))
+        return np.nonzero(take & np.isfinite(score))
+    return np.nonzero(np.isfinite(score))
+
+
 def _search(batches: Iterator[pa.RecordBatch], model: Quantiser, dim: int, k: int, least: float | None, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Tiles, in the order of their keys; the last one of a batch may go on in the next."""
     held: list[pa.RecordBatch] = []
@@ -246,18 +278,27 @@ def _search(batches: Iterator[pa.RecordBatch], model: Quantiser, dim: int, k: in
         yield from run(held)
 
 
-def fit(src: DataFrame, dim: int, tile: int = TILE, cells: int | None = None) -> Quantiser | None:
+def fit(src: DataFrame, dim: int, tile: int = TILE, cells: int | None = None, first_cells: int = FIRST_CELLS) -> Quantiser | None:
     """Codebooks from a bounded sample of rows (id, vec), chosen by the hash of their ids."""
     total = src.count()
     if not total:
         return None
-    cells = cells or int(min(MOST_CELLS, max(LEAST_CELLS, 2 ** round(np.log2(max(1, total / CELL_ROWS))))))
-    wanted = max(FIT_ROWS, 8 * cells)
-    share = min(1.0, 1.1 * wanted / total)
-    sample = src.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vec").limit(wanted).toArrow()
+    cells = cells or int(max(LEAST_CELLS, 2 ** round(np.log2(max(1, total / CELL_ROWS)))))
+    wanted = max(FIT_ROWS, 8 * min(cells, first_cells))
+    # the smallest hashes, in their order: the same sample however the rows lie in files
+    order = F.xxhash64("id")
+    share = min(1.0, 1.2 * wanted / total)
+    near = src.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    sample = near.orderBy(F.pmod(order, F.lit(1 << 30)), "id").select("vec").limit(wanted).toArrow()
     column = sample.column(0).combine_chunks()
     _, x = clean(column, dim)
-    return Quantiser(x, min(cells, max(1, len(x))), total, tile) if len(x) else None
+    return Quantiser(x, cells, total, tile, first_cells=min(first_cells, len(x))) if len(x) else None
+
+
+def _tasks(dealt: DataFrame, rows: int) -> DataFrame:
+    """Dealt rows in the order of their tiles, in tasks of a bounded number of rows."""
+    tasks = min(-(-rows // TASK_ROWS), max(MOST_TASKS, -(-rows // (16 * TASK_ROWS))))
+    return dealt.repartition(max(tasks, dealt.sparkSession.sparkContext.defaultParallelism), "key").sortWithinPartitions("key")
 
 
 EMPTY = "id {kind}, other {kind}, cosine double"
@@ -279,15 +320,15 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("id", "other").agg(F.max("cosine").alias("cosine")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, least: float = 0.8, spread: int = SPREAD, tile: int = TILE) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, least: float = 0.8, spread: int = SPREAD, tile: int = TILE, cells: int | None = None, first_cells: int = FIRST_CELLS) -> DataFrame:
     """(id, other, cosine, place): the up to k most similar others of every vector with a cosine of at least `least`."""
     src, kind = _source(df, id_col, vec_col, dim)
-    model = fit(src, dim, tile)
+    model = fit(src, dim, tile, cells, first_cells)
     if model is None:
         return src.sparkSession.createDataFrame([], EMPTY.format(kind=kind) + ", place int")
     arrow = _arrow(kind)
     dealt = src.mapInArrow(lambda it: _deal_cells(it, model, dim, spread), DEALT.format(kind=kind))
-    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _search(it, model, dim, k, least, arrow), EMPTY.format(kind=kind))
+    found = _tasks(dealt, model.total * spread).mapInArrow(lambda it: _search(it, model, dim, k, least, arrow), EMPTY.format(kind=kind))
     both = F.explode(F.array(F.struct("id", "other"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"))))
     return _ranked(found.select(both.alias("p"), "cosine").select("p.*", "cosine"), k)
 
@@ -304,5 +345,5 @@ def nearest_of(df: DataFrame, is_query, id_col: str, vec_col: str, dim: int, k:
     query_blocks, index_blocks = -(-max(1, counts.q) // tile), -(-counts.n // tile)
     arrow = _arrow(kind)
     dealt = flagged.mapInArrow(lambda it: _deal_blocks(it, model, dim, query_blocks, index_blocks), DEALT.format(kind=kind))
-    found = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _search(it, model, dim, k, None, arrow), EMPTY.format(kind=kind))
+    found = _tasks(dealt, counts.n * query_blocks + counts.q * index_blocks).mapInArrow(lambda it: _search(it, model, dim, k, None, arrow), EMPTY.format(kind=kind))
     return _ranked(found, k)

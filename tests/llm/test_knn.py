@@ -31,12 +31,12 @@ def truth(rows, k, least):
     return out
 
 
-@pytest.mark.parametrize("tile", [4096, 150])
-def test_near_pairs(spark, tile):
+@pytest.mark.parametrize(("tile", "more"), [(4096, {}), (150, {}), (4096, {"cells": 24, "first_cells": 6})])
+def test_near_pairs(spark, tile, more):
     rows, bad = make()
     df = spark.createDataFrame(rows + bad + rows[:40], "id string, v array<double>, cosine string")
     got = {}
-    for r in knn.nearest(df, "id", "v", DIM, 5, 0.8, tile=tile).collect():
+    for r in knn.nearest(df, "id", "v", DIM, 5, 0.8, tile=tile, **more).collect():
         got.setdefault(r.id, []).append((r.place, r.other, r.cosine))
     want = {k: v for k, v in truth(rows, 5, 0.8).items() if v}
     pairs = {(a, b) for a, v in want.items() for b, _ in v}
@@ -73,3 +73,30 @@ def test_codes_keep_the_vector():
     sums = sum(b[codes[:, m]] for m, b in enumerate(model.books))
     assert np.allclose(np.linalg.norm(sums, axis=1), norm, atol=1e-4) and fit.mean() > 0.9
     assert np.allclose(model.scores(x[:5], codes, norm), x[:5] @ (sums / norm[:, None]).T, atol=1e-4)
+
+
+def test_equal_vectors_go_by_their_ids(spark):
+    rows = [(f"e{i:03d}", [1.0, 2.0] + [0.0] * (DIM - 2)) for i in range(300)] + [(f"o{i:03d}", [float(i % 7), -3.0] + [1.0] * (DIM - 2)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    of = {}
+    for r in knn.nearest_of(df, F.col("id").startswith("e29"), "id", "v", DIM, 5).collect():
+        of.setdefault(r.id, []).append((r.place, r.other))
+    assert len(of) == 10 and all([o for _, o in sorted(v)] == [f"e{i:03d}" for i in range(5)] for v in of.values())
+
+
+def test_highest_scores_of_equal_ones_the_first():
+    score = np.array([[3, 5, 5, 5, 1], [-np.inf, 2, -np.inf, 2, -np.inf], [0, 0, 0, 0, 0]], float)
+    a, b = knn.best_scored(score, 2)
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 1), (0, 2), (1, 1), (1, 3), (2, 0), (2, 1)]
+
+
+def test_cells_are_parted_by_a_second_codebook():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, DIM)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = knn.Quantiser(x, 64, 100_000, 4096, first_cells=8)
+    cells = model.nearest_cells(x, 3)
+    assert cells.shape == (3000, 3) and cells.max() < 64 and len(np.unique(cells[:, 0])) > 40
+    centre = np.array([model.books[0][c // len(model.parts)] + model.parts[c % len(model.parts)] for c in range(64)])
+    exact = ((x[:, None] - centre) ** 2).sum(2).argmin(1)
+    assert (exact == cells[:, 0]).mean() > 0.9
