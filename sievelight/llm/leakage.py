@@ -1,16 +1,18 @@
-"""Evaluation texts leaking into training text: n-gram seeds, then Smith-Waterman alignment.
-
-Words are maximal runs of letters and digits, lower-cased. Every n-gram of a passage or question is a seed: a document
-that shares one with an item is aligned with it by a local Smith-Waterman alignment over words, which scores paraphrased
-and edited copies; the longest run without a gap or change is reported beside it. Where only a least share of matched
-words is asked for, pairs whose longest common subsequence is shorter are not aligned; no alignment matches more words.
-
-Where only exact copies are asked for, the n-grams are counted over the whole corpus, and of every stretch of `window`
-passage words (and of every question) the rarest is its seed: no text can hold the stretch without it. An edited copy
-may well lack that n-gram, so these seeds serve exact copies alone.
+"""Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
+
+Words are maximal runs of letters and digits, lower-cased. An n-gram of an item's passage or question is its seed where
+it is rare: held by at most `COMMON` different item texts, or by as few as any n-gram of some stretch of `window` words
+around it. Rarity is that among the items, not in the corpus, where the n-grams of a passage are frequent just because
+it leaked, and where those that an edit destroyed in most copies would pass as the rarest. So every stretch of `window`
+words has a seed, whichever copies are edited, and what a document can share with unrelated items stays bounded. A
+document that holds a seed is aligned with the item around its seeds by a local Smith-Waterman alignment over words,
+which scores paraphrased and edited copies; the longest run of equal words is reported beside it.
+Pairs whose longest common subsequence with the passage is below what is asked for are not aligned; no alignment matches
+more words. Many pairs are aligned at once, row by row, so that memory grows with the stretch and not with its product
+with the passage.
 
 The evaluation side is sent to the workers as sorted arrays while it has at most `BROADCAST_WORDS` words; beyond that
-its n-grams and those of the corpus meet in a join. Both give the same result.
+its n-grams and those of the corpus meet in joins. The rule for seeds and the rows are the same.
 
 Defined results: null and empty texts hold nothing; an item without words is never found; an item text shorter than an
 n-gram is its own seed; items that share a passage are all reported; copies of a document are each reported; repeated
@@ -19,20 +21,31 @@ rows of one document key count once; texts of any length are read whole.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from . import flat
 
 #: Words of a seed; consecutive words that make a leak; words of the evaluation side that may be sent to every worker.
 SEED_WORDS, WINDOW, BROADCAST_WORDS = 5, 13, 2_000_000
+#: Item texts up to which an n-gram is rare wherever it stands.
+COMMON = 50
+#: Evaluation words up to which the n-grams of the corpus are sifted by a bit table before they meet those of the items; its bits.
+SIFTED_WORDS, SIFT_BITS = 20_000_000, 28
+#: Places of one seed that may meet in one task of a join; seeds with more are spread.
+SEED_ROWS, SALTS = 100_000, 64
 #: Words of a document on either side of a seed that the alignment sees beyond the length of the item.
 MARGIN = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Cells of a row of many alignments that are computed at once.
+CELLS = 1 << 16
 BATCH_CHARS = 3_000_000
 
 
@@ -78,31 +91,94 @@ def text_grams(words: np.ndarray, n: int) -> np.ndarray:
 class Item:
     """Words of the passage and of the question of one evaluation item; the places of each passage word as bits."""
 
-    __slots__ = ("item_id", "passage", "question", "places", "asked")
-
     def __init__(self, item_id, passage: np.ndarray, question: np.ndarray):
         self.item_id, self.passage, self.question = item_id, passage, question
-        self.places: dict[int, int] = {}
-        for k, word in enumerate(passage.tolist()):
-            self.places[word] = self.places.get(word, 0) | 1 << k
-        self.asked = frozenset(question.tolist())
 
+    @functools.cached_property
+    def places(self) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for k, word in enumerate(self.passage.tolist()):
+            out[word] = out.get(word, 0) | 1 << k
+        return out
+
+    @functools.cached_property
+    def asked(self) -> frozenset:
+        return frozenset(self.question.tolist())
 
-def read_items(rows: list, window: int = WINDOW) -> list[Item]:
+
+def read_items(rows: list) -> list[Item]:
     """Items from rows (item_id, passage, question)."""
     passages, p = word_hashes([r[1] or "" for r in rows])
     questions, q = word_hashes([r[2] or "" for r in rows])
     return [Item(r[0], passages[p[i] : p[i + 1]], questions[q[i] : q[i + 1]]) for i, r in enumerate(rows)]
 
 
-def all_seeds(items: list[Item], n: int) -> dict[int, np.ndarray]:
-    """By number of words: the sorted n-grams of all items."""
-    found: dict[int, list[np.ndarray]] = {}
-    for item in items:
-        for words in (item.passage, item.question):
-            if len(words):
-                found.setdefault(min(n, len(words)), []).append(text_grams(words, n))
-    return {k: np.unique(np.concatenate(v)) for k, v in found.items()}
+def rare(counts: np.ndarray, span: int, common: int) -> np.ndarray:
+    """Which n-grams of a text are seeds, by their counts among the item texts, in the order of the text: those with at most
+    `common`, or as few as any other of some `span` n-grams in a row (of all, where there are fewer)."""
+    if not len(counts):
+        return np.zeros(0, bool)
+    span = min(span, len(counts))
+    least = np.lib.stride_tricks.sliding_window_view(counts, span).min(1)
+    # the largest of the least counts of all stretches that hold the n-gram
+    edge = np.zeros(span - 1, np.int64)
+    most = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, least, edge]), span).max(1)
+    return counts <= np.maximum(most, common)
+
+
+class Seeds:
+    """Items with their seeds: by number of words the sorted seeds, and for each the numbers of the items that have it.
+
+    dense has for each item the least number of seeds in any `window` words of its passage: a text that holds such a
+    stretch as it is has as many seeds near each other.
+    """
+
+    def __init__(self, items: list[Item], n: int, window: int, common: int):
+        self.items = items
+        texts: dict[bytes, list[int]] = {}  # different texts and the items that have them
+        for number, item in enumerate(items):
+            for words in (item.passage, item.question):
+                if len(words):
+                    texts.setdefault(words.tobytes(), []).append(number)
+        grams_ = {key: text_grams(np.frombuffer(key, np.uint64), n) for key in texts}
+        sizes = {key: min(n, len(key) // 8) for key in texts}
+        self.keys, self.begin, self.owner = {}, {}, {}
+        self.span, self.dense = window - n + 1, {}
+        for size in sorted(set(sizes.values())):
+            own = [key for key in texts if sizes[key] == size]
+            every, counts = np.unique(np.concatenate([np.unique(grams_[key]) for key in own]), return_counts=True)
+            seeds, owners = [], []
+            for key in own:
+                seed = rare(counts[np.searchsorted(every, grams_[key])], self.span, common)
+                if len(seed) >= self.span:
+                    self.dense[key] = int(np.convolve(seed, np.ones(self.span, np.int64), "valid").min())
+                chosen = np.unique(grams_[key][seed])
+                for number in set(texts[key]):
+                    seeds.append(chosen)
+                    owners.append(np.full(len(chosen), number, np.int64))
+            pairs = np.unique(np.rec.fromarrays([np.concatenate(seeds), np.concatenate(owners)], names="k,o"))
+            self.keys[size], begin = np.unique(pairs.k, return_index=True)
+            self.begin[size] = np.append(begin, len(pairs))
+            self.owner[size] = np.ascontiguousarray(pairs.o)
+        self.dense = [self.dense.get(item.passage.tobytes()) for item in items]
+
+    def near(self, places: list[int], number: int) -> bool:
+        """Whether the places of seeds of an item lie as near each other as those of a stretch held as it is."""
+        least = self.dense[number]
+        return least is not None and any(b - a < self.span for a, b in zip(places, places[least - 1 :]))
+
+    def found(self, words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, item number) of every seed in the texts."""
+        at, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, keys in self.keys.items():
+            if not len(keys):
+                continue
+            place, seed = hits(words, offsets, {size: keys})
+            k = np.searchsorted(keys, seed)
+            n = self.begin[size][k + 1] - self.begin[size][k]
+            at.append(np.repeat(place, n))
+            numbers.append(self.owner[size][flat.ranges(self.begin[size][k], n)])
+        return np.concatenate(at), np.concatenate(numbers)
 
 
 def hits(words: np.ndarray, offsets: np.ndarray, seeds: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,72 +203,58 @@ def hits(words: np.ndarray, offsets: np.ndarray, seeds: dict[int, np.ndarray]) -
     return np.concatenate(at), np.concatenate(keys)
 
 
-def item_seeds(items: list[Item], n: int) -> dict[int, list[int]]:
-    """Seed hash -> numbers of the items that hold it: every n-gram of the passage and of the question."""
-    out: dict[int, set[int]] = {}
-    for number, item in enumerate(items):
-        for words in (item.passage, item.question):
-            for seed in text_grams(words, n).tolist():
-                out.setdefault(seed, set()).add(number)
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def rare_seeds(items: list[Item], counts: dict[int, int], n: int, window: int) -> dict[int, list[int]]:
-    """Seed hash -> numbers of the items it stands for: the rarest n-gram of every window of the passage and of the question.
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """(score, matched words, longest run of equal words) of the best local alignment of each pair of word sequences.
 
-    Enough for exact copies of a window or question only.
+    Of the alignments with the best score the one with the most matched words counts. Score and matched words lie in one
+    number; a gap along a row is a running maximum of score + GAP * distance. Pairs of like size share a block.
     """
-    out: dict[int, set[int]] = {}
-    for number, item in enumerate(items):
-        if len(item.passage) >= window:
-            g = text_grams(item.passage, n)
-            rarity = np.array([counts.get(int(x), 0) for x in g])
-            span = window - n + 1
-            for begin in range(len(g) - span + 1):
-                best = begin + int(np.argmin(rarity[begin : begin + span]))
-                out.setdefault(int(g[best]), set()).add(number)
-        if len(item.question):
-            g = text_grams(item.question, n)
-            best = min(g.tolist(), key=lambda x: counts.get(x, 0))
-            out.setdefault(best, set()).add(number)
-    return {k: sorted(v) for k, v in out.items()}
-
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    order = sorted((k for k, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    begin = 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and (end - begin + 1) * len(pairs[order[end]][1]) <= CELLS:
+            end += 1
+        some = order[begin:end]
+        for k, result in zip(some, _align_block([pairs[k] for k in some])):
+            out[k] = result
+        begin = end
+    return out
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """(score, matched words, longest run of equal words) of the best local alignment of two word sequences.
 
-    Rows of the matrix are computed at once; a gap along the row is a running maximum of score + GAP * distance.
-    """
-    if not len(a) or not len(b):
-        return 0, 0, 0
-    m = len(b)
-    slope = np.arange(m + 1) * -GAP
-    rows = np.zeros((len(a) + 1, m + 1), np.int64)
-    same = a[:, None] == b
-    step = np.where(same, MATCH, MISMATCH)
-    run, most = np.zeros(m + 1, np.int64), np.zeros(m, np.int64)
-    for i in range(len(a)):
-        before, now = rows[i], rows[i + 1]
-        np.maximum(before[:-1] + step[i], before[1:] + GAP, out=now[1:])
-        np.maximum(now, 0, out=now)
+def _align_block(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+    size, m, rows = len(pairs), max(len(b) for _, b in pairs), max(len(a) for a, _ in pairs)
+    # beyond the end of a text stand words that equal no other
+    text, valid = np.zeros((size, m), np.uint64), np.zeros((size, m), bool)
+    passage = np.zeros((rows, size), np.uint64)
+    live = np.array([len(a) for a, _ in pairs])
+    for k, (a, b) in enumerate(pairs):
+        text[k, : len(b)], valid[k, : len(b)], passage[: len(a), k] = b, True, a
+    one = np.int64(1) << 32
+    slope = np.arange(m + 1, dtype=np.int64) * (-GAP * one)
+    before, now = np.zeros((size, m + 1), np.int64), np.zeros((size, m + 1), np.int64)
+    run, most, best = np.zeros((size, m + 1), np.int32), np.zeros((size, m), np.int32), np.zeros(size, np.int64)
+    for i in range(rows):
+        same = (text == passage[i][:, None]) & valid & (i < live)[:, None]
+        step = np.where(same, MATCH * one + 1, MISMATCH * one)
+        np.maximum(before[:, :-1] + step, before[:, 1:] + GAP * one, out=now[:, 1:])
+        now[:, 0] = 0
+        now[now < one] = 0  # a local alignment begins anew where its score is none
         now += slope
-        np.maximum.accumulate(now, out=now)
+        np.maximum.accumulate(now, axis=1, out=now)
         now -= slope
-        run[1:] = (run[:-1] + 1) * same[i]
-        np.maximum(most, run[1:], out=most)
-    longest = int(most.max())
-    i, j = np.unravel_index(int(rows.argmax()), rows.shape)
-    score, matched = int(rows[i, j]), 0
-    while i and j and rows[i, j]:
-        if a[i - 1] == b[j - 1] and rows[i, j] == rows[i - 1, j - 1] + MATCH:
-            matched, i, j = matched + 1, i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] + GAP:
-            i -= 1
-        elif rows[i, j] == rows[i, j - 1] + GAP:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-    return score, matched, longest
+        now[now < one] = 0
+        np.maximum(best, np.where(i < live, now.max(1), 0), out=best)
+        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        np.maximum(most, run[:, 1:], out=most)
+        before, now = now, before
+    return [(int(v >> 32), int(v & 0xFFFFFFFF), int(r)) for v, r in zip(best, most.max(1))]
+
+
+def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """The same for one pair."""
+    return align_many([(a, b)])[0]
 
 
 def common(words: list[int], item: Item) -> int:
@@ -234,20 +296,27 @@ def may_match(words: list[int], known: set[int], places: list[int], item: Item,
     return any(common(words[a:b], item) / size >= least for a, b in stretches(places, item))
 
 
-def compare(words: np.ndarray, places: np.ndarray, item: Item) -> tuple[int, float, int, bool]:
-    """(score, share of the passage's words matched, longest exact run in the passage, whole question held) near the seeds."""
-    best = (0, 0.0, 0)
-    question = False
-    q = item.question
-    for begin, end in stretches(places.tolist(), item):
-        stretch = words[begin:end]
-        score, matched, run = align(item.passage, stretch)
-        best = max(best, (score, matched / max(1, len(item.passage)), run))
-        if len(q) and len(stretch) >= len(q) and not question:
+def compare_many(pairs: list[tuple[np.ndarray, list[int], Item]]) -> list[tuple[int, float, int, bool]]:
+    """(score, share of the passage's words matched, longest exact run in the passage, whole question held) near the seeds of each (words, places, item)."""
+    parts = [(number, words[a:b]) for number, (words, places, item) in enumerate(pairs) for a, b in stretches(places, item)]
+    aligned = align_many([(pairs[number][2].passage, stretch) for number, stretch in parts])
+    best = [(0, 0.0, 0)] * len(pairs)
+    question = [False] * len(pairs)
+    for (number, stretch), (score, matched, run) in zip(parts, aligned):
+        item = pairs[number][2]
+        was = best[number]
+        score, share, _ = max(was, (score, matched / max(1, len(item.passage)), run))
+        best[number] = (score, share, max(was[2], run))
+        q = item.question
+        if len(q) and len(stretch) >= len(q) and not question[number]:
             at = np.flatnonzero(stretch[: len(stretch) - len(q) + 1] == q[0])
-            question = any(bool((stretch[k : k + len(q)] == q).all()) for k in at)
-        best = (best[0], best[1], max(best[2], run))
-    return best[0], best[1], best[2], question
+            question[number] = any(bool((stretch[k : k + len(q)] == q).all()) for k in at)
+    return [(*b, q) for b, q in zip(best, question)]
+
+
+def compare(words: np.ndarray, places: np.ndarray, item: Item) -> tuple[int, float, int, bool]:
+    """The same for one pair."""
+    return compare_many([(words, places.tolist(), item)])[0]
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -257,134 +326,165 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield a, b, words, offsets
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch], seeds: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, words, offsets in _texts(batch):
-            _, keys = hits(words, offsets, seeds)
-            keys, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["seed", "n"])
+RESULT = "item_id bigint, score bigint, matched double, longest_run bigint, question boolean"
+NAMES = ["id", *[f.split()[0] for f in RESULT.split(", ")]]
+KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
 
 
-def _align_batches(batches: Iterator[pa.RecordBatch], items: list[Item], owners: dict[int, list[int]], sizes: dict[int, np.ndarray], least: float) -> Iterator[pa.RecordBatch]:
-    names = ["id", "item_id", "score", "matched", "longest_run", "question"]
+def _align_batches(batches: Iterator[pa.RecordBatch], sent, asked: Asked) -> Iterator[pa.RecordBatch]:
+    seeds: Seeds = sent.value
     for batch in batches:
-        out: list[list] = [[] for _ in names[1:]]
-        rows = []
+        rows: list[int] = []
+        pairs: list[tuple[np.ndarray, list[int], Item]] = []
         for a, _, words, offsets in _texts(batch):
-            at, keys = hits(words, offsets, sizes)
+            at, number = seeds.found(words, offsets)
             if not len(at):
                 continue
             text = np.searchsorted(offsets, at, side="right") - 1
-            pairs: dict[tuple[int, int], list[int]] = {}
-            for t, place, key in zip(text.tolist(), at.tolist(), keys.tolist()):
-                for number in owners[key]:
-                    pairs.setdefault((t, number), []).append(place - int(offsets[t]))
+            order = np.lexsort((at, number, text))
+            text, number, at = text[order], number[order], at[order]
+            edges = np.append(np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (number[1:] != number[:-1]))), len(at))
             last = -1
-            for (t, number), places in sorted(pairs.items()):
-                if least > 0:
-                    if t != last:
-                        last, own = t, words[offsets[t] : offsets[t + 1]].tolist()
-                        known = set(own)
-                    if not may_match(own, known, places, items[number], least):
-                        continue
-                result = compare(words[offsets[t] : offsets[t + 1]], np.array(places), items[number])
-                rows.append(a + t)
-                for column, value in zip(out, (items[number].item_id, *result)):
-                    column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(out, kinds)]], names)
-
-
-def _gram_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(key, seed) of every n-gram, for the join of a large evaluation side."""
-    for batch in batches:
-        for a, b, words, offsets in _texts(batch):
-            g = grams(words, n)
-            text = np.repeat(np.arange(b - a), np.diff(offsets))[: len(g)]
-            whole = np.arange(len(g)) + n <= offsets[1:][text]
-            rows = batch.column(0).take(pa.array(a + text[whole]))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(g[whole].view(np.int64))], [batch.schema.names[0], "seed"])
+            for begin, end in zip(edges, edges[1:]):
+                t, item = int(text[begin]), seeds.items[number[begin]]
+                if t != last:
+                    last, whole = t, words[offsets[t] : offsets[t + 1]]
+                    own = whole.tolist()
+                    known = set(own)
+                places = (at[begin:end] - offsets[t]).tolist()
+                chained = not asked.exact or seeds.near(places, number[begin])
+                if may_match(own, known, places, item, asked.share(item) if chained else 2.0):
+                    rows.append(a + t)
+                    pairs.append((whole, places, item))
+        columns = list(zip(*compare_many(pairs))) or [[]] * 4
+        columns = [[p[2].item_id for p in pairs], *columns]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, KINDS)]], NAMES)
+
+
+class Asked:
+    """Which rows are wanted: a least share of matched words, or exact runs of `window` words; always those with the whole question."""
 
+    def __init__(self, least: float, exact: bool, window: int):
+        self.least, self.exact, self.window = least, exact, window
 
-def _pair_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Alignment of joined pairs (id, item_id, passage, question, text)."""
+    def share(self, item: Item) -> float:
+        """Share of the passage that an alignment must match to be wanted."""
+        return self.window / max(1, len(item.passage)) if self.exact else self.least
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        if self.exact:  # the score of the alignment, then the exact run
+            return df.filter(((F.col("score") >= MATCH * self.window) & (F.col("longest_run") >= self.window)) | F.col("question"))
+        return df.filter(((F.col("score") > 0) & (F.col("matched") >= self.least)) | F.col("question"))
+
+
+def _gram_batches(batches: Iterator[pa.RecordBatch], n: int, sift) -> Iterator[pa.RecordBatch]:
+    """(id, seed) of every run of up to n words that the bit table lets pass; shorter runs matter where a whole item text is that short."""
     for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in range(2, 5)]
-        out: list[list] = [[] for _ in range(4)]
-        for passage, question, text in zip(*cols):
-            item = read_items([(0, passage, question)])[0]
-            words, offsets = word_hashes([text or ""])
-            at, _ = hits(words, offsets, all_seeds([item], n))
-            result = compare(words, at, item) if len(at) else (0, 0.0, 0, False)
-            for column, value in zip(out, result):
-                column.append(value)
-        kinds = [pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(out, kinds)]], ["id", "item_id", "score", "matched", "longest_run", "question"])
+        for a, b, words, offsets in _texts(batch):
+            of = np.repeat(np.arange(b - a), np.diff(offsets))
+            for size in range(1, n + 1):
+                g = grams(words, size)
+                text = of[: len(g)]
+                at = np.flatnonzero(np.arange(len(g)) + size <= offsets[1:][text]) if len(g) else np.zeros(0, np.int64)
+                if sift is not None:
+                    at = at[sifted(sift.value, g[at])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + text[at])), pa.array(g[at].view(np.int64))], ["id", "seed"])
 
 
-RESULT = "item_id bigint, score bigint, matched double, longest_run bigint, question boolean"
+def sifted(table: np.ndarray, g: np.ndarray) -> np.ndarray:
+    low = g & np.uint64((1 << SIFT_BITS) - 1)
+    return (table[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SEED_WORDS, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, least: float = 0.0, exact: bool = False) -> DataFrame:
+def _text_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(item_id, part, whole, pos, size, seed) of every n-gram of the item texts (item_id, part, text); of a shorter text the text itself.
+
+    whole tells different texts apart, size is their number of n-grams.
+    """
+    for batch in batches:
+        rows, whole, at, size, seeds = [], [], [], [], []
+        for a, b, words, offsets in _texts(batch):
+            for t in range(b - a):
+                text = words[offsets[t] : offsets[t + 1]]
+                own = text_grams(text, n)
+                key = np.bitwise_xor.reduce(flat.mix(text + np.arange(len(text), dtype=np.uint64))) if len(text) else np.uint64(0)
+                rows += [a + t] * len(own)
+                whole += [int(key.view(np.int64))] * len(own)
+                at += range(len(own))
+                size += [len(own)] * len(own)
+                seeds.append(own)
+        keys = [batch.column(k).take(pa.array(rows, pa.int64())) for k in (0, 1)]
+        ints = [pa.array(x, pa.int64()) for x in (whole, at, size)]
+        yield pa.RecordBatch.from_arrays([*keys, *ints, pa.array(np.concatenate([np.zeros(0, np.uint64), *seeds]).view(np.int64))], ["item_id", "part", "whole", "pos", "size", "seed"])
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch], n: int, asked: Asked) -> Iterator[pa.RecordBatch]:
+    """Alignment of joined pairs (id, item_id, seeds, passage, question, text)."""
+    for batch in batches:
+        lists, texts = batch.column(2).to_pylist(), batch.column(5).to_pylist()
+        items = read_items(list(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())))
+        rows, pairs = [], []
+        for r, (own, item, text) in enumerate(zip(lists, items, texts)):
+            words, offsets = word_hashes([text or ""])
+            chosen = np.unique(np.array(own, np.int64).view(np.uint64))
+            sizes = {min(n, len(w)) for w in (item.passage, item.question) if len(w)}
+            found = [hits(words, offsets, {size: chosen})[0] for size in sizes]
+            places = sorted({p for at in found for p in at.tolist()})
+            own_words = words.tolist()
+            if places and may_match(own_words, set(own_words), places, item, asked.share(item)):
+                rows.append(r)
+                pairs.append((words, places, item))
+        columns = list(zip(*compare_many(pairs))) or [[]] * 4
+        taken = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *[pa.array(c, k) for c, k in zip(columns, KINDS[1:])]], NAMES)
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SEED_WORDS, window: int = WINDOW, broadcast_words: int = BROADCAST_WORDS, least: float = 0.0, exact: bool = False, common: int = COMMON) -> DataFrame:
     """(id, item_id, score, matched, longest_run, question) of every document and item that share a seed.
 
     items has item_id, passage and question. score and matched (share of the passage's words) are those of the best
     local alignment, longest_run counts equal consecutive words, question tells that the whole question is held.
-    least keeps the rows with that share of matched words, or the question; exact those with a run of `window` words,
-    or the question, and without score and matched, which only all seeds tell.
+    least keeps the rows with that share of matched words, or the question; exact those whose alignment scores as much as
+    a run of `window` words and holds such a run, or the question.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     held = items.select(F.col("item_id").cast("bigint"), F.col("passage").cast("string"), F.col("question").cast("string"))
-    chars = held.agg(F.sum(F.coalesce(F.length("passage"), F.lit(0)) + F.coalesce(F.length("question"), F.lit(0)))).first()[0] or 0
+    asked = Asked(least, exact, window)
+    chars = held.agg(F.sum(F.coalesce(F.length("passage"), F.lit(0)) + F.coalesce(F.length("question"), F.lit(0))).cast("bigint")).first()[0] or 0
     if chars > 6 * broadcast_words:
-        return _wanted(_joined(src, held, kind, n), least, exact, window).withColumnRenamed("id", id_col)
-    read = read_items([tuple(r) for r in held.collect()])
-    seeds = all_seeds(read, n)
-    if not exact:
-        owners = item_seeds(read, n)
-        out = src.mapInArrow(lambda it: _align_batches(it, read, owners, seeds, least), f"id {kind}, {RESULT}")
-        return _wanted(out.dropDuplicates(["id", "item_id"]), least, exact, window).withColumnRenamed("id", id_col)
-    counted = src.select("text").mapInArrow(lambda it: _count_batches(it, seeds), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    counts = {r.seed & 0xFFFFFFFFFFFFFFFF: r.n for r in counted.collect()}  # at most one row for each n-gram of the items
-    rare = rare_seeds(read, counts, n, window)
-    chosen = np.array(sorted(rare), np.uint64)
-    sizes = {k: v[np.isin(v, chosen)] for k, v in seeds.items()}
-    sizes = {k: v for k, v in sizes.items() if len(v)}
-    out = src.mapInArrow(lambda it: _align_batches(it, read, rare, sizes, 0.0), f"id {kind}, {RESULT}")
-    return _wanted(out.dropDuplicates(["id", "item_id"]), least, exact, window).withColumnRenamed("id", id_col)
-
-
-def _wanted(rows: DataFrame, least: float, exact: bool, window: int) -> DataFrame:
-    if exact:
-        return rows.filter((F.col("longest_run") >= window) | F.col("question")).drop("score", "matched")
-    return rows.filter(((F.col("score") > 0) & (F.col("matched") >= least)) | F.col("question"))
-
-
-def _joined(src: DataFrame, held: DataFrame, kind: str, n: int) -> DataFrame:
-    """The same for an evaluation side of any size: n-grams meet in a join, texts are joined to pairs.
-
-    Every n-gram of an item is a seed here, and the whole of a text shorter than n words.
-    """
-    texts = held.select("item_id", F.explode(F.array("passage", "question")).alias("text"))
-    gram = texts.mapInArrow(lambda it: _gram_batches(it, n), "item_id bigint, seed bigint")
-    short = texts.mapInArrow(lambda it: _short_batches(it, n), "item_id bigint, seed bigint")
-    corpus = src.mapInArrow(lambda it: _gram_batches(it, n), f"id {kind}, seed bigint")
-    for k in range(1, n):  # shorter n-grams of the corpus matter only where a whole item text is that short
-        part = src.mapInArrow(lambda it, k=k: _gram_batches(it, k), f"id {kind}, seed bigint")
-        corpus = corpus.unionByName(part.join(short.select("seed").distinct(), "seed", "left_semi").select("id", "seed"))
-    pairs = corpus.distinct().join(gram.unionByName(short).distinct(), "seed").select("id", "item_id").distinct()
-    whole = pairs.join(held, "item_id").join(src.dropDuplicates(["id"]), "id").select("id", "item_id", "passage", "question", "text")
-    return whole.mapInArrow(lambda it: _pair_batches(it, n), f"id {kind}, {RESULT}")
-
-
-def _short_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, seeds = [], []
-        for a, b, words, offsets in _texts(batch):
-            for t in range(b - a):
-                own = words[offsets[t] : offsets[t + 1]]
-                if 0 < len(own) < n:
-                    rows.append(a + t)
-                    seeds.append(text_grams(own, n)[0])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(np.array(seeds, np.uint64).view(np.int64))], ["item_id", "seed"])
+        return asked.rows(_joined(src, held, kind, n, window, common, asked, chars)).withColumnRenamed("id", id_col)
+    sent = spark.sparkContext.broadcast(Seeds(read_items([tuple(r) for r in held.collect()]), n, window, common))
+    out = src.mapInArrow(lambda it: _align_batches(it, sent, asked), f"id {kind}, {RESULT}")
+    return asked.rows(out.dropDuplicates(["id", "item_id"])).withColumnRenamed("id", id_col)
+
+
+def _joined(src: DataFrame, held: DataFrame, kind: str, n: int, window: int, common: int, asked: Asked, chars: int) -> DataFrame:
+    """The same for an evaluation side of any size: n-grams are counted and met in joins, texts are joined to pairs."""
+    spark = src.sparkSession
+    texts = held.select("item_id", F.posexplode(F.array("passage", "question")).alias("part", "text"))
+    own = materialize(texts.mapInArrow(lambda it: _text_batches(it, n), "item_id bigint, part int, whole bigint, pos bigint, size bigint, seed bigint"), "item_grams")
+    span = window - n + 1
+    w = W.partitionBy("item_id", "part").orderBy("pos")
+    counts = own.groupBy("seed").agg(F.count_distinct("whole").alias("n"))
+    fits = F.col("pos") <= F.greatest(F.col("size") - span, F.lit(0))
+    least = own.join(counts, "seed").withColumn("least", F.when(fits, F.min("n").over(w.rowsBetween(0, span - 1))))
+    most = least.withColumn("most", F.max("least").over(w.rowsBetween(1 - span, 0)))
+    seeds = materialize(most.filter(F.col("n") <= F.greatest("most", F.lit(common))).select("seed", "item_id").distinct(), "seeds")
+    sift = None
+    if chars <= 6 * SIFTED_WORDS:  # low bits of the seeds; a bit table of 32 MB
+        bits = seeds.select(F.col("seed").bitwiseAND((1 << SIFT_BITS) - 1).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)
+        table = np.zeros(1 << SIFT_BITS - 3, np.uint8)
+        np.bitwise_or.at(table, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+        sift = spark.sparkContext.broadcast(table)
+    corpus = src.mapInArrow(lambda it: _gram_batches(it, n, sift), f"id {kind}, seed bigint")
+    # a seed with many places is spread: its places by the hash of their document, the items' side once for each salt
+    heavy = corpus.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > SEED_ROWS)
+    heavy = materialize(heavy.select("seed", F.least(F.ceil(F.col("n") / SEED_ROWS).cast("int"), F.lit(SALTS)).alias("salts")), "heavy")
+    heavy = F.broadcast(heavy) if heavy.count() <= SEED_ROWS else heavy
+    salt = F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.lit(0))
+    placed = corpus.join(heavy, "seed", "left").select("id", "seed", salt.alias("salt"))
+    wanted = seeds.join(heavy, "seed", "left").select("seed", "item_id", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    pairs = placed.join(wanted, ["seed", "salt"]).groupBy("id", "item_id").agg(F.collect_set("seed").alias("seeds"))
+    whole = pairs.join(held, "item_id").join(src.dropDuplicates(["id"]), "id").select("id", "item_id", "seeds", "passage", "question", "text")
+    return whole.mapInArrow(lambda it: _pair_batches(it, n, asked), f"id {kind}, {RESULT}")

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from sievelight.llm.leakage import SEED_WORDS, align, common, compare, leaks, read_items, word_hashes
+from sievelight.llm.leakage import SEED_WORDS, align, align_many, common, compare, leaks, rare, read_items, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -42,13 +42,15 @@ def make(seed):
     return docs + [(500, None), (501, ""), (502, "---")], items
 
 
-@pytest.mark.parametrize("bound", [2_000_000, 1])
-def test_against_brute_force(spark, bound):
+@pytest.mark.parametrize(("bound", "common"), [(2_000_000, 50), (2_000_000, 0), (1, 50), (1, 0)])
+def test_against_brute_force(spark, bound, common):
     docs, items = make(7)
     d = spark.createDataFrame([(a, b, 0) for a, b in docs + docs[:5]], "doc_id long, text string, score int")
     i = spark.createDataFrame(items, "item_id long, passage string, question string")
-    rows = leaks(d, i, broadcast_words=bound).collect()
+    rows = leaks(d, i, broadcast_words=bound, common=common).collect()
     got = [(r.doc_id, r.item_id) for r in rows if r.longest_run >= 13 or r.question]
+    sure = {(r.doc_id, r.item_id) for r in leaks(d, i, broadcast_words=bound, common=common, exact=True).collect()}
+    assert sure == set(got)
     assert set(got) == brute(docs, items) and len(got) == len(set(got))
     assert leaks(d.limit(0), i, broadcast_words=bound).collect() == []
     assert leaks(d, i.limit(0)).collect() == []
@@ -139,3 +141,43 @@ def test_both_paths_give_the_same_rows(spark):
         small, large = (sorted(map(tuple, leaks(d, i, broadcast_words=bound, **asked).collect())) for bound in (2_000_000, 1))
         assert small == large and small
         assert "exact" in asked or {r[0] for r in small if r[1] == 30} >= {2001}
+
+
+@pytest.mark.parametrize("bound", [2_000_000, 1])
+def test_planted_copies_with_one_word_in_a_few_changed(spark, bound):
+    """Copies of 40 passages, edited at four rates, the most edited ones far more often than the passages as they are."""
+    rng = random.Random(9)
+    vocab = [f"word{i}" for i in range(3000)]
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(60)), "") for k in range(40)]
+    docs = [(k, "before it " + p) for k, (_, p, _) in enumerate(items)]
+    for rate in (6, 8, 10, 12):
+        docs += [(1000 * rate + 100 * copy + k, f"some text {edited(p, rate)} goes on") for copy in range(6 if rate == 6 else 1) for k, (_, p, _) in enumerate(items)]
+    docs += [(90_000 + k, " ".join(rng.choice(vocab) for _ in range(80))) for k in range(200)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, question string")
+    for common in (50, 0):
+        rows = {(r.doc_id, r.item_id): r for r in leaks(d, i, broadcast_words=bound, least=0.5, common=common).collect()}
+        want = {(a, a % 100) for a, _ in docs if a < 90_000}
+        assert set(rows) == want
+        assert all(0.8 <= r.matched <= 1.0 for r in rows.values())
+
+
+def test_rare_ngrams():
+    assert rare(np.array([9, 9, 9, 2, 9, 9, 9, 9, 9]), 4, 0).tolist() == [False] * 3 + [True] * 6
+    assert rare(np.array([9, 1, 9]), 5, 0).tolist() == [False, True, False] and rare(np.array([9, 1, 9]), 5, 9).all() and not len(rare(np.zeros(0, int), 5, 1))
+
+
+def test_many_alignments_at_once_equal_single_ones():
+    rng = np.random.default_rng(7)
+    pairs = [(rng.integers(1, 6, rng.integers(0, 40)).astype(np.uint64), rng.integers(1, 6, rng.integers(0, 90)).astype(np.uint64)) for _ in range(150)]
+    for (a, b), (score, matched, run) in zip(pairs, align_many(pairs)):
+        table = [[(0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+        best, longest, runs = (0, 0), 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                same = a[i - 1] == b[j - 1]
+                (d, dm), (u, um), (le, lm) = table[i - 1][j - 1], table[i - 1][j], table[i][j - 1]
+                cell = max((d + (2 if same else -1), dm + int(same)), (u - 1, um), (le - 1, lm))
+                table[i][j] = cell if cell[0] > 0 else (0, 0)
+                runs[i][j] = runs[i - 1][j - 1] + 1 if same else 0
+                best, longest = max(best, table[i][j]), max(longest, runs[i][j])
+        assert (score, matched, run) == (*best, longest)
