@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import os
+import pickle
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
@@ -15,29 +21,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one is set only where none is configured (local tests)."""
+    """The shared folder of spark.checkpoint.dir, or the one the session has set.
+
+    A temporary one is made only in local mode (tests); on a cluster, where each machine would get its own, it is an error.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         there = current.rpartition("/")[0] if current else tempfile.mkdtemp(prefix="sievelight-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(there)
     return there
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _path(spark: SparkSession, path: str):
+    """A path and its file system in the JVM."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes the rows as parquet to the shared folder and reads them back; columns stay prunable, lost executors cost nothing."""
+    """Writes the rows as parquet to the shared folder and reads them back; columns stay prunable, lost executors cost nothing.
+
+    The table is deleted when the driver ends, or by `forget`.
+    """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    where, fs = _path(spark, path)
+    fs.deleteOnExit(where)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: dict[str, list[str]] = {}
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that `materialize` has written in this application; their number. No query that reads them may still run."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where, fs = _path(spark, path)
+        fs.delete(where, True)
+    return len(paths)
+
+
+def stored(spark: SparkSession, key: str, make: Callable[[], T]) -> T:
+    """What `make` gives, kept in the shared folder under a key that tells all it depends on; made once, then read."""
+    path = os.path.join(checkpoint_dir(spark), key)
+    done, fs = _path(spark, os.path.join(path, "_SUCCESS"))
+    if fs.exists(done):
+        return pickle.loads(spark.read.schema("content binary").parquet(path).first().content)
+    value = make()
+    spark.createDataFrame([(bytearray(pickle.dumps(value)),)], "content binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return value
+
+
 def exists(df: DataFrame) -> bool:
     return bool(df.limit(1).count())

@@ -1,6 +1,10 @@
+import os
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
+from sievelight import runtime
 from sievelight.functions import text as T
 from sievelight.operators import analyze, dense, ingest, segment
 from sievelight.plans.retrieval_queries import FIXTURES
@@ -105,3 +109,23 @@ def test_pairs_in_tiles(spark, tile):
     top = {(r.id, r.other) for r in dense.top_k(v.filter("id < 5"), v, 5, 3, tile).collect()}
     np.fill_diagonal(s, -2)
     assert top == {(i, int(j)) for i in range(5) for j in np.argsort(-s[i])[:3]}
+
+
+def test_written_tables_are_forgotten_and_values_stored_once(spark):
+    rows = runtime.materialize(spark.range(5), "five")
+    path = rows.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.isdir(path) and rows.count() == 5
+    assert runtime.forget(spark) >= 1 and not os.path.exists(path)
+    made = []
+    make = lambda: made.append(1) or {"a": list(range(3))}
+    key = f"value-{uuid.uuid4().hex}"
+    assert runtime.stored(spark, key, make) == runtime.stored(spark, key, make) == {"a": [0, 1, 2]} and made == [1]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://head:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError):
+        runtime.checkpoint_dir(Cluster)
