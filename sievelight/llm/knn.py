@@ -85,8 +85,8 @@ class Quantiser:
                 self.parts = _means(rest, min(first_cells, -(-cells // first)), rng)[0]
         self.norms = [(b * b).sum(1) for b in self.books]
         self.gram = {(j, m): 2 * self.books[j] @ self.books[m].T for m in range(BOOKS) for j in range(m)}
-        cell, n = np.unique(self.nearest_cells(sample, 1)[:, 0], return_counts=True)
-        salts = np.ceil(n / len(sample) * total * SPREAD / tile).astype(np.int64)
+        cell, n = np.unique(self.nearest_cells(sample, SPREAD), return_counts=True)  # a cell may be the second choice of many
+        salts = np.ceil(n / len(sample) * total / tile).astype(np.int64)
         self.total = total
         self.salts = {int(c): int(s) for c, s in zip(cell, salts) if s > 1}
 
