@@ -290,6 +290,8 @@ def may_match(words: list[int], known: set[int], places: list[int], item: Item,
     """
     if item.asked and item.asked <= known and holds(words, item.question.tolist()):
         return True
+    if least > 1:
+        return False
     size = max(1, len(item.passage))
     if sum(item.places[word].bit_count() for word in item.places.keys() & known) / size < least:
         return False
