@@ -26,9 +26,19 @@ def concepts(text: Column, word: str = "[a-z]{5,}") -> Column:
     return F.array_distinct(F.filter(F.concat(words, content), lambda w: ~F.array_contains(stop, w)))
 
 
+#: Words of two letters or digits and more are concepts of the bridge search.
+WORD = "[a-z0-9]{2,}"
+
+
 def incidences(sentences: DataFrame, text: str = "text") -> DataFrame:
     """(grp, node, concept) from sentences (grp, node, text); words of two letters or digits and more are concepts."""
-    return sentences.select("grp", "node", F.explode(concepts(F.col(text), "[a-z0-9]{2,}")).alias("concept"))
+    return sentences.select("grp", "node", F.explode(concepts(F.col(text), WORD)).alias("concept"))
+
+
+def concept_links(incident: DataFrame) -> DataFrame:
+    """(grp, concept, n_sentences, n_pairs): the edges by shared concepts, counted by concept; the pairs themselves are never listed."""
+    n = F.col("n_sentences")
+    return incident.groupBy("grp", "concept").agg(F.count_distinct("node").alias("n_sentences")).filter(n > 1).withColumn("n_pairs", (n * (n - 1) / 2).cast("bigint"))
 
 
 def bridges(incident: DataFrame, sources: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

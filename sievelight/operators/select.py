@@ -123,33 +123,48 @@ def _bits(mask: str) -> int:
     return int(mask, 2) if mask else 0
 
 
-def _swaps(rows: list[dict]) -> list[dict]:
-    """Best strictly improving swap, again and again."""
+def _best_swap(chosen: list[dict], rest: list[dict]) -> tuple[tuple, dict, dict] | None:
+    """(key, removed, added) of the swap that covers most terms more, ties in the order of the key; None where none covers more."""
+    have = _union(chosen)
+    pool = [r for r in chosen if not r["is_bridge"]] or chosen
+    able = [(n, c) for c in rest if (n := (c["bits"] & ~have).bit_count())]
+    if not able or not pool:
+        return None
+    ahead, behind = [0], [0]  # unions of all before and after each of the selection
+    for r, s in zip(chosen, reversed(chosen)):
+        ahead.append(ahead[-1] | r["bits"])
+        behind.append(behind[-1] | s["bits"])
+    others = {id(r): ahead[k] | behind[len(chosen) - 1 - k] for k, r in enumerate(chosen)}
+    best = None
+    for out in pool:
+        for n, c in able:
+            gain = (others[id(out)] | c["bits"]).bit_count() - have.bit_count()
+            if gain > 0:
+                key = (-gain, -n, not c["is_bridge"], -c["score"], c["n_chars"], c["doc_id"], c["position"], c["sentence_id"], out["doc_id"], out["position"], out["sentence_id"])
+                if best is None or key < best[0]:
+                    best = (key, out, c)
+    return best
+
+
+def _split(rows: list[dict]) -> tuple[list[dict], list[dict]]:
     for r in rows:
         r["bits"] = _bits(r["emask"] + r["kmask"])
-    chosen = [r for r in rows if r["selected"]]
-    rest = [r for r in rows if not r["selected"]]
-    missing_terms = lambda s: (set(rows[0]["entities"]) | set(rows[0]["keywords"])) - {t for r in s for t in _covered(r)}
+    return [r for r in rows if r["selected"]], [r for r in rows if not r["selected"]]
+
+
+def _one_swap(rows: list[dict]) -> list[dict]:
+    best = _best_swap(*_split(rows))
+    if best is None:
+        return []
+    key, out, c = best
+    return [{"query_id": c["query_id"], "added": c["sentence_id"], "removed": out["sentence_id"], "improvement": -key[0], "n_missing": -key[1]}]
+
+
+def _swaps(rows: list[dict]) -> list[dict]:
+    """Best strictly improving swap, again and again."""
+    chosen, rest = _split(rows)
     swaps = 0
-    while rest:
-        missing = missing_terms(chosen)
-        pool = [r for r in chosen if not r["is_bridge"]] or chosen
-        able = [(sum(t in missing for t in _covered(c)), c) for c in rest]
-        able = [(n, c) for n, c in able if n > 0]
-        if not missing or not able or not pool:
-            break
-        base = _union(chosen).bit_count()
-        best = None
-        for out in pool:
-            others = _union([r for r in chosen if r is not out])
-            for n, c in able:
-                gain = (others | c["bits"]).bit_count() - base
-                if gain > 0:
-                    key = (-gain, -n, not c["is_bridge"], -c["score"], c["n_chars"], c["doc_id"], c["position"], c["sentence_id"], out["doc_id"], out["position"], out["sentence_id"])
-                    if best is None or key < best[0]:
-                        best = (key, out, c)
-        if best is None:
-            break
+    while best := _best_swap(chosen, rest):
         _, out, c = best
         chosen = [r for r in chosen if r is not out] + [c]
         rest = [r for r in rest if r is not c] + [out]
@@ -170,7 +185,17 @@ def _union(rows: list[dict]) -> int:
 
 
 def swap_for_coverage(masked: DataFrame) -> DataFrame:
-    """(query_id, sentence_id, selected, swaps) after the coverage swaps, for the rows that took part; others keep their place.
+    """(query_id, sentence_id, selected, swaps) after the coverage swaps, for the rows that took part; others keep their place."""
+    return fold_queries(_swappable(masked), _swaps, "query_id string, sentence_id string, selected boolean, swaps int")
+
+
+def best_swap(masked: DataFrame) -> DataFrame:
+    """(query_id, added, removed, improvement, n_missing): the first swap of each query that has one."""
+    return fold_queries(_swappable(masked), _one_swap, "query_id string, added string, removed string, improvement int, n_missing int")
+
+
+def _swappable(masked: DataFrame) -> DataFrame:
+    """The rows that can take part in the coverage swaps.
 
     masked has selected, is_bridge, score, n_chars, doc_id, position and the masks. Each swap covers at least one term
     more, so there are at most as many swaps as terms, and of the candidates with one mask only the first that many in
@@ -185,7 +210,7 @@ def swap_for_coverage(masked: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id", "selected", "emask", "kmask").orderBy(*order))
     some = masked.join(open_, "query_id", "left_semi").withColumn("__rn", rank).filter(F.col("selected") | (F.concat("emask", "kmask").contains("1") & (F.col("__rn") <= n_terms))).drop("__rn")
     columns = ["query_id", "sentence_id", "selected", "is_bridge", "score", "n_chars", "doc_id", "position", "emask", "kmask", "entities", "keywords"]
-    return fold_queries(some.select(*columns), _swaps, "query_id string, sentence_id string, selected boolean, swaps int")
+    return some.select(*columns)
 
 
 def coverage(masked: DataFrame, selected_only: bool = True) -> DataFrame:
@@ -237,11 +262,11 @@ def _expand(rows: list[dict]) -> list[dict]:
     complete = not missing_e and not missing_k
     return [{
         "query_id": head["query_id"], "sufficient": complete and count >= head["required"] and bridge, "coverage_complete": complete, "minimum_met": count >= head["required"], "bridge_met": bridge,
-        "required": head["required"], "n_selected": count, "n_added": len(added), "added": added, "stopped": reason, "n_terms": len(every),
+        "complexity": head["complexity"], "required": head["required"], "n_selected": count, "n_added": len(added), "expansion_limit": limit, "added": added, "stopped": reason, "n_terms": len(every),
     }]
 
 
-EXPANDED = "query_id string, sufficient boolean, coverage_complete boolean, minimum_met boolean, bridge_met boolean, required int, n_selected int, n_added int, added array<string>, stopped string, n_terms int"
+EXPANDED = "query_id string, sufficient boolean, coverage_complete boolean, minimum_met boolean, bridge_met boolean, complexity string, required int, n_selected int, n_added int, expansion_limit int, added array<string>, stopped string, n_terms int"
 
 
 def expand(masked: DataFrame, queries: DataFrame) -> DataFrame:
@@ -255,6 +280,6 @@ def expand(masked: DataFrame, queries: DataFrame) -> DataFrame:
     sizes = masked.groupBy("query_id").agg(F.count_if("selected").cast("int").alias("n_selected"))
     rank = F.row_number().over(W.partitionBy("query_id", "selected", "is_bridge", "emask", "kmask").orderBy(F.col("score").desc(), "n_chars", "doc_id", "position", "sentence_id"))
     some = masked.withColumn("__rn", rank).filter(F.col("__rn") <= F.when(F.col("selected"), 1).otherwise(most)).drop("__rn", "query_type")
-    q = queries.select("query_id", F.coalesce("query_type", F.lit("")).alias("query_type"), required_evidence(F.col("query_type"), F.col("complexity")).alias("required"))
-    columns = ["query_id", "sentence_id", "selected", "is_bridge", "score", "n_chars", "doc_id", "position", "emask", "kmask", "entities", "keywords", "query_type", "required", "n_selected"]
+    q = queries.select("query_id", F.coalesce("query_type", F.lit("")).alias("query_type"), "complexity", required_evidence(F.col("query_type"), F.col("complexity")).alias("required"))
+    columns = ["query_id", "sentence_id", "selected", "is_bridge", "score", "n_chars", "doc_id", "position", "emask", "kmask", "entities", "keywords", "query_type", "complexity", "required", "n_selected"]
     return some.join(q, "query_id").join(sizes, "query_id").select(*columns).transform(lambda d: fold_queries(d, _expand, EXPANDED))

@@ -9,6 +9,7 @@ from .. import config as C
 from ..functions import text as T
 from ..operators import analyze, control, dense, fusion, graph, score, segment, select, sparse
 from ..runtime import materialize, table
+from . import selection_sql as X
 from . import sqltext as S
 
 #: Literal questions whose results are known, beside those of the tables.
@@ -201,9 +202,8 @@ def multi_signal_score(spark, sf):
 
 
 def conflicts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (grp, id, prio) and conflicts (grp, a, b) of near copies among each query's sentences."""
+    """Nodes (grp, id, prio), all sentences, and conflicts (grp, a, b) of near copies among each query's; without a usable embedding there are none."""
     s = one_sentence(spark, sf).select("query_id", "sentence_id", "doc_id", "embedding", F.coalesce(F.nanvl("final_score", F.lit(0.0)), F.lit(0.0)).alias("score"))
-    s = s.filter(dense.unit(F.col("embedding"), 384).isNotNull())
     pairs = dense.close_pairs(s, "query_id", "sentence_id", "embedding", 384, C.DUPLICATE_SOFT)
     doc = s.select(F.col("sentence_id").alias("id"), F.col("doc_id").alias("da")), s.select(F.col("sentence_id").alias("other"), F.col("doc_id").alias("db"))
     bad = pairs.join(doc[0], "id").join(doc[1], "other").filter((F.col("cosine") >= C.DUPLICATE_EXACT) | F.col("da").eqNullSafe(F.col("db")))
@@ -211,12 +211,6 @@ def conflicts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, bad.select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
 
 
-def greedy_dedup_all(spark, sf):
-    """The sentences that de-duplication keeps; one without a usable embedding is a near copy of none and is kept."""
-    every = one_sentence(spark, sf).select("query_id", "sentence_id")
-    return greedy_dedup(spark, sf).unionByName(every.join(conflicts(spark, sf)[0].select(F.col("id").alias("sentence_id")), "sentence_id", "left_anti").select("query_id", "sentence_id"))
-
-
 def cosine_pairs(spark, sf):
     s = one_sentence(spark, sf).select("query_id", "sentence_id", "embedding")
     out = dense.close_pairs(s, "query_id", "sentence_id", "embedding", 384, C.GRAPH_COSINE)
@@ -224,7 +218,7 @@ def cosine_pairs(spark, sf):
 
 
 def greedy_dedup(spark, sf):
-    """De-duplication among the sentences with a usable embedding, as its SQL has it; greedy_dedup_all has all sentences."""
+    """The sentences that de-duplication keeps; one without a usable embedding is a near copy of none and is kept."""
     nodes, bad = conflicts(spark, sf)
     return select.keep_greedily(nodes, bad).select(F.col("grp").alias("query_id"), F.col("id").alias("sentence_id"))
 
@@ -233,14 +227,32 @@ def concepts(spark, sf):
     return one_sentence(spark, sf).select("query_id", "sentence_id", F.explode(graph.concepts(F.col("text"))).alias("concept"))
 
 
+def query_concepts(q: DataFrame) -> DataFrame:
+    """(grp, concept): the entities and keywords of each question, lower-cased; where it has none, the concepts of the question itself."""
+    none = F.array().cast("array<string>")
+    listed = F.filter(F.transform(F.concat(F.coalesce("entities", none), F.coalesce("keywords", none)), lambda t: F.lower(F.trim(t))), lambda t: t != "")
+    rows = q.select(F.col("query_id").alias("grp"), listed.alias("t"), graph.concepts(F.col("query"), graph.WORD).alias("own"))
+    return rows.select("grp", F.explode(F.array_distinct(F.when(F.size("t") > 0, F.col("t")).otherwise(F.col("own")))).alias("concept"))
+
+
+def sentence_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return one_sentence(spark, sf).select(F.col("query_id").alias("grp"), F.col("sentence_id").alias("node"), "text", "embedding")
+
+
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    return dense.close_pairs(nodes, "grp", "node", "embedding", 384, C.GRAPH_COSINE).select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
+
+
+def concept_links(spark, sf):
+    """The edges of each query's graph by the concept that makes them."""
+    return graph.concept_links(graph.incidences(sentence_nodes(spark, sf))).withColumnRenamed("grp", "query_id")
+
+
 def bridge_paths(spark: SparkSession, sf: str) -> DataFrame:
-    s = one_sentence(spark, sf).select(F.col("query_id").alias("grp"), F.col("sentence_id").alias("node"), "text", "embedding")
+    s = sentence_nodes(spark, sf)
     links = graph.incidences(s)
-    terms = table(spark, sf, "queries").select(F.col("query_id").alias("grp"), F.explode(F.concat(F.coalesce("entities", F.array().cast("array<string>")), F.coalesce("keywords", F.array().cast("array<string>")))).alias("t"))
-    wanted = terms.select("grp", F.lower(F.trim("t")).alias("concept")).distinct()
-    sources = links.join(wanted, ["grp", "concept"], "left_semi").select("grp", "node").distinct()
-    pairs = dense.close_pairs(s, "grp", "node", "embedding", 384, C.GRAPH_COSINE).select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
-    return graph.bridges(links, sources, pairs)
+    sources = links.join(query_concepts(table(spark, sf, "queries")), ["grp", "concept"], "left_semi").select("grp", "node").distinct()
+    return graph.bridges(links, sources, near_pairs(s))
 
 
 def bridge_nodes(spark, sf):
@@ -275,6 +287,11 @@ def missing_terms(spark, sf):
     return out.select("query_id", F.array_join("missing_entities", "|").alias("missing_entities"), F.array_join("missing_keywords", "|").alias("missing_keywords"))
 
 
+def best_swap(spark, sf):
+    """The first coverage swap of every query that has one."""
+    return select.best_swap(masked(spark, sf))
+
+
 def swap_loop(spark, sf):
     """What the coverage swaps change: sentences that come in or go out."""
     m = masked(spark, sf)
@@ -283,22 +300,28 @@ def swap_loop(spark, sf):
 
 
 def swapped(m: DataFrame) -> DataFrame:
-    after = select.swap_for_coverage(m).select("query_id", "sentence_id", F.col("selected").alias("after"))
+    """The selection after the swaps, and how many there were."""
+    after = select.swap_for_coverage(m).select("query_id", "sentence_id", F.col("selected").alias("after"), "swaps")
     return m.join(after, ["query_id", "sentence_id"], "left").withColumn("selected", F.coalesce("after", "selected")).drop("after")
 
 
 def diversity_stats(spark, sf):
+    """Coverage of each query's terms before and after the swaps; counts of terms are those of the lists, repeated ones included."""
     m = masked(spark, sf)
-    before, after = select.coverage(m), select.coverage(swapped(m))
-    b = before.select("query_id", (F.col("covered_entities") + F.col("covered_keywords")).alias("coverage_before"))
-    ratio = lambda k: F.when(F.col(f"n_{k}") > 0, F.round(F.col(f"covered_{k}") / F.col(f"n_{k}"), 6)).otherwise(1.0)
-    out = after.join(b, "query_id").withColumn("coverage_after", F.col("covered_entities") + F.col("covered_keywords"))
-    return out.select("query_id", "n_entities", "covered_entities", ratio("entities").alias("entity_ratio"), "n_keywords", "covered_keywords", ratio("keywords").alias("keyword_ratio"), "coverage_before", "coverage_after",
-                      (F.col("coverage_after") - F.col("coverage_before")).alias("coverage_delta"))
+    done = materialize(swapped(m), "swapped")
+    before = select.coverage(m).select("query_id", (F.col("covered_entities") + F.col("covered_keywords")).alias("coverage_before"))
+    swaps = done.groupBy("query_id").agg(F.coalesce(F.max("swaps"), F.lit(0)).alias("sentence_swaps"))
+    none = F.array().cast("array<string>")
+    sizes = table(spark, sf, "queries").select("query_id", *[F.size(F.coalesce(k, none)).alias(f"query_{k}") for k in ("entities", "keywords")])
+    out = select.coverage(done).join(before, "query_id").join(swaps, "query_id").join(sizes, "query_id").withColumn("coverage_after", F.col("covered_entities") + F.col("covered_keywords"))
+    ratio = lambda k: F.when(F.col(f"query_{k}") > 0, F.round(F.col(f"covered_{k}") / F.col(f"query_{k}"), 6)).otherwise(1.0)
+    lost = lambda k: F.array_join(f"missing_{k}", "|").alias(f"missing_{k}")
+    return out.select("query_id", "query_entities", "covered_entities", ratio("entities").alias("coverage_ratio"), lost("entities"), "query_keywords", "covered_keywords", ratio("keywords").alias("keyword_coverage_ratio"), lost("keywords"),
+                      "sentence_swaps", (F.col("coverage_after") > F.col("coverage_before")).alias("coverage_improved"), "coverage_before", "coverage_after", (F.col("coverage_after") - F.col("coverage_before")).alias("coverage_delta"))
 
 
 def sufficiency(spark, sf):
-    return select.expand(swapped(masked(spark, sf)), complexities(spark, sf)).withColumn("added", F.array_join("added", "|"))
+    return select.expand(swapped(masked(spark, sf)).drop("swaps"), complexities(spark, sf)).withColumn("added", F.array_join("added", "|"))
 
 
 def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
@@ -319,8 +342,7 @@ def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
     rows = materialize(rows.join(kept, ["query_id", "sentence_id"], "left_semi"), "distinct")
 
     links = graph.incidences(rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias("node"), "text"))
-    wanted = q.select(F.col("query_id").alias("grp"), F.explode(F.concat("entities", "keywords")).alias("t")).select("grp", F.lower(F.trim("t")).alias("concept")).distinct()
-    sources = links.join(wanted, ["grp", "concept"], "left_semi").select("grp", "node").distinct()
+    sources = links.join(query_concepts(q), ["grp", "concept"], "left_semi").select("grp", "node").distinct()
     ends = pairs.filter(F.col("cosine") >= C.GRAPH_COSINE).select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
     for key in ("a", "b"):
         ends = ends.join(rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias(key)), ["grp", key], "left_semi")
@@ -328,7 +350,7 @@ def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
     rows = rows.join(on_path, ["query_id", "sentence_id"], "left").withColumn("is_bridge", F.coalesce("is_bridge", F.lit(False))).withColumn("n_chars", F.length("text"))
 
     m = materialize(select.with_masks(select.fit_budget(materialize(rows, "bridged"), q), q), "masked")
-    m = materialize(swapped(m), "swapped")
+    m = materialize(swapped(m).drop("swaps"), "swapped")
     of = analyze.complexity(F.col("query"), F.size("entities"), F.size("keywords"))
     more = select.expand(m, q.select("query_id", "query_type", of.alias("complexity"))).select("query_id", F.explode("added").alias("sentence_id"), F.lit(True).alias("added"))
     out = m.join(more, ["query_id", "sentence_id"], "left").filter(F.col("selected") | F.col("added"))
@@ -356,8 +378,8 @@ def full_pipeline(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     query_info, query_type, query_negation, query_keywords, query_entities, query_complexity, required_evidence, sentence_clean, plural_normalise, evidentiality, recency, segment_sentences, segment_drop_counts,
-    sentence_objects, term_coverage, bm25_topk, dense_topk, hybrid_rrf, hash_embed, hash_similarity, evidence_density, multi_signal_score, cosine_pairs, greedy_dedup, greedy_dedup_all, concepts, bridge_nodes, budget_fill, budget_stats,
-    missing_terms, swap_loop, diversity_stats, sufficiency, full_pipeline, dense_shard_retrieve, layer_stats,
+    sentence_objects, term_coverage, bm25_topk, dense_topk, hybrid_rrf, hash_embed, hash_similarity, evidence_density, multi_signal_score, cosine_pairs, greedy_dedup, concepts, concept_links, bridge_nodes, budget_fill, budget_stats,
+    missing_terms, best_swap, swap_loop, diversity_stats, sufficiency, full_pipeline, dense_shard_retrieve, layer_stats,
 ]}
 
 _Q = "q AS (SELECT query_id, query FROM queries UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('f{i:02d}', '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(FIXTURES)) + ") AS v(query_id, query))"
@@ -466,7 +488,10 @@ SELECT g.query_id, coalesce(string_agg(term, '|' ORDER BY term) FILTER (WHERE ki
 FROM (SELECT DISTINCT query_id FROM r) g LEFT JOIN c ON c.query_id = g.query_id GROUP BY 1""",
 }
 
-SQL["greedy_dedup_all"] = f"SELECT query_id, sentence_id FROM ({SQL['greedy_dedup']}) UNION ALL SELECT query_id, sentence_id FROM {S.ONE_SENTENCE} WHERE sentence_id NOT IN (WITH {_VALID} SELECT sentence_id FROM v)"
+SQL["greedy_dedup"] = f"SELECT query_id, sentence_id FROM ({SQL['greedy_dedup']}) UNION ALL SELECT query_id, sentence_id FROM {S.ONE_SENTENCE} WHERE sentence_id NOT IN (WITH {_VALID} SELECT sentence_id FROM v)"
+SQL["bridge_nodes"] = X.bridge_nodes(_VALID)
+SQL["concept_links"] = f"WITH {X.graph(_VALID)} SELECT grp AS query_id, concept, count(*) AS n_sentences, count(*) * (count(*) - 1) // 2 AS n_pairs FROM inc GROUP BY 1, 2 HAVING count(*) > 1"
+SQL |= {"best_swap": X.best_swap(_BUDGET), "swap_loop": X.swap_loop(_BUDGET), "diversity_stats": X.diversity_stats(_BUDGET), "sufficiency": X.sufficiency(_BUDGET)}
 SQL["dense_shard_retrieve"] = f"WITH top AS ({SQL['dense_topk']}), pos AS (SELECT vec_id AS other_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 128 AS INT) AS shard FROM embeddings) SELECT vec_id, rank, other_id, shard FROM top JOIN pos USING (other_id)"
 SQL["layer_stats"] = f"""WITH s AS ({SQL['budget_stats']}) SELECT query_id, 'budget' AS layer, metric, value FROM (SELECT query_id, CAST(budget AS BIGINT) AS budget, tokens_used, tokens_remaining, n_input, n_selected FROM s)
 UNPIVOT (value FOR metric IN (budget, tokens_used, tokens_remaining, n_input, n_selected))"""

@@ -12,7 +12,7 @@ def test_sentences_without_a_usable_embedding_are_kept(spark, tmp_path):
     v = [1.0] + [0.0] * 383
     rows = [("q", "a", "d", v, 0.9), ("q", "b", "d", v, 0.8), ("q", "none", "d", None, 0.7), ("q", "zero", "d", [0.0] * 384, 0.6), ("q", "nan", "d", [float("nan")] * 384, 0.5), ("q", "short", "d", [1.0], 0.4)]
     spark.createDataFrame(rows, SENTENCES).write.parquet(str(tmp_path / "sentences.parquet"))
-    got = sorted(r.sentence_id for r in R.greedy_dedup_all(spark, str(tmp_path)).collect())
+    got = sorted(r.sentence_id for r in R.greedy_dedup(spark, str(tmp_path)).collect())
     assert got == ["a", "nan", "none", "short", "zero"]
 
 
