@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +24,18 @@ def unit(vec: Column, dim: int) -> Column:
     return F.when((F.size(vec) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0), v)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], k: int | None, least: float | None, same_group: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, grp, side, id, vec) in the order of tile: the products of side 0 with side 1 of each tile."""
+def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k highest scores of each row; of equal ones (to nine places) those that come first."""
+    if k >= scores.shape[1]:
+        return tuple(x.ravel() for x in np.indices(scores.shape))
+    scores = np.round(scores, 9)
+    least = np.partition(scores, -k, axis=1)[:, -k, None]
+    above, equal = scores > least, scores == least
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True))))
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], k: int | None, least: float | None) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, grp, side, id, vec) in the order of tile and id: the products of side 0 with side 1 of each tile."""
     held: list[pa.RecordBatch] = []
 
     def run() -> Iterator[pa.RecordBatch]:
@@ -43,17 +54,16 @@ def _tiles(batches: Iterator[pa.RecordBatch], k: int | None, least: float | None
             if least is not None:
                 i, j = np.nonzero(s >= least - 1e-12)
             else:
-                few = min(k + 1, len(b))
-                j = np.argpartition(-s, few - 1, axis=1)[:, :few].ravel() if few else np.zeros(0, np.int64)
-                i = np.repeat(np.arange(len(q)), few)
+                i, j = best(s, k + 1)  # the query itself may be among them
             grp = table.column("grp").take(pa.array(q[i]))
             yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (grp, ids.take(pa.array(q[i])), ids.take(pa.array(b[j])), pa.array(s[i, j]))], ["grp", "id", "other", "cosine"])
 
     for batch in batches:
-        tile = batch.column(0).to_pylist()
-        edges = [0, *[i for i in range(1, len(tile)) if tile[i] != tile[i - 1]], len(tile)]
+        tile = batch.column(0)
+        new = pc.not_equal(tile.slice(1), tile.slice(0, max(0, len(tile) - 1))).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(tile)]
         for a, b in zip(edges, edges[1:]):
-            if held and held[-1].column(0)[0].as_py() != tile[a]:
+            if held and held[-1].column(0)[0] != tile[a]:
                 yield from run()
                 held.clear()
             held.append(batch.slice(a, b - a))
@@ -69,22 +79,22 @@ def _dealt(left: DataFrame, right: DataFrame, tile: int) -> DataFrame:
     theirs = F.pmod(F.xxhash64("id"), F.col("mb")).cast("int")
     a = left.join(sizes, "grp").select("*", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("j")).select(F.concat_ws("|", "grp", mine, "j").alias("tile"), "grp", F.lit(0).alias("side"), "id", "vec")
     b = right.join(sizes, "grp").select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i")).select(F.concat_ws("|", "grp", "i", theirs).alias("tile"), "grp", F.lit(1).alias("side"), "id", "vec")
-    return a.unionByName(b).repartition("tile").sortWithinPartitions("tile")
+    return a.unionByName(b).repartition("tile").sortWithinPartitions("tile", "id")
 
 
 def close_pairs(df: DataFrame, group: str, id_col: str, vec: str, dim: int, least: float, tile: int = TILE) -> DataFrame:
     """(grp, id, other, cosine) of pairs of one group with a cosine of at least `least`, id < other."""
     rows = df.select(F.col(group).cast("string").alias("grp"), F.col(id_col).alias("id"), unit(F.col(vec), dim).alias("vec")).filter("vec IS NOT NULL AND grp IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
-    out = _dealt(rows, rows, tile).mapInArrow(lambda it: _tiles(it, None, least, True), f"grp string, id {kind}, other {kind}, cosine double")
+    out = _dealt(rows, rows, tile).mapInArrow(lambda it: _tiles(it, None, least), f"grp string, id {kind}, other {kind}, cosine double")
     return out.filter("id < other").withColumn("cosine", F.round("cosine", 9))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, dim: int, k: int, tile: int = TILE) -> DataFrame:
-    """(id, other, cosine, rank): exact k best of `vectors` for each of `queries`, both (id, vec); equal ids are left out."""
+    """(id, other, cosine, rank): exact k best of `vectors` for each of `queries`, both (id, vec) with unique ids; equal ids are left out, ties go to the smaller id."""
     a, b = (d.select(F.lit("all").alias("grp"), "id", unit(F.col("vec"), dim).alias("vec")).filter("vec IS NOT NULL") for d in (queries, vectors))
     kind = a.schema["id"].dataType.simpleString()
-    out = _dealt(a, b, tile).mapInArrow(lambda it: _tiles(it, k, None, True), f"grp string, id {kind}, other {kind}, cosine double")
+    out = _dealt(a, b, tile).mapInArrow(lambda it: _tiles(it, k, None), f"grp string, id {kind}, other {kind}, cosine double")
     out = out.filter("id <> other").select("id", "other", F.round("cosine", 9).alias("cosine"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -410,6 +410,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY br DESC, score
 f AS (SELECT query_id, 0::BIGINT AS k, CAST(max(budget) AS BIGINT) AS rest, ''::VARCHAR AS sentence_id, false AS selected FROM r GROUP BY 1
   UNION ALL SELECT f.query_id, r.k, CASE WHEN r.n <= f.rest THEN f.rest - r.n ELSE f.rest END, r.sentence_id, r.n <= f.rest FROM f JOIN r ON r.query_id = f.query_id AND r.k = f.k + 1)"""
 
+_RANKED = f"""tok AS (SELECT chunk_idx AS id, {S.index_tokens('chunk_text')} AS tokens FROM {S.CHUNKS}), len AS (SELECT id, len(tokens) AS dl FROM tok),
+post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM tok) GROUP BY 1, 2), corpus AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM len),
+raw AS (SELECT term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY 1), corpus), terms AS (SELECT term, CASE WHEN raw < 0 THEN {C.EPSILON} * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+kw AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({S.WORDS.format('lower(k)')}) AS term FROM (SELECT query_id, unnest(keywords) AS k FROM queries)) GROUP BY 1, 2),
+sc AS (SELECT query_id, id, round(sum(qtf * idf * tf * {C.K1 + 1} / (tf + {C.K1} * ({1 - C.B} + {C.B} * dl / avgdl))), 6) AS score FROM kw JOIN terms USING (term) JOIN post USING (term) JOIN len USING (id), corpus GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0)"""
+
 SQL = {
     "query_info": f"WITH {_Q} SELECT query_id, query, {S.query_type('query')} AS query_type, array_to_string(list_sort({S.keywords('query')}), '|') AS keywords, array_to_string(list_sort({S.entities('query')}), '|') AS entities, {_NEG} AS has_negation FROM q",
     "query_type": f"WITH {_Q} SELECT query_id, {S.query_type('query')} AS query_type FROM q",
@@ -439,14 +446,7 @@ c AS (SELECT u.query_id, u.kind, u.term, max(CASE WHEN len(tt) > 0 AND list_has_
 SELECT g.query_id, CAST(coalesce(sum(cov) FILTER (WHERE kind = 'e'), 0) AS INT) AS covered_entities, CAST(coalesce(sum(cov) FILTER (WHERE kind = 'k'), 0) AS INT) AS covered_keywords,
   CAST(count(*) FILTER (WHERE kind = 'e' AND cov = 0) AS INT) AS n_missing_entities, CAST(count(*) FILTER (WHERE kind = 'k' AND cov = 0) AS INT) AS n_missing_keywords
 FROM (SELECT DISTINCT query_id FROM s JOIN queries USING (query_id)) g LEFT JOIN c ON c.query_id = g.query_id GROUP BY 1""",
-    "bm25_topk": f"""
-WITH tok AS (SELECT chunk_idx AS id, {S.index_tokens('chunk_text')} AS tokens FROM {S.CHUNKS}), len AS (SELECT id, len(tokens) AS dl FROM tok),
-post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM tok) GROUP BY 1, 2), corpus AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM len),
-raw AS (SELECT term, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM post GROUP BY 1), corpus), terms AS (SELECT term, CASE WHEN raw < 0 THEN {C.EPSILON} * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({S.WORDS.format('lower(k)')}) AS term FROM (SELECT query_id, unnest(keywords) AS k FROM queries)) GROUP BY 1, 2),
-sc AS (SELECT query_id, id, round(sum(qtf * idf * tf * {C.K1 + 1} / (tf + {C.K1} * ({1 - C.B} + {C.B} * dl / avgdl))), 6) AS score FROM q JOIN terms USING (term) JOIN post USING (term) JOIN len USING (id), corpus GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0)
-SELECT query_id, id AS chunk_idx, score, rank FROM rk WHERE rank <= 15""",
+    "bm25_topk": f"WITH {_RANKED} SELECT query_id, id AS chunk_idx, score, rank FROM rk WHERE rank <= 15",
     "dense_topk": f"""
 WITH s AS (SELECT a.vec_id, b.vec_id AS other_id, round({S.cosine('a.embedding', 'b.embedding')}, 9) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
 SELECT vec_id, other_id, round(c, 6) AS cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, other_id) AS rank FROM s) WHERE rank <= 15""",
@@ -489,9 +489,10 @@ FROM (SELECT DISTINCT query_id FROM r) g LEFT JOIN c ON c.query_id = g.query_id
 }
 
 SQL["greedy_dedup"] = f"SELECT query_id, sentence_id FROM ({SQL['greedy_dedup']}) UNION ALL SELECT query_id, sentence_id FROM {S.ONE_SENTENCE} WHERE sentence_id NOT IN (WITH {_VALID} SELECT sentence_id FROM v)"
-SQL["bridge_nodes"] = X.bridge_nodes(_VALID)
-SQL["concept_links"] = f"WITH {X.graph(_VALID)} SELECT grp AS query_id, concept, count(*) AS n_sentences, count(*) * (count(*) - 1) // 2 AS n_pairs FROM inc GROUP BY 1, 2 HAVING count(*) > 1"
+SQL["bridge_nodes"] = X.bridge_nodes(X.cosine_edges(_VALID))
+SQL["concept_links"] = f"WITH {X.graph(X.cosine_edges(_VALID))} SELECT grp AS query_id, concept, count(*) AS n_sentences, count(*) * (count(*) - 1) // 2 AS n_pairs FROM inc GROUP BY 1, 2 HAVING count(*) > 1"
 SQL |= {"best_swap": X.best_swap(_BUDGET), "swap_loop": X.swap_loop(_BUDGET), "diversity_stats": X.diversity_stats(_BUDGET), "sufficiency": X.sufficiency(_BUDGET)}
 SQL["dense_shard_retrieve"] = f"WITH top AS ({SQL['dense_topk']}), pos AS (SELECT vec_id AS other_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 128 AS INT) AS shard FROM embeddings) SELECT vec_id, rank, other_id, shard FROM top JOIN pos USING (other_id)"
 SQL["layer_stats"] = f"""WITH s AS ({SQL['budget_stats']}) SELECT query_id, 'budget' AS layer, metric, value FROM (SELECT query_id, CAST(budget AS BIGINT) AS budget, tokens_used, tokens_remaining, n_input, n_selected FROM s)
 UNPIVOT (value FOR metric IN (budget, tokens_used, tokens_remaining, n_input, n_selected))"""
+SQL["full_pipeline"] = X.pipeline(_BUDGET, _RANKED, _embed, _EVIDENCE.replace("text", "p.text"), _SHARE.replace("text", "p.text"), _DENSITY.replace("text", "p.text"), _TEMPORAL)

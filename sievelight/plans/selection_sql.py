@@ -10,23 +10,26 @@ _CONCEPTS = rf"""list_distinct(list_filter(list_concat(list_transform(regexp_ext
   {S.lemmas("regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}')")}), lambda w: NOT list_contains({S.listed(FUNCTION_WORDS)}, w)))"""
 
 
-def graph(valid: str) -> str:
-    """inc, shared and cosine edges, the terms of the questions and the source sentences; valid defines v, the sentences with a usable embedding."""
-    return f"""{valid},
-one AS MATERIALIZED (SELECT query_id AS grp, sentence_id AS node, text FROM {S.ONE_SENTENCE}),
+def cosine_edges(valid: str) -> str:
+    """close: pairs by the stored embeddings; valid defines v, the sentences with a usable one."""
+    return f"""{valid}, close AS MATERIALIZED (SELECT a.query_id AS grp, a.sentence_id AS u, b.sentence_id AS v FROM v a JOIN v b ON a.query_id = b.query_id AND a.sentence_id < b.sentence_id WHERE {S.cosine('a.embedding', 'b.embedding')} >= {C.GRAPH_COSINE})"""
+
+
+def graph(close: str, rows: str = S.ONE_SENTENCE) -> str:
+    """inc, shared and cosine edges, the terms of the questions and the source sentences of rows; close defines the cosine edges (grp, u, v)."""
+    return f"""{close},
+one AS MATERIALIZED (SELECT query_id AS grp, sentence_id AS node, text FROM {rows}),
 inc AS MATERIALIZED (SELECT grp, node, unnest({_CONCEPTS}) AS concept FROM one),
 shared AS MATERIALIZED (SELECT DISTINCT a.grp, a.node AS u, b.node AS v FROM inc a JOIN inc b ON a.grp = b.grp AND a.concept = b.concept AND a.node < b.node),
-close AS MATERIALIZED (SELECT a.query_id AS grp, a.sentence_id AS u, b.sentence_id AS v FROM v a JOIN v b ON a.query_id = b.query_id AND a.sentence_id < b.sentence_id WHERE {S.cosine('a.embedding', 'b.embedding')} >= {C.GRAPH_COSINE}),
 asked AS (SELECT query_id AS grp, lower(trim(unnest(list_concat(coalesce(entities, []), coalesce(keywords, []))), ' ')) AS concept FROM queries),
 own AS (SELECT query_id AS grp, unnest({_CONCEPTS.replace("text", "query")}) AS concept FROM queries),
 wanted AS (SELECT DISTINCT grp, concept FROM asked WHERE concept <> '' UNION SELECT grp, concept FROM own WHERE grp NOT IN (SELECT grp FROM asked WHERE concept <> '')),
 source AS MATERIALIZED (SELECT DISTINCT grp, node FROM inc JOIN wanted USING (grp, concept))"""
 
 
-def bridge_nodes(valid: str) -> str:
-    """Breadth-first search from every source at once; a row holds the frontier and what was seen."""
-    return f"""
-WITH RECURSIVE {graph(valid)},
+def bridges(close: str, rows: str = S.ONE_SENTENCE) -> str:
+    """walk: breadth-first search from every source at once; a row holds the frontier and what was seen, the last one of a source its path."""
+    return f"""{graph(close, rows)},
 edge AS MATERIALIZED (SELECT grp, u, v FROM shared UNION SELECT grp, v, u FROM shared UNION SELECT grp, u, v FROM close UNION SELECT grp, v, u FROM close),
 walk AS (
   SELECT grp, node AS src, [{{'n': node, 'p': [node]}}] AS front, [node] AS seen, NULL::VARCHAR[] AS path FROM source
@@ -35,8 +38,11 @@ walk AS (
   FROM (SELECT w.grp, w.src, any_value(w.seen) AS seen, e.v, min(w.f.p) AS p, bool_or(s.node IS NOT NULL) AS ends
         FROM (SELECT grp, src, seen, unnest(front) AS f FROM walk WHERE path IS NULL) w JOIN edge e ON e.grp = w.grp AND e.u = w.f.n LEFT JOIN source s ON s.grp = e.grp AND s.node = e.v
         WHERE NOT list_contains(w.seen, e.v) GROUP BY w.grp, w.src, e.v)
-  GROUP BY grp, src)
-SELECT DISTINCT grp AS query_id, unnest(path) AS sentence_id FROM walk WHERE path IS NOT NULL"""
+  GROUP BY grp, src)"""
+
+
+def bridge_nodes(close: str) -> str:
+    return f"WITH RECURSIVE {bridges(close)} SELECT DISTINCT grp AS query_id, unnest(path) AS sentence_id FROM walk WHERE path IS NOT NULL"
 
 
 def masked(budget: str) -> str:
@@ -100,12 +106,11 @@ SELECT h.query_id, CAST(coalesce(len(q.entities), 0) AS INT) AS query_entities,
 FROM h JOIN queries q USING (query_id)"""
 
 
-def sufficiency(budget: str) -> str:
-    """Expansion by the best candidate at a time, until the evidence suffices, the limit is reached or none is left."""
+def expanded(budget: str) -> str:
+    """z: expansion by the best candidate at a time, until the evidence suffices, the limit is reached or none is left; a query a row."""
     low = f"{S.word_count('query')} <= {C.COMPLEXITY['low'][0]} AND coalesce(len(entities), 0) <= {C.COMPLEXITY['low'][1]} AND coalesce(len(keywords), 0) <= {C.COMPLEXITY['low'][2]}"
     medium = f"{S.word_count('query')} <= {C.COMPLEXITY['medium'][0]} AND coalesce(len(entities), 0) <= {C.COMPLEXITY['medium'][1]} AND coalesce(len(keywords), 0) <= {C.COMPLEXITY['medium'][2]}"
-    return f"""
-WITH RECURSIVE {swapped(budget)},
+    return f"""{swapped(budget)},
 q AS (SELECT *, {S.by_type('query_type', C.MINIMUM_EVIDENCE)} + {S.by_type('complexity', C.COMPLEXITY_BUMP)} AS required, {S.by_type('query_type', C.MAX_EXPANSION)} AS most, query_type = 'multi_hop' AS need
   FROM (SELECT query_id, query_type, CASE WHEN {low} THEN 'low' WHEN {medium} THEN 'medium' ELSE 'high' END AS complexity FROM queries) WHERE query_id IN (SELECT query_id FROM last)),
 s0 AS (SELECT l.query_id, l.sel, count(*) FILTER (list_contains(l.sel, m.sentence_id)) AS n, coalesce(bit_or(m.bits) FILTER (list_contains(l.sel, m.sentence_id)), 0) AS bits,
@@ -119,7 +124,46 @@ s AS (
     FROM s JOIN q USING (query_id) LEFT JOIN full_of o USING (query_id) JOIN s0 USING (query_id) JOIN m ON m.query_id = s.query_id AND NOT list_contains(s0.sel, m.sentence_id) AND NOT list_contains(s.added, m.sentence_id)
     WHERE NOT (s.bits = coalesce(every, 0) AND s.n >= q.required AND s.bridge) AND len(s.added) < q.most) WHERE rn = 1),
 e AS (SELECT query_id, max(n) AS n, arg_max(bits, n) AS bits, arg_max(bridge, n) AS bridge, arg_max(added, n) AS added FROM s GROUP BY 1),
-z AS (SELECT e.*, q.*  EXCLUDE (query_id), e.bits = coalesce(every, 0) AS complete, coalesce(n_terms, 0) AS n_terms FROM e JOIN q USING (query_id) LEFT JOIN full_of USING (query_id))
+z AS (SELECT e.*, q.*  EXCLUDE (query_id), e.bits = coalesce(every, 0) AS complete, coalesce(n_terms, 0) AS n_terms FROM e JOIN q USING (query_id) LEFT JOIN full_of USING (query_id))"""
+
+
+def sufficiency(budget: str) -> str:
+    return f"""
+WITH RECURSIVE {expanded(budget)}
 SELECT query_id, complete AND n >= required AND bridge AS sufficient, complete AS coverage_complete, n >= required AS minimum_met, bridge AS bridge_met, complexity, CAST(required AS INT) AS required, CAST(n AS INT) AS n_selected,
   CAST(len(added) AS INT) AS n_added, CAST(most AS INT) AS expansion_limit, array_to_string(added, '|') AS added, CASE WHEN complete AND n >= required AND bridge THEN 'sufficient' WHEN len(added) >= most THEN 'expansion_limit' ELSE 'no_useful_candidates' END AS stopped,
   CAST(n_terms AS INT) AS n_terms FROM z"""
+
+
+def pipeline(budget: str, bm25: str, embed, evidence: str, share: str, density: str, temporal: str) -> str:
+    """The whole way from questions to evidence. The tables of questions and sentences are shadowed by those of the pipeline;
+    sentence ids carry their question in front, since a sentence may serve several."""
+    types = lambda place: S.by_type("query_type", {k: v[place] for k, v in C.DEPTHS.items()})
+    weights = " + ".join(f"{S.by_type('query_type', {k: w[i] for k, w in C.WEIGHTS.items()})}::DOUBLE * s{i}" for i in range(5))
+    close = f"close AS (SELECT query_id AS grp, a AS u, b AS v FROM near WHERE c >= {C.GRAPH_COSINE} AND a IN (SELECT sentence_id FROM kept) AND b IN (SELECT sentence_id FROM kept))"
+    return f"""
+WITH RECURSIVE queries AS (SELECT query_id, query, coalesce(query_type, {S.query_type('query')}) AS query_type, coalesce(entities, {S.entities('query')}) AS entities, coalesce(keywords, {S.keywords('query')}) AS keywords FROM main.queries),
+texts AS MATERIALIZED {S.CHUNKS}, meta AS (SELECT chunk_idx, min(doc_id) AS doc_id, min(dataset) AS dataset, min(title) AS title, min(year) AS year FROM retrieved_chunks GROUP BY 1),
+{bm25},
+{embed('hq', 'query_id', 'query', 'queries')}, {embed('hc', 'chunk_idx', 'chunk_text', 'texts')},
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, CAST(id AS VARCHAR)) AS dr FROM (SELECT hq.id AS query_id, hc.id, round(sum(hq.n * hc.n) / (max(hq.norm) * max(hc.norm)), 9) AS cosine FROM hq JOIN hc USING (bucket) GROUP BY 1, 2) WHERE cosine > 0),
+both_ AS (SELECT query_id, id, CASE WHEN rank <= {types(0)} THEN rank END AS sr, CASE WHEN dr <= {types(1)} THEN dr END AS dr, cosine, {types(2)} AS most, query_type, query
+  FROM (SELECT coalesce(r.query_id, d.query_id) AS query_id, coalesce(r.id, d.id) AS id, r.rank, d.dr, d.cosine FROM (SELECT * FROM rk WHERE rank <= 30) r FULL OUTER JOIN (SELECT * FROM dense WHERE dr <= 30) d ON d.query_id = r.query_id AND d.id = r.id) JOIN queries USING (query_id)),
+hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / ({C.RRF_K} + sr), 0.0) + coalesce(1.0::DOUBLE / ({C.RRF_K} + dr), 0.0) DESC, sr NULLS LAST, dr NULLS LAST, id) AS place FROM both_ WHERE sr IS NOT NULL OR dr IS NOT NULL),
+part AS (SELECT chunk_idx, position - 1 AS position, {S.clean('raw')} AS text FROM (SELECT chunk_idx, unnest(p) AS raw, generate_subscripts(p, 1) AS position FROM (SELECT chunk_idx, {S.parts('chunk_text')} AS p FROM texts))),
+scored AS MATERIALIZED (SELECT query_id, query_id || '|' || concat_ws(':', dataset, doc_id, chunk_idx, position) AS sentence_id, text, doc_id, position, token_count, round({weights}, 4) AS final_score FROM (
+  SELECT h.query_id, h.query_type, m.dataset, m.doc_id, p.chunk_idx, p.position, p.text, CAST({S.word_count('p.text')} AS INT) AS token_count,
+    CASE WHEN h.dr IS NOT NULL THEN h.cosine ELSE 0.0 END AS s0, {evidence} AS s1, {share} AS s2, {density} AS s3, {temporal} AS s4
+  FROM hit h JOIN meta m ON m.chunk_idx = h.id JOIN part p ON p.chunk_idx = h.id WHERE h.place <= h.most AND length(p.text) > 0 AND {S.verdict('p.text')} = 'keep')),
+{embed('hs', 'sentence_id', 'text', 'scored')}, hv AS MATERIALIZED (SELECT s.query_id, hs.* FROM hs JOIN scored s ON s.sentence_id = hs.id),
+near AS MATERIALIZED (SELECT a.query_id, a.id AS a, b.id AS b, round(sum(a.n * b.n) / (max(a.norm) * max(b.norm)), 9) AS c FROM hv a JOIN hv b ON a.query_id = b.query_id AND a.bucket = b.bucket AND a.id < b.id GROUP BY 1, 2, 3 HAVING c >= {min(C.GRAPH_COSINE, C.DUPLICATE_SOFT)}),
+placed AS MATERIALIZED (SELECT query_id, sentence_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, sentence_id) AS k FROM scored),
+bad AS (SELECT y.query_id, y.sentence_id, list(x.sentence_id) AS others FROM near JOIN placed x ON x.sentence_id IN (near.a, near.b) JOIN placed y ON y.sentence_id IN (near.a, near.b) AND x.k < y.k WHERE near.c >= {C.DUPLICATE_EXACT} OR near.c >= {C.DUPLICATE_SOFT} AND x.doc_id = y.doc_id GROUP BY 1, 2),
+turn AS MATERIALIZED (SELECT p.query_id, p.k, p.sentence_id, coalesce(bad.others, []) AS others FROM placed p LEFT JOIN bad ON bad.sentence_id = p.sentence_id),
+pass_ AS (SELECT DISTINCT query_id, 0::BIGINT AS k, []::VARCHAR[] AS done FROM turn UNION ALL SELECT p.query_id, t.k, CASE WHEN list_has_any(p.done, t.others) THEN p.done ELSE list_append(p.done, t.sentence_id) END FROM pass_ p JOIN turn t ON t.query_id = p.query_id AND t.k = p.k + 1),
+kept AS MATERIALIZED (SELECT s.* FROM scored s JOIN (SELECT unnest(done) AS sentence_id FROM (SELECT query_id, arg_max(done, k) AS done FROM pass_ GROUP BY 1)) USING (sentence_id)),
+{bridges(close, 'kept')},
+sentences AS MATERIALIZED (SELECT *, sentence_id IN (SELECT unnest(path) FROM walk WHERE path IS NOT NULL) AS force_include FROM kept),
+{expanded(budget)}
+SELECT s.query_id, substr(s.sentence_id, length(s.query_id) + 2) AS sentence_id, s.text, s.token_count, s.final_score AS score, s.force_include AS is_bridge
+FROM sentences s JOIN z USING (query_id) JOIN last l USING (query_id) WHERE list_contains(l.sel, s.sentence_id) OR list_contains(z.added, s.sentence_id)"""

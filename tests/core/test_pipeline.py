@@ -62,7 +62,7 @@ def sequential(rows, vectors, concepts, q, masks):
     after = {r["sentence_id"]: r["selected"] for r in select._swaps([dict(r) for r in filled])}
     filled = [r | {"selected": after[r["sentence_id"]]} for r in filled]
     n = sum(after.values())
-    added = select._expand([r | {"query_type": q["query_type"], "required": q["required"], "n_selected": n} for r in filled])[0]["added"]
+    added = select._expand([r | {"query_type": q["query_type"], "complexity": q["complexity"], "required": q["required"], "n_selected": n} for r in filled])[0]["added"]
     return {(i, i in bridge) for i in ids if after[i] or i in added}, kept
 
 
@@ -76,7 +76,7 @@ def test_selection_equals_the_sequential_one(spark):
         concepts[r.node].append(r.concept)
     masks = {r.sentence_id: {k: r[k] for k in ("emask", "kmask", "entities", "keywords")} for r in select.with_masks(df, q).collect()}
     of = analyze.complexity(F.col("query"), F.size("entities"), F.size("keywords"))
-    head = q.select("*", select.required_evidence(F.col("query_type"), of).alias("required")).first().asDict()
+    head = q.select("*", of.alias("complexity"), select.required_evidence(F.col("query_type"), of).alias("required")).first().asDict()
     want, kept = sequential([dict(zip([c.split()[0] for c in COLUMNS.split(", ")], r)) for r in rows], vectors, concepts, head, masks)
     got = evidence_of(df, q).collect()
     assert {(r.sentence_id, r.is_bridge) for r in got} == want and len(got) == len(want)
