@@ -9,6 +9,7 @@ DESCRIPTIVE_WH = ["how", "why"]
 COMPARISON = ["compare", "comparison", "versus", "vs", "difference", "differences", "contrast", "similar", "both", "neither", "between", "respectively"]
 NEGATION = ["not", "never", "no", "except", "without", "excluding", "neither", "nor", "non", "non-member", "outside"]
 DETERMINERS = ["the", "a", "an"]
+AUXILIARIES = ["is", "are", "was", "were", "has", "have", "had", "does", "did", "can", "could", "will", "would"]
 FRAGMENT_START = "[a-z*•–—|·]"
 EVIDENTIALITY = {
     "definitions": r"\bis\s+a\b|\bwas\s+defined\s+as\b|\brefers\s+to\b|\bmeans\b|\brepresents\b",
@@ -26,6 +27,7 @@ FIELD_HINTS = {
     "title": ["title", "titles", "subject"],
 }
 
+# Fixed values that results depend on, in figures.
 CHUNK_SIZE, CHUNK_OVERLAP = 800, 100
 DEDUP_PREFIX, ID_PREFIX = 200, 64
 BATCH_ROWS = 10_000

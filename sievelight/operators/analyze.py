@@ -29,11 +29,22 @@ def has_negation(query: Column) -> Column:
 
 
 def entities(query: Column) -> Column:
-    """Runs of capitalised words behind the first word, the first surface form of each; runs behind in, at or from are places, not subjects."""
+    """Runs of capitalised words behind the first word, without a leading article, the first surface form of each whatever its case; runs behind in, at or from are places, not subjects."""
     rest = F.regexp_replace(F.trim(F.coalesce(query, F.lit(""))), r"^\S+\s*", "")
     rest = F.regexp_replace(rest, r"\b(in|at|from) [A-Z][A-Za-z0-9]*( [A-Z][A-Za-z0-9]*)*", " ")
     runs = F.regexp_extract_all(rest, F.lit(r"([A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*)"), F.lit(1))
-    return F.array_distinct(runs)
+    bare = F.filter(F.transform(runs, lambda x: F.regexp_replace(x, f"(?i)^(?:{'|'.join(C.DETERMINERS)}) ", "")), lambda x: x != "")
+    low = F.transform(bare, lambda x: F.lower(x))
+    return F.filter(bare, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def finite_verbs(query: Column) -> Column:
+    """Number of finite verbs by rule: auxiliaries, and words in -ed that no auxiliary stands before."""
+    words = tokens(query)
+    auxiliary = F.array(*[F.lit(w) for w in C.AUXILIARIES])
+    before = lambda i: F.when(i > 0, F.element_at(words, i.cast("int"))).otherwise("")
+    is_verb = lambda w, i: F.array_contains(auxiliary, w) | (w.endswith("ed") & (F.length(w) > 4) & ~F.array_contains(auxiliary, before(i)))
+    return F.size(F.filter(words, is_verb))
 
 
 def keywords(query: Column) -> Column:
@@ -44,13 +55,16 @@ def keywords(query: Column) -> Column:
 
 
 def query_type(query: Column) -> Column:
-    """First rule that fits: two subjects, two question words, a comparison, joined names; then a factual question word; else descriptive."""
+    """First rule that fits: two subjects, two clauses behind a factual question word, two question words, a comparison, joined names; then a factual question word; else descriptive."""
     words = tokens(query)
     wh = F.size(among(words, C.FACTOID_WH + C.DESCRIPTIVE_WH))
     descriptive = F.size(among(words, C.DESCRIPTIVE_WH)) > 0
     joined = F.coalesce(query, F.lit("")).rlike(r"[A-Z][a-z0-9]+ and [A-Z][a-z0-9]+")
-    multi = (F.size(entities(query)) >= 2) | (wh >= 2) | (F.size(among(words, C.COMPARISON)) > 0) | joined
-    return F.when(multi, "multi_hop").when((F.size(among(words, C.FACTOID_WH)) > 0) & ~descriptive, "factoid").otherwise("descriptive")
+    factoid = F.size(among(words, C.FACTOID_WH)) > 0
+    # two clauses with a factual question
+    clauses = factoid & (finite_verbs(query) >= 2)
+    multi = (F.size(entities(query)) >= 2) | clauses | (wh >= 2) | (F.size(among(words, C.COMPARISON)) > 0) | joined
+    return F.when(multi, "multi_hop").when(factoid & ~descriptive, "factoid").otherwise("descriptive")
 
 
 def complexity(query: Column, n_entities: Column, n_keywords: Column) -> Column:

@@ -49,12 +49,15 @@ def temporal(query: Column, year: Column) -> Column:
 
 
 def weight(query_type: Column, place: int) -> Column:
-    """Weight of a signal by query type; null for an unknown type, whose score is then null."""
-    return F.coalesce(*[F.when(query_type == k, F.lit(w[place])) for k, w in C.WEIGHTS.items()])
+    """Weight of a signal by query type; null for no type, an error for an unknown one."""
+    known = F.coalesce(*[F.when(query_type == k, F.lit(w[place])) for k, w in C.WEIGHTS.items()])
+    return F.when(query_type.isNull() | query_type.isin(*C.WEIGHTS), known).otherwise(F.raise_error(F.concat(F.lit("unknown query type "), query_type)).cast("double"))
 
 
 def combined(query_type: Column, signals: list[Column]) -> Column:
-    return F.round(sum((weight(query_type, i) * s for i, s in enumerate(signals)), F.lit(0.0)), 4)
+    """The weighted sum to four places, halves up, also those that binary fractions leave just below (by 1e-11 at most)."""
+    total = sum((weight(query_type, i) * s for i, s in enumerate(signals)), F.lit(0.0))
+    return F.floor(total * 10_000 + 0.5000001) / 10_000
 
 
 def hash_cosine(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:

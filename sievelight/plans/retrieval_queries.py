@@ -175,10 +175,11 @@ def hash_embed(spark, sf):
 
 
 def similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, sentence_id, cosine) of questions and their sentences by the hashing embedder."""
-    s = one_sentence(spark, sf).select("query_id", "sentence_id", "text")
-    left = dense.hash_embedding(table(spark, sf, "queries"), "query_id", "query")
-    right = dense.hash_embedding(s, "sentence_id", "text")
+    """(query_id, sentence_id, cosine) of questions and their sentences by the hashing embedder; a sentence is embedded behind its question."""
+    q = table(spark, sf, "queries").select("query_id", "query")
+    s = one_sentence(spark, sf).select("query_id", "sentence_id", "text").join(q, "query_id")
+    left = dense.hash_embedding(q, "query_id", "query")
+    right = dense.hash_embedding(s.withColumn("joint", F.concat_ws(" [SEP] ", "query", "text")), "sentence_id", "joint")
     pairs = s.select(F.col("query_id").alias("a"), F.col("sentence_id").alias("b"))
     return score.hash_cosine(left, right, pairs).select(F.col("a").alias("query_id"), F.col("b").alias("sentence_id"), F.round("cosine", 9).alias("cosine"))
 
@@ -197,8 +198,7 @@ def multi_signal_score(spark, sf):
     s = one_sentence(spark, sf).select("query_id", "sentence_id", "text", "year")
     rows = s.join(table(spark, sf, "queries").select("query_id", "query", "query_type"), "query_id").join(similarity(spark, sf), ["query_id", "sentence_id"], "left")
     signals = [F.coalesce("cosine", F.lit(0.0)), score.evidence(t), T.evidentiality(t), score.density(t), score.temporal(F.col("query"), F.col("year"))]
-    total = score.combined(F.coalesce("query_type", F.lit("factoid")), [F.round(x, 6) for x in signals])
-    return rows.select("query_id", "sentence_id", F.round(total, 3).alias("score"))
+    return rows.select("query_id", "sentence_id", score.combined(F.coalesce("query_type", analyze.query_type(F.col("query"))), signals).alias("score"))
 
 
 def conflicts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -354,7 +354,7 @@ def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
     of = analyze.complexity(F.col("query"), F.size("entities"), F.size("keywords"))
     more = select.expand(m, q.select("query_id", "query_type", of.alias("complexity"))).select("query_id", F.explode("added").alias("sentence_id"), F.lit(True).alias("added"))
     out = m.join(more, ["query_id", "sentence_id"], "left").filter(F.col("selected") | F.col("added"))
-    return out.select("query_id", "sentence_id", "text", "token_count", F.round("score", 4).alias("score"), "is_bridge")
+    return out.select("query_id", "sentence_id", "text", "token_count", "score", "is_bridge")
 
 
 def full_pipeline(spark, sf):
@@ -401,7 +401,7 @@ def _embed(name: str, key: str, text: str, source: str) -> str:
     return f"{name}_c AS (SELECT {key} AS id, {_HASH} AS bucket, count(*) AS n FROM (SELECT {key}, unnest({S.index_tokens(text)}) AS t FROM {source}) GROUP BY 1, 2), {name} AS (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY id)) AS norm FROM {name}_c)"
 
 
-_SIM = f"""s AS {S.ONE_SENTENCE}, {_embed('hq', 'query_id', 'query', 'queries')}, {_embed('hs', 'sentence_id', 'text', 's')},
+_SIM = f"""s AS {S.ONE_SENTENCE}, sj AS (SELECT sentence_id, concat_ws(' [SEP] ', query, text) AS joint FROM s JOIN queries USING (query_id)), {_embed('hq', 'query_id', 'query', 'queries')}, {_embed('hs', 'sentence_id', 'joint', 'sj')},
 sim AS (SELECT s.query_id, s.sentence_id, round(sum(hq.n * hs.n) / (max(hq.norm) * max(hs.norm)), 9) AS cosine FROM s JOIN hq ON hq.id = s.query_id JOIN hs ON hs.id = s.sentence_id AND hs.bucket = hq.bucket GROUP BY 1, 2)"""
 _VALID = f"v AS (SELECT * FROM {S.ONE_SENTENCE} WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
 _BUDGET = f"""b AS (SELECT s.query_id, s.sentence_id, coalesce(s.token_count, {S.word_count('s.text')}) AS n, CASE WHEN s.final_score IS NULL OR isnan(s.final_score) THEN 0.0 ELSE s.final_score END AS score, coalesce(s.force_include, false) AS br,
@@ -463,9 +463,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, sr N
     "hash_similarity": f"WITH {_SIM} SELECT * FROM sim",
     "evidence_density": f"SELECT sentence_id, round({_EVIDENCE}, 6) AS evidence, round({_DENSITY}, 6) AS density FROM {S.ONE_SENTENCE}",
     "multi_signal_score": f"""WITH {_SIM},
-x AS (SELECT s.query_id, s.sentence_id, s.text, s.year, q.query, coalesce(q.query_type, 'factoid') AS qt, coalesce(sim.cosine, 0.0) AS c FROM s JOIN queries q USING (query_id) LEFT JOIN sim USING (query_id, sentence_id)),
-y AS (SELECT *, round(c, 6) AS s0, round({_EVIDENCE}, 6) AS s1, round({_SHARE}, 6) AS s2, round({_DENSITY}, 6) AS s3, {_TEMPORAL} AS s4 FROM x)
-SELECT query_id, sentence_id, round(round({' + '.join(f"{S.by_type('qt', {k: w[i] for k, w in C.WEIGHTS.items()})}::DOUBLE * s{i}" for i in range(5))}, 4), 3) AS score FROM y""",
+x AS (SELECT s.query_id, s.sentence_id, s.text, s.year, q.query, coalesce(q.query_type, {S.query_type('q.query')}) AS qt, coalesce(sim.cosine, 0.0) AS c FROM s JOIN queries q USING (query_id) LEFT JOIN sim USING (query_id, sentence_id)),
+y AS (SELECT *, c AS s0, {_EVIDENCE} AS s1, {_SHARE} AS s2, {_DENSITY} AS s3, {_TEMPORAL} AS s4 FROM x)
+SELECT query_id, sentence_id, floor(({' + '.join(f"{S.by_type('qt', {k: w[i] for k, w in C.WEIGHTS.items()})}::DOUBLE * s{i}" for i in range(5))}) * 10000 + 0.5000001) / 10000 AS score FROM y""",
     "cosine_pairs": f"WITH {_VALID} SELECT a.query_id, a.sentence_id AS sentence_a, b.sentence_id AS sentence_b, round({S.cosine('a.embedding', 'b.embedding')}, 6) AS cosine FROM v a JOIN v b ON a.query_id = b.query_id AND a.sentence_id < b.sentence_id WHERE {S.cosine('a.embedding', 'b.embedding')} >= {C.GRAPH_COSINE}",
     "greedy_dedup": f"""
 WITH RECURSIVE {_VALID}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN final_score IS NULL OR isnan(final_score) THEN 0.0 ELSE final_score END DESC, sentence_id) AS k FROM v),

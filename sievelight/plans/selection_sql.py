@@ -151,7 +151,7 @@ both_ AS (SELECT query_id, id, CASE WHEN rank <= {types(0)} THEN rank END AS sr,
   FROM (SELECT coalesce(r.query_id, d.query_id) AS query_id, coalesce(r.id, d.id) AS id, r.rank, d.dr, d.cosine FROM (SELECT * FROM rk WHERE rank <= 30) r FULL OUTER JOIN (SELECT * FROM dense WHERE dr <= 30) d ON d.query_id = r.query_id AND d.id = r.id) JOIN queries USING (query_id)),
 hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / ({C.RRF_K} + sr), 0.0) + coalesce(1.0::DOUBLE / ({C.RRF_K} + dr), 0.0) DESC, sr NULLS LAST, dr NULLS LAST, id) AS place FROM both_ WHERE sr IS NOT NULL OR dr IS NOT NULL),
 part AS (SELECT chunk_idx, position - 1 AS position, {S.clean('raw')} AS text FROM (SELECT chunk_idx, unnest(p) AS raw, generate_subscripts(p, 1) AS position FROM (SELECT chunk_idx, {S.parts('chunk_text')} AS p FROM texts))),
-scored AS MATERIALIZED (SELECT query_id, query_id || '|' || concat_ws(':', dataset, doc_id, chunk_idx, position) AS sentence_id, text, doc_id, position, token_count, round({weights}, 4) AS final_score FROM (
+scored AS MATERIALIZED (SELECT query_id, query_id || '|' || concat_ws(':', dataset, doc_id, chunk_idx, position) AS sentence_id, text, doc_id, position, token_count, floor(({weights}) * 10000 + 0.5000001) / 10000 AS final_score FROM (
   SELECT h.query_id, h.query_type, m.dataset, m.doc_id, p.chunk_idx, p.position, p.text, CAST({S.word_count('p.text')} AS INT) AS token_count,
     CASE WHEN h.dr IS NOT NULL THEN h.cosine ELSE 0.0 END AS s0, {evidence} AS s1, {share} AS s2, {density} AS s3, {temporal} AS s4
   FROM hit h JOIN meta m ON m.chunk_idx = h.id JOIN part p ON p.chunk_idx = h.id WHERE h.place <= h.most AND length(p.text) > 0 AND {S.verdict('p.text')} = 'keep')),

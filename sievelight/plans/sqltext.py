@@ -49,7 +49,14 @@ def among(words: str, closed: list[str]) -> str:
 def entities(q: str) -> str:
     rest = rf"regexp_replace(trim(coalesce({q}, ''), ' '), '^\S+\s*', '')"
     rest = rf"regexp_replace({rest}, '\b(in|at|from) [A-Z][A-Za-z0-9]*( [A-Z][A-Za-z0-9]*)*', ' ', 'g')"
-    return f"list_distinct(regexp_extract_all({rest}, '[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*'))"
+    runs_ = f"regexp_extract_all({rest}, '[A-Z][A-Za-z0-9]+(?: [A-Z][A-Za-z0-9]+)*')"
+    bare = f"list_filter(list_transform({runs_}, lambda x: regexp_replace(x, '(?i)^(?:{'|'.join(C.DETERMINERS)}) ', '')), lambda x: x <> '')"
+    return f"list_filter({bare}, lambda x, i: list_position(list_transform({bare}, lambda y: lower(y)), lower(x)) = i)"
+
+
+def finite_verbs(q: str) -> str:
+    t = query_tokens(q)
+    return f"len(list_filter({t}, lambda w, i: list_contains({listed(C.AUXILIARIES)}, w) OR (w LIKE '%ed' AND length(w) > 4 AND NOT list_contains({listed(C.AUXILIARIES)}, CASE WHEN i > 1 THEN ({t})[i - 1] ELSE '' END))))"
 
 
 def keywords(q: str) -> str:
@@ -59,7 +66,7 @@ def keywords(q: str) -> str:
 def query_type(q: str) -> str:
     t = query_tokens(q)
     return (
-        f"CASE WHEN len({entities(q)}) >= 2 OR {among(t, C.FACTOID_WH + C.DESCRIPTIVE_WH)} >= 2 OR {among(t, C.COMPARISON)} > 0 OR regexp_matches(coalesce({q}, ''), '[A-Z][a-z0-9]+ and [A-Z][a-z0-9]+') THEN 'multi_hop' "
+        f"CASE WHEN len({entities(q)}) >= 2 OR ({among(t, C.FACTOID_WH)} > 0 AND {finite_verbs(q)} >= 2) OR {among(t, C.FACTOID_WH + C.DESCRIPTIVE_WH)} >= 2 OR {among(t, C.COMPARISON)} > 0 OR regexp_matches(coalesce({q}, ''), '[A-Z][a-z0-9]+ and [A-Z][a-z0-9]+') THEN 'multi_hop' "
         f"WHEN {among(t, C.FACTOID_WH)} > 0 AND {among(t, C.DESCRIPTIVE_WH)} = 0 THEN 'factoid' ELSE 'descriptive' END"
     )
 
