@@ -1,29 +1,70 @@
-"""Sparse retrieval: an Okapi BM25 index as tables, and top-k by a join of query terms with postings."""
+"""Sparse retrieval: an Okapi BM25 index as tables, stored once, and top-k by a join of query terms with postings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
+from ..runtime import checkpoint_dir, fingerprint, materialize, table_exists
+
+#: Weighted query terms that are sent to every worker (about 20 MB); more meet the postings in a shuffle, in SALTS parts each.
+SENT_TERMS, SALTS = 200_000, 16
+TABLES = ["postings", "lengths", "terms", "corpus"]
 
 
 class Index:
-    """postings (id, term, tf), lengths (id, dl), terms (term, df, idf) and one row of corpus figures (n_docs, avgdl)."""
+    """postings (term, id, tf, dl), lengths (id, dl), terms (term, df, idf) and one row of corpus figures (n_docs, avgdl).
+
+    The length of a document stands in its postings, so that a search needs no join with the lengths.
+    """
+
+    def __init__(self, postings: DataFrame, lengths: DataFrame, terms: DataFrame, corpus: DataFrame):
+        self.postings, self.lengths, self.terms, self.corpus = postings, lengths, terms, corpus
 
-    def __init__(self, corpus: DataFrame, id_col: str, text_col: str):
+    @classmethod
+    def build(cls, corpus: DataFrame, id_col: str, text_col: str) -> Index:
         tokens = corpus.select(F.col(id_col).alias("id"), T.index_tokens(F.col(text_col)).alias("tokens"))
+        tokens = materialize(tokens.withColumn("dl", F.size("tokens")), "tokens")  # the corpus is tokenised once
         # documents without tokens count in the number of documents and in the mean length
-        self.lengths = tokens.select("id", F.size("tokens").alias("dl"))
-        self.postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-        self.corpus = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        raw = df.crossJoin(F.broadcast(self.corpus)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        lengths = tokens.select("id", "dl")
+        # a document's own words are counted inside its row: no shuffle before the terms are
+        counted = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
+        postings = tokens.select("id", "dl", F.inline(F.when(F.size("tokens") <= 256, counted)))
+        long = tokens.filter(F.size("tokens") > 256).select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+        postings = postings.unionByName(long).select("term", "id", "tf", "dl")
+        figures = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+        df = postings.groupBy("term").agg(F.count("*").alias("df"))
+        raw = df.crossJoin(F.broadcast(figures)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
         mean = raw.agg(F.avg("raw").alias("mean_idf"))
         # negative weights become a small share of the mean weight of the vocabulary; the one-row sides are broadcast
-        self.terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, C.EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+        terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, C.EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+        return cls(postings, lengths, terms, figures)
+
+    def save(self, path: str) -> Index:
+        """Writes the four tables; postings lie in the order of their terms, so that a scan for some terms passes most row groups by."""
+        for name in TABLES:
+            df = getattr(self, name)
+            df = df.repartitionByRange("term", "id").sortWithinPartitions("term", "id") if name == "postings" else df
+            df.write.mode("overwrite").parquet(os.path.join(path, name))
+        return self.load(self.terms.sparkSession, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        return cls(*[spark.read.parquet(os.path.join(path, name)) for name in TABLES])
+
+
+def stored(source: DataFrame, corpus: DataFrame, id_col: str, text_col: str) -> Index:
+    """The index of a corpus made of `source`, built once for its files and read afterwards."""
+    spark = source.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"bm25-{text_col}-{fingerprint(source)}")
+    if table_exists(spark, os.path.join(path, TABLES[-1])):
+        return Index.load(spark, path)
+    return Index.build(corpus, id_col, text_col).save(path)
 
 
 def keyword_terms(queries: DataFrame) -> DataFrame:
@@ -32,11 +73,17 @@ def keyword_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", words.alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def search(index: Index, terms: DataFrame, k: int) -> DataFrame:
+def search(index: Index, terms: DataFrame, k: int, sent_terms: int = SENT_TERMS) -> DataFrame:
     """(query_id, id, score, rank) of the k best documents with a positive score; ties go to the smaller id."""
     # the statistics are attached to the few query terms first, so postings are met once
     weighted = terms.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    met = weighted.join(index.postings, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.corpus))
+    postings = index.postings
+    if weighted.count() <= sent_terms:  # no shuffle of postings, and no task for a frequent term
+        met = postings.join(F.broadcast(weighted), "term")
+    else:  # a frequent term is dealt to parts by its documents
+        dealt = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = postings.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(dealt, ["term", "salt"])
+    met = met.crossJoin(F.broadcast(index.corpus))
     norm = F.col("tf") + C.K1 * (1 - C.B + C.B * F.col("dl") / F.col("avgdl"))
     scored = met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("tf") * (C.K1 + 1) / norm), 6).alias("score")).filter("score > 0")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))

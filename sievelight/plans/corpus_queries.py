@@ -127,12 +127,12 @@ def probe_query(spark, sf):
 
 
 def bm25_index(spark, sf):
-    index = sparse.Index(documents(spark, sf), "doc_id", "text")
+    index = sparse.stored(documents(spark, sf), documents(spark, sf), "doc_id", "text")
     return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_stats(spark, sf):
-    index = sparse.Index(documents(spark, sf), "doc_id", "text")
+    index = sparse.stored(documents(spark, sf), documents(spark, sf), "doc_id", "text")
     return index.terms.agg(F.count("*").alias("n_terms")).crossJoin(F.broadcast(index.corpus.select("n_docs", F.round("avgdl", 6).alias("avgdl"))))
 
 

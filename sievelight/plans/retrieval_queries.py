@@ -121,7 +121,7 @@ def term_coverage(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    index = sparse.Index(chunks(spark, sf), "chunk_idx", "chunk_text")
+    index = sparse.stored(table(spark, sf, "retrieved_chunks"), chunks(spark, sf), "chunk_idx", "chunk_text")
     return sparse.search(index, sparse.keyword_terms(table(spark, sf, "queries")), 15).withColumnRenamed("id", "chunk_idx")
 
 
@@ -363,7 +363,7 @@ def full_pipeline(spark, sf):
     for c, own in (("query_type", analyze.query_type), ("entities", analyze.entities), ("keywords", analyze.keywords)):
         q = q.withColumn(c, F.coalesce(c, own(F.col("query"))))
     texts = chunks(spark, sf)
-    found = sparse.search(sparse.Index(texts, "chunk_idx", "chunk_text"), sparse.keyword_terms(q), 30)
+    found = sparse.search(sparse.stored(table(spark, sf, "retrieved_chunks"), texts, "chunk_idx", "chunk_text"), sparse.keyword_terms(q), 30)
     near = dense.top_k(dense.dense_vectors(q, "query_id", "query"), dense.dense_vectors(texts.select(F.col("chunk_idx").cast("string").alias("chunk_idx"), "chunk_text"), "chunk_idx", "chunk_text"), C.HASH_DIM, 30)
     near = near.filter("cosine > 0").select(F.col("id").alias("query_id"), F.col("other").cast("bigint").alias("id"), F.col("cosine").alias("score"), "rank")
     fused = fusion.fuse(found, near, q).withColumnRenamed("id", "chunk_idx")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import pickle
 import re
@@ -71,13 +72,28 @@ def forget(spark: SparkSession) -> int:
 def stored(spark: SparkSession, key: str, make: Callable[[], T]) -> T:
     """What `make` gives, kept in the shared folder under a key that tells all it depends on; made once, then read."""
     path = os.path.join(checkpoint_dir(spark), key)
-    done, fs = _path(spark, os.path.join(path, "_SUCCESS"))
-    if fs.exists(done):
+    if table_exists(spark, path):
         return pickle.loads(spark.read.schema("content binary").parquet(path).first().content)
     value = make()
     spark.createDataFrame([(bytearray(pickle.dumps(value)),)], "content binary").coalesce(1).write.mode("overwrite").parquet(path)
     return value
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written there to its end."""
+    done, fs = _path(spark, os.path.join(path, "_SUCCESS"))
+    return fs.exists(done)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """A key of the files behind a table: their names, sizes and times of change."""
+    spark, marks = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        where, fs = _path(spark, name)
+        status = fs.getFileStatus(where)
+        marks.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(marks).encode()).hexdigest()[:24]
+
+
 def exists(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
