@@ -32,24 +32,35 @@ def manifest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("batch_idx").agg(F.min("pos").alias("vec_start"), (F.max("pos") + 1).alias("vec_end"))
 
 
-def violations(man: DataFrame) -> DataFrame:
-    """Batches out of number, empty, or not beginning where the one before ends. The manifest has one row for each batch."""
+def violations(man: DataFrame, total: DataFrame | None = None) -> DataFrame:
+    """Batches out of number, empty, or not beginning where the one before ends; the last one if it does not end at `n` of total.
+
+    The manifest has one row for each batch, total is one row.
+    """
     w = W.orderBy("batch_idx")
     rows = man.withColumn("seq", F.row_number().over(w) - 1).withColumn("prev", F.coalesce(F.lag("vec_end").over(w), F.lit(0)))
     problem = F.when(F.col("batch_idx") != F.col("seq"), "batch number").when(F.col("vec_end") <= F.col("vec_start"), "empty").when(F.col("vec_start") != F.col("prev"), "gap")
+    rows = rows.withColumn("last", F.lead("batch_idx").over(w).isNull())
+    if total is not None:
+        rows = rows.crossJoin(F.broadcast(total.select(F.col("n").alias("total"))))
+        problem = F.coalesce(problem, F.when(F.col("last") & (F.col("vec_end") != F.col("total")), "total"))
     return rows.withColumn("problem", problem).filter("problem IS NOT NULL")
 
 
-def integrity(rows: DataFrame, man: DataFrame) -> DataFrame:
-    """(batch_idx, expected, found): rows by the manifest and in the shards."""
+def integrity(rows: DataFrame, man: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(batch_idx, expected, found, n_pairs, sound): rows by the manifest and in the shards, question pairs of the batch; sound where both sides agree and pairs are there."""
     found = rows.groupBy("batch_idx").agg(F.count("*").alias("n"))
-    both = man.join(found, "batch_idx", "full_outer")
-    return both.select("batch_idx", F.coalesce(F.col("vec_end") - F.col("vec_start"), F.lit(0)).alias("expected"), F.coalesce("n", F.lit(0)).alias("found"))
+    held = pairs.groupBy("batch_idx").agg(F.count("*").alias("n_pairs"))
+    both = man.join(found, "batch_idx", "full_outer").join(held, "batch_idx", "left")
+    out = both.select("batch_idx", F.coalesce(F.col("vec_end") - F.col("vec_start"), F.lit(0)).alias("expected"), F.coalesce("n", F.lit(0)).alias("found"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"))
+    return out.withColumn("sound", (F.col("expected") == F.col("found")) & (F.col("n_pairs") > 0))
 
 
 def truncate_orphans(rows: DataFrame, committed: DataFrame) -> DataFrame:
-    """Rows before the end of the last committed batch; the end is one value."""
-    end = committed.agg(F.coalesce(F.max("vec_end"), F.lit(0)).alias("end"))
+    """Rows before the end of the last committed batch, which is one value; fewer rows than were committed are an error at run time."""
+    end = committed.agg(F.coalesce(F.max("vec_end"), F.lit(0)).alias("end")).crossJoin(rows.agg(F.count("*").alias("have")))
+    lost = F.raise_error(F.concat(F.lit("rows are missing: committed "), F.col("end").cast("string"), F.lit(", found "), F.col("have").cast("string")))
+    end = end.select(F.when(F.col("have") < F.col("end"), lost.cast("bigint")).otherwise(F.col("end")).alias("end"))
     return rows.crossJoin(F.broadcast(end)).filter(F.col("pos") < F.col("end")).drop("end")
 
 

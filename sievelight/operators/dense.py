@@ -118,8 +118,9 @@ def _counted(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(counts))], ["id", "vec"])
 
 
-def dense_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = C.HASH_DIM) -> DataFrame:
-    """(id, vec): the hashing embedder as dense vectors; texts without tokens have none."""
+def dense_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = C.HASH_DIM, every: bool = False) -> DataFrame:
+    """(id, vec): the hashing embedder as dense vectors; texts without tokens have none, or with `every` one of zeros."""
     tokens = F.transform(T.index_tokens(F.col(text_col)), lambda t: T.hash_bucket(t, dim))
-    rows = df.select(F.col(id_col).alias("id"), tokens.alias("b")).filter(F.size("b") > 0)
+    rows = df.select(F.col(id_col).alias("id"), tokens.alias("b"))
+    rows = rows if every else rows.filter(F.size("b") > 0)
     return rows.mapInArrow(lambda it: _counted(it, dim), f"id {df.schema[id_col].dataType.simpleString()}, vec array<float>")

@@ -77,6 +77,30 @@ def passages(df: DataFrame, key: list[str], titles: str, texts: str) -> DataFram
     return exploded.select(*key, "position", title.alias("title"), F.trim(text).alias("text")).filter(F.length("text") > 0)
 
 
+def dataset_passages(df: DataFrame, key: list[str]) -> DataFrame:
+    """(key, position, title, text) by the shape of each dataset's rows; blank passages are left out, their positions are kept.
+
+    nq: the column answer, without a title. trivia: the descriptions of search_results, then the contexts of entity_pages,
+    and the column context only where neither holds a text. hotpot: the paragraphs of context, whose sentences are joined by
+    a blank. Other datasets: the column text. df has dataset and these columns, null where a row has none.
+    """
+    item = "array<struct<title:string,text:string>>"
+    none = F.array().cast(item)
+
+    def zipped(titles: Column, texts: Column) -> Column:
+        made = F.transform(texts, lambda x, i: F.struct(F.coalesce(F.get(titles, i), F.lit("")).alias("title"), F.trim(F.coalesce(x, F.lit(""))).alias("text")))
+        return F.coalesce(made.cast(item), none)
+
+    solid = lambda rows: F.filter(rows, lambda r: r["text"] != "")
+    alone = lambda c: F.array(F.struct(F.lit("").alias("title"), F.trim(F.coalesce(F.col(c), F.lit(""))).alias("text"))).cast(item)
+    pages = F.concat(zipped(F.col("search_results.title"), F.col("search_results.description")), zipped(F.col("entity_pages.title"), F.col("entity_pages.wiki_context")))
+    trivia = F.when(F.size(solid(pages)) > 0, pages).otherwise(alone("context"))
+    hotpot = zipped(F.col("paragraphs.title"), F.transform("paragraphs.sentences", lambda x: F.array_join(x, " ")))
+    rows = F.when(F.col("dataset") == "nq", alone("answer")).when(F.col("dataset") == "trivia", trivia).when(F.col("dataset") == "hotpot", hotpot).otherwise(alone("text"))
+    out = df.select(*key, F.posexplode(rows).alias("position", "p"))
+    return out.select(*key, "position", F.col("p.title").alias("title"), F.col("p.text").alias("text")).filter(F.length("text") > 0)
+
+
 def chunk_windows(df: DataFrame, key: list[str], text: str = "text", size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
     """(key, char_start, chunk): windows of `size` characters every size - overlap, trimmed, blank ones dropped."""
     if overlap >= size:

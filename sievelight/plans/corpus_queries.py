@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
-from ..operators import control, ingest, sparse
+from ..operators import control, ingest, sparse, validate
 from ..runtime import table
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in C.STOPWORDS) + "]"
@@ -160,17 +160,29 @@ def manifest(spark, sf):
     return control.manifest(batched(spark, sf))
 
 
+def ranges_exhausted(spark, sf):
+    """Whether rows are left: for all ranges, and for those behind the last row of each dataset."""
+    ranges = control.batch_ranges(source_counts(spark, sf), 100)
+    over = ranges.withColumn("row_start", F.col("row_end"))
+    return control.exhausted(ranges).withColumn("ranges", F.lit("all")).unionByName(control.exhausted(over).withColumn("ranges", F.lit("behind")))
+
+
 def manifest_violations(spark, sf):
-    """A sound manifest and a damaged one (a batch moved by two) side by side."""
-    good = control.manifest(batched(spark, sf))
+    """A sound manifest, a damaged one (a batch moved by two) and one without its last batch, side by side."""
+    rows = batched(spark, sf)
+    good = control.manifest(rows)
     bad = good.withColumn("vec_start", F.when(F.col("batch_idx") == 1, F.col("vec_start") + 2).otherwise(F.col("vec_start")))
-    tag = lambda df, name: control.violations(df).select(F.lit(name).alias("manifest"), "batch_idx", "problem")
-    return tag(good, "good").unionByName(tag(bad, "bad"))
+    short = good.join(good.agg(F.max("batch_idx").alias("batch_idx")), "batch_idx", "left_anti")
+    total = rows.agg(F.count("*").alias("n"))
+    tag = lambda df, name: control.violations(df, total).select(F.lit(name).alias("manifest"), "batch_idx", "problem")
+    return tag(good, "good").unionByName(tag(bad, "bad")).unionByName(tag(short, "short"))
 
 
 def shard_integrity(spark, sf):
+    """Shards of which one is lost, beside the manifest and the question pairs of each batch."""
     rows = batched(spark, sf)
-    return control.integrity(rows.filter("batch_idx <> 2"), control.manifest(rows))
+    pairs = control.in_batches(table(spark, sf, "eval_items").select("item_id"), "item_id", 128)
+    return control.integrity(rows.filter("batch_idx <> 2"), control.manifest(rows), pairs)
 
 
 def orphan_truncate(spark, sf):
@@ -194,20 +206,50 @@ def artifact_alignment(spark, sf):
 
 def vector_lookup(spark, sf):
     """Text and metadata of the chunk behind each sentence."""
-    chunks = table(spark, sf, "retrieved_chunks").groupBy("chunk_idx").agg(F.min("doc_id").alias("doc_id"), F.min("dataset").alias("dataset"))
+    chunks = table(spark, sf, "retrieved_chunks").groupBy("chunk_idx").agg(F.min("doc_id").alias("doc_id"), F.min("dataset").alias("dataset"), F.min("chunk_text").alias("chunk_text"))
     rows = table(spark, sf, "sentences").select("sentence_id", F.col("chunk_id").alias("chunk_idx")).distinct()
-    return rows.join(chunks, "chunk_idx", "left").select("sentence_id", "chunk_idx", "doc_id", "dataset")
+    return rows.join(chunks, "chunk_idx", "left").select("sentence_id", "chunk_idx", "doc_id", "dataset", "chunk_text")
+
+
+def dataset_passages(spark, sf):
+    """The documents in the shapes of their datasets' raw rows, taken apart again."""
+    d, three = documents(spark, sf), F.pmod("row_idx", F.lit(3))
+    lists = lambda c: F.array(F.col(c))
+    raw = d.select(
+        "doc_id", "dataset", "text", F.col("text").alias("answer"), F.when(three == 2, F.col("text")).alias("context"),
+        F.when(three == 0, F.struct(lists("title").alias("title"), F.array(F.col("text"), F.lit(" ")).alias("description"))).alias("search_results"),
+        F.when(three == 1, F.struct(F.array().cast("array<string>").alias("title"), F.array(F.lit(None).cast("string"), F.col("text")).alias("wiki_context"))).alias("entity_pages"),
+        F.struct(lists("title").alias("title"), F.array(F.split("text", r"\. "), F.array(F.lit("end"))).alias("sentences")).alias("paragraphs"),
+    )
+    return ingest.dataset_passages(raw, ["doc_id"]).select("doc_id", "position", "title", F.md5("text").alias("digest"))
+
+
+def input_faults(spark, sf):
+    """Questions and sentences with faults, by table."""
+    tag = lambda df, name: df.select(F.lit(name).alias("table_name"), "key", "problem")
+    s = table(spark, sf, "sentences").dropDuplicates(["sentence_id"])
+    return tag(validate.query_faults(table(spark, sf, "queries")), "queries").unionByName(tag(validate.sentence_faults(s, 384), "sentences"))
+
+
+def sanity_probes(spark, sf):
+    """The three best documents of the index for the probe of each dataset, and whether they are of that dataset."""
+    probes = probe_query(spark, sf)
+    terms = probes.select(F.col("dataset").alias("query_id"), F.explode(T.index_tokens(F.col("probe"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    docs = documents(spark, sf)
+    found = sparse.search(sparse.stored(docs, docs, "doc_id", "text"), terms, 3)
+    own = docs.select(F.col("doc_id").alias("id"), F.col("dataset").alias("of"))
+    return found.join(own, "id").select(F.col("query_id").alias("dataset"), "rank", F.col("id").alias("doc_id"), F.col("of").eqNullSafe(F.col("query_id")).alias("same_dataset"))
 
 
 QUERIES = {f.__name__: f for f in [
     source_counts, source_limit, row_range, doc_ids, doc_prefix_dedup, doc_hash_antijoin, qa_pairs, flatten_answers, passages, chunk_windows, chunk_ids, tokenize_index, tokenize_ws,
     token_stats, keyword_split, fingerprints, probe_query, bm25_index, bm25_stats, corpus_stats, vector_memory, batch_ranges, manifest, manifest_violations, shard_integrity, orphan_truncate,
-    shard_range_lookup, artifact_alignment, vector_lookup,
+    shard_range_lookup, artifact_alignment, vector_lookup, ranges_exhausted, dataset_passages, input_faults, sanity_probes,
 ]}
 
 _BATCHED = "batched AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 128 AS INT) AS batch_idx FROM embeddings), man AS (SELECT batch_idx, min(pos) AS vec_start, max(pos) + 1 AS vec_end FROM batched GROUP BY 1)"
-_VIOLATIONS = """SELECT '{0}' AS manifest, batch_idx, CASE WHEN batch_idx <> seq THEN 'batch number' WHEN vec_end <= vec_start THEN 'empty' WHEN vec_start <> prev THEN 'gap' END AS problem
-  FROM (SELECT *, row_number() OVER (ORDER BY batch_idx) - 1 AS seq, coalesce(lag(vec_end) OVER (ORDER BY batch_idx), 0) AS prev FROM {1}) WHERE batch_idx <> seq OR vec_end <= vec_start OR vec_start <> prev"""
+_VIOLATIONS = """SELECT '{0}' AS manifest, batch_idx, problem FROM (SELECT batch_idx, CASE WHEN batch_idx <> seq THEN 'batch number' WHEN vec_end <= vec_start THEN 'empty' WHEN vec_start <> prev THEN 'gap' WHEN final AND vec_end <> (SELECT count(*) FROM embeddings) THEN 'total' END AS problem
+  FROM (SELECT *, row_number() OVER (ORDER BY batch_idx) - 1 AS seq, coalesce(lag(vec_end) OVER (ORDER BY batch_idx), 0) AS prev, lead(batch_idx) OVER (ORDER BY batch_idx) IS NULL AS final FROM {1})) WHERE problem IS NOT NULL"""
 _BM25 = f"""
 tok AS (SELECT doc_id AS id, {_TOKENS} AS tokens FROM documents),
 len AS (SELECT id, len(tokens) AS dl FROM tok),
@@ -264,10 +306,31 @@ SELECT doc_id, CAST(char_start AS INT) AS char_start, row_number() OVER (ORDER B
     "vector_memory": "SELECT CAST(count(*) * max(len(embedding)) * 4 AS BIGINT) AS n_bytes FROM embeddings",
     "batch_ranges": "SELECT dataset, batch_idx, batch_idx * 100 AS row_start, least((batch_idx + 1) * 100, n) AS row_end FROM (SELECT dataset, n, unnest(range(0, CAST(ceil(n / 100.0) AS BIGINT))) AS batch_idx FROM (SELECT dataset, count(*) AS n FROM documents GROUP BY 1))",
     "manifest": f"WITH {_BATCHED} SELECT * FROM man",
-    "manifest_violations": f"WITH {_BATCHED}, bad AS (SELECT batch_idx, CASE WHEN batch_idx = 1 THEN vec_start + 2 ELSE vec_start END AS vec_start, vec_end FROM man) " + _VIOLATIONS.format("good", "man") + " UNION ALL " + _VIOLATIONS.format("bad", "bad"),
-    "shard_integrity": f"WITH {_BATCHED}, s AS (SELECT batch_idx, count(*) AS n FROM batched WHERE batch_idx <> 2 GROUP BY 1) SELECT coalesce(man.batch_idx, s.batch_idx) AS batch_idx, coalesce(vec_end - vec_start, 0) AS expected, coalesce(n, 0) AS found FROM man FULL OUTER JOIN s ON man.batch_idx = s.batch_idx",
+    "manifest_violations": f"WITH {_BATCHED}, bad AS (SELECT batch_idx, CASE WHEN batch_idx = 1 THEN vec_start + 2 ELSE vec_start END AS vec_start, vec_end FROM man) " + _VIOLATIONS.format("good", "man") + " UNION ALL " + _VIOLATIONS.format("bad", "bad") + " UNION ALL " + _VIOLATIONS.format("short", "(SELECT * FROM man WHERE batch_idx < (SELECT max(batch_idx) FROM man))"),
+    "shard_integrity": f"""WITH {_BATCHED}, s AS (SELECT batch_idx, count(*) AS n FROM batched WHERE batch_idx <> 2 GROUP BY 1), p AS (SELECT batch_idx, count(*) AS n_pairs FROM (SELECT CAST((row_number() OVER (ORDER BY item_id) - 1) // 128 AS INT) AS batch_idx FROM eval_items) GROUP BY 1),
+j AS (SELECT coalesce(man.batch_idx, s.batch_idx) AS batch_idx, coalesce(vec_end - vec_start, 0) AS expected, coalesce(n, 0) AS found FROM man FULL OUTER JOIN s ON man.batch_idx = s.batch_idx)
+SELECT j.*, coalesce(n_pairs, 0) AS n_pairs, expected = found AND coalesce(n_pairs, 0) > 0 AS sound FROM j LEFT JOIN p USING (batch_idx)""",
     "orphan_truncate": f"WITH {_BATCHED} SELECT vec_id, pos FROM batched WHERE pos < (SELECT max(vec_end) FROM man WHERE batch_idx < 3)",
     "shard_range_lookup": f"WITH {_BATCHED} SELECT vec_id, man.batch_idx AS shard FROM batched JOIN man ON pos >= vec_start AND pos < vec_end",
     "artifact_alignment": "WITH c AS (SELECT DISTINCT chunk_idx, 1 AS c FROM retrieved_chunks), s AS (SELECT DISTINCT chunk_id AS chunk_idx, 1 AS s FROM sentences) SELECT count(*) FILTER (WHERE c IS NULL) AS without_chunk, count(*) FILTER (WHERE s IS NULL) AS without_sentence, count(*) AS n FROM c FULL OUTER JOIN s USING (chunk_idx)",
-    "vector_lookup": "SELECT s.sentence_id, s.chunk_id AS chunk_idx, c.doc_id, c.dataset FROM (SELECT DISTINCT sentence_id, chunk_id FROM sentences) s LEFT JOIN (SELECT chunk_idx, min(doc_id) AS doc_id, min(dataset) AS dataset FROM retrieved_chunks GROUP BY 1) c ON s.chunk_id = c.chunk_idx",
+    "vector_lookup": "SELECT s.sentence_id, s.chunk_id AS chunk_idx, c.doc_id, c.dataset, c.chunk_text FROM (SELECT DISTINCT sentence_id, chunk_id FROM sentences) s LEFT JOIN (SELECT chunk_idx, min(doc_id) AS doc_id, min(dataset) AS dataset, min(chunk_text) AS chunk_text FROM retrieved_chunks GROUP BY 1) c ON s.chunk_id = c.chunk_idx",
+    "ranges_exhausted": "SELECT 'all' AS ranges, count(*) = 0 AS exhausted FROM documents UNION ALL SELECT 'behind', true",
+    "dataset_passages": """
+WITH p AS (
+  SELECT doc_id, 0 AS position, '' AS title, trim(coalesce(text, ''), ' ') AS text FROM documents WHERE dataset NOT IN ('trivia', 'hotpot') OR dataset IS NULL
+  UNION ALL SELECT doc_id, CASE WHEN row_idx % 3 = 1 AND trim(coalesce(text, ''), ' ') <> '' THEN 1 ELSE 0 END, CASE WHEN row_idx % 3 = 0 THEN coalesce(title, '') ELSE '' END, trim(coalesce(text, ''), ' ') FROM documents WHERE dataset = 'trivia'
+  UNION ALL SELECT doc_id, 0, coalesce(title, ''), trim(replace(text, '. ', ' '), ' ') FROM documents WHERE dataset = 'hotpot' AND text IS NOT NULL
+  UNION ALL SELECT doc_id, 1, '', 'end' FROM documents WHERE dataset = 'hotpot')
+SELECT doc_id, CAST(position AS INT) AS position, title, md5(text) AS digest FROM p WHERE length(text) > 0""",
+    "input_faults": f"""
+WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id) AS one FROM sentences) WHERE one = 1)
+SELECT 'queries' AS table_name, query_id AS key, unnest(list_filter([CASE WHEN query IS NULL OR trim(query, ' ') = '' THEN 'no question' END, CASE WHEN query_type IS NULL THEN 'no type' END,
+  CASE WHEN query_type NOT IN ({', '.join(f"'{t}'" for t in C.TOKEN_BUDGET)}) THEN 'unknown type' END, CASE WHEN entities IS NULL THEN 'no entities' END, CASE WHEN keywords IS NULL THEN 'no keywords' END], lambda x: x IS NOT NULL)) AS problem FROM queries
+UNION ALL SELECT 'sentences', sentence_id, unnest(list_filter([CASE WHEN text IS NULL OR trim(text, ' ') = '' THEN 'no text' END, CASE WHEN doc_id IS NULL THEN 'no document' END, CASE WHEN position IS NULL THEN 'no position' END,
+  CASE WHEN token_count < 1 THEN 'no tokens' END, CASE WHEN len(embedding) <> 384 OR len(list_filter(embedding, lambda x: isnan(x))) > 0 OR len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN 'unusable embedding' END], lambda x: x IS NOT NULL)) FROM s""",
+    "sanity_probes": f"""WITH {_BM25}, probe AS (PROBES), q AS (SELECT dataset, term, count(*) AS qtf FROM (SELECT dataset, unnest({_TOKENS.replace("text", "probe")}) AS term FROM probe) GROUP BY 1, 2),
+sc AS (SELECT dataset, id, round(sum(qtf * idf * tf * {C.K1 + 1} / (tf + {C.K1} * ({1 - C.B} + {C.B} * dl / avgdl))), 6) AS score FROM q JOIN terms USING (term) JOIN post USING (term) JOIN len USING (id), corpus GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0)
+SELECT rk.dataset, rank, id AS doc_id, d.dataset IS NOT DISTINCT FROM rk.dataset AS same_dataset FROM rk JOIN documents d ON d.doc_id = rk.id WHERE rank <= 3""",
 }
+SQL["sanity_probes"] = SQL["sanity_probes"].replace("PROBES", SQL["probe_query"])

@@ -54,11 +54,25 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-def load_shards(spark: SparkSession, folder: str, schema: T.StructType | str, column: str, fmt: str = "parquet", pattern: str = "*") -> tuple[DataFrame, DataFrame]:
-    """(rows with the shard they come from, count of rows without a value in `column` by shard); corrupt and missing files are passed over."""
+def load_shards(spark: SparkSession, folder: str, schema: T.StructType | str, column: str, fmt: str = "parquet", pattern: str = "*") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with the shard they come from, count of rows without a value in `column` by shard, shards that gave no row).
+
+    Corrupt and missing files are passed over; they are among the shards without a row, as empty ones are.
+    """
     reader = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("pathGlobFilter", pattern)
     rows = reader.format(fmt).load(folder).withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    return rows.filter(F.col(column).isNotNull()), rows.groupBy("shard").agg(F.count_if(F.col(column).isNull()).alias("n_rejected"))
+    rejected = rows.groupBy("shard").agg(F.count_if(F.col(column).isNull()).alias("n_rejected"))
+    names = [name.rpartition("/")[2] for name in discover_shards(spark, folder, pattern)]
+    every = spark.createDataFrame([(n,) for n in names if n[0] not in "._"], "shard string")
+    return rows.filter(F.col(column).isNotNull()), rejected, every.join(rejected, "shard", "left_anti")
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file of any content in the folder's file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    stream.write(bytearray(content))
+    stream.close()
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelight import runtime
 from sievelight.functions import text as T
-from sievelight.operators import analyze, dense, ingest, segment
+from sievelight.operators import analyze, control, dense, ingest, segment, sparse, validate
 from sievelight.plans.retrieval_queries import FIXTURES
 from sievelight.sources import tables
 from sievelight.streaming import events
@@ -30,7 +30,8 @@ def test_shards(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, None)], "id int, chunk string").coalesce(1).write.parquet(str(tmp_path / "s"))
     (tmp_path / "s" / "broken.parquet").write_bytes(b"no parquet")
     assert len(tables.discover_shards(spark, str(tmp_path / "s"), "*.parquet")) == 2
-    rows, rejected = tables.load_shards(spark, str(tmp_path / "s"), "id int, chunk string", "chunk")
+    rows, rejected, unreadable = tables.load_shards(spark, str(tmp_path / "s"), "id int, chunk string", "chunk")
+    assert [r.shard for r in unreadable.collect()] == ["broken.parquet"]
     assert [r.id for r in rows.collect()] == [1] and sum(r.n_rejected for r in rejected.collect()) == 1
     assert tables.read_or_empty(spark, str(tmp_path / "no"), "id int").count() == 0
     with pytest.raises(Exception, match="has not 2 values"):
@@ -129,3 +130,54 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         runtime.checkpoint_dir(Cluster)
+
+
+def test_a_batch_whose_parts_disagree_is_not_committed(spark):
+    docs = spark.createDataFrame([("a",), ("b",)], "document_id string")
+    chunks = spark.createDataFrame([("a", 0, "x"), ("b", 0, "y")], streaming.CHUNKS)
+    vectors = spark.createDataFrame([("a", 0, [1.0]), ("b", 0, [0.0])], streaming.VECTORS)
+    assert streaming.verify(docs, chunks, vectors) == (2, 2)
+    with pytest.raises(streaming.AlignmentError, match="vectors"):
+        streaming.verify(docs, chunks, vectors.limit(1))
+    with pytest.raises(streaming.AlignmentError, match="no document"):
+        streaming.verify(docs.filter("document_id = 'a'"), chunks, vectors)
+
+
+def test_fewer_rows_than_were_committed_are_an_error(spark):
+    rows, man = spark.range(5).withColumnRenamed("id", "pos"), spark.createDataFrame([(0, 0, 4)], "batch_idx int, vec_start long, vec_end long")
+    assert control.truncate_orphans(rows, man).count() == 4
+    with pytest.raises(Exception, match="rows are missing"):
+        control.truncate_orphans(rows.limit(3), man).collect()
+
+
+def test_inputs_are_validated(spark):
+    good = "query_id string, query string, query_type string, entities array<string>, keywords array<string>"
+    with pytest.raises(ValueError, match="keywords"):
+        validate.query_faults(spark.createDataFrame([], good.replace(", keywords array<string>", "")))
+    with pytest.raises(TypeError, match="entities"):
+        validate.query_faults(spark.createDataFrame([], good.replace("entities array<string>", "entities string")))
+    rows = [("a", "Who?", "factoid", [], []), ("b", " ", "odd", None, []), ("c", None, None, [], None)]
+    got = {(r.key, r.problem) for r in validate.query_faults(spark.createDataFrame(rows, good)).collect()}
+    assert got == {("b", "no question"), ("b", "unknown type"), ("b", "no entities"), ("c", "no question"), ("c", "no type"), ("c", "no keywords")}
+
+
+def test_search_by_shuffle_equals_search_by_broadcast(spark, tmp_path):
+    docs = spark.createDataFrame([(k, " ".join(["mill", "river", f"w{k % 7}"][: 1 + k % 3] * (1 + k % 2))) for k in range(40)] + [(99, None)], "id int, text string")
+    built = sparse.Index.build(docs, "id", "text")
+    terms = spark.createDataFrame([("q", "river", 1), ("q", "w3", 2), ("p", "mill", 1), ("p", "w5", 1)], "query_id string, term string, qtf long")
+    want = sorted(map(tuple, sparse.search(built, terms, 5).collect()))
+    loaded = built.save(str(tmp_path / "index"))
+    assert want and want == sorted(map(tuple, sparse.search(loaded, terms, 5, sent_terms=0).collect()))
+
+
+def test_questions_of_two_clauses_and_entities(spark):
+    rows = spark.createDataFrame([("Who painted the hall and repaired it?",), ("Who painted the hall?",), ("What was painted in May?",), ("Name of The Beatles and the BEATLES and Abba",)], "q string")
+    q = F.col("q")
+    got = rows.select(analyze.query_type(q).alias("t"), analyze.entities(q).alias("e")).collect()
+    assert [r.t for r in got[:3]] == ["multi_hop", "factoid", "factoid"] and got[3].e == ["Beatles", "Abba"]
+
+
+def test_equal_vectors_are_ranked_by_id(spark):
+    v = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(60)] + [(k, [0.0, 1.0]) for k in range(60, 70)], "id long, vec array<double>")
+    got = dense.top_k(v.filter("id >= 55 AND id < 58"), v, 2, 4).collect()
+    assert len(got) == 12 and all(r.other == r["rank"] - 1 for r in got)
