@@ -6,8 +6,6 @@ never as pairs: a frontier goes from sentences to concepts and on to sentences,
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +26,8 @@ def concepts(text: Column, word: str = "[a-z]{5,}") -> Column:
 
 #: Words of two letters or digits and more are concepts of the bridge search.
 WORD = "[a-z0-9]{2,}"
+#: Parts of a concept's sentences that take its offers apart from each other.
+SALTS = 16
 
 
 def incidences(sentences: DataFrame, text: str = "text") -> DataFrame:
@@ -59,22 +59,32 @@ def bridges(incident: DataFrame, sources: DataFrame, pairs: DataFrame | None = N
     near = per.join(first, ["grp", "concept"]).select("grp", F.col("node").alias("src"), F.when(F.col("one") != F.col("node"), F.col("one")).when(F.col("two") != F.col("node"), F.col("two")).alias("sink"))
     near = near.filter("sink IS NOT NULL").groupBy("grp", "src").agg(F.min("sink").alias("sink"))
     found = [materialize(near.select("grp", "src", F.array("src", "sink").alias("path")), "near")]
-    # further hops only for sources that share no concept with another one
-    alone = sources.withColumnRenamed("node", "src").join(found[0].select("grp", "src"), ["grp", "src"], "left_anti")
-    frontier = materialize(alone.select("grp", "src", F.col("src").alias("node"), F.array("src").alias("path")), "frontier")
-    visited = frontier.select("grp", "src", "node")
-    hop = 0
-    while exists(frontier):
-        over = frontier.join(links, ["grp", "node"]).groupBy("grp", "src", "concept").agg(F.min("path").alias("path"))
-        step = over.join(links, ["grp", "concept"]).groupBy("grp", "src", "node").agg(F.min("path").alias("path"))
-        step = step.join(visited, ["grp", "src", "node"], "left_anti").withColumn("path", F.concat("path", F.array("node")))
-        step = materialize(step, f"hop{hop}")
-        ends = step.join(sources, ["grp", "node"], "left_semi").groupBy("grp", "src").agg(F.min("path").alias("path"))
-        found.append(materialize(ends, f"ends{hop}"))
-        frontier = materialize(step.join(found[-1].select("grp", "src"), ["grp", "src"], "left_anti"), f"frontier{hop}")
-        visited = materialize(visited.unionByName(frontier.select("grp", "src", "node")), f"visited{hop}")
+    # further hops only where a source shares no concept with another one, and its query has another one
+    many = sources.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp")
+    alone = materialize(sources.join(found[0].select("grp", F.col("src").alias("node")), ["grp", "node"], "left_anti").join(many, "grp", "left_semi"), "alone")
+    if not exists(alone):
+        return found[0]
+    held = alone.select("grp").distinct()
+    links = materialize(links.join(held, "grp", "left_semi").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "open_links")
+    # every node holds the best paths to its two nearest sources, found for all sources at once; a source finds itself first
+    new = materialize(sources.join(held, "grp", "left_semi").select("grp", "node", F.col("node").alias("origin"), F.array("node").alias("path")), "labels")
+    labels, left, hop = new, alone, 0
+    while exists(new) and exists(left):
+        offers = new.join(links.drop("salt"), ["grp", "node"]).groupBy("grp", "concept", "origin").agg(F.min("path").alias("path"))
+        place = F.row_number().over(W.partitionBy("grp", "concept").orderBy("path"))
+        # two offers of a concept, once for each salt: a frequent concept is spread over tasks
+        offers = offers.withColumn("rn", place).filter("rn <= 2").drop("rn").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        got = offers.join(links, ["grp", "concept", "salt"]).groupBy("grp", "node", "origin").agg(F.min("path").alias("path"))
+        have = labels.groupBy("grp", "node").agg(F.count("*").alias("have"))
+        got = got.join(labels.select("grp", "node", "origin"), ["grp", "node", "origin"], "left_anti").join(have, ["grp", "node"], "left")
+        place = F.row_number().over(W.partitionBy("grp", "node").orderBy("path"))
+        got = got.withColumn("rn", place).filter(F.col("rn") + F.coalesce("have", F.lit(0)) <= 2)
+        new = materialize(got.select("grp", "node", "origin", F.concat(F.array("node"), "path").alias("path")), f"labels{hop}")
+        labels = labels.unionByName(new)
+        left = materialize(left.join(new.filter("origin <> node").select("grp", "node"), ["grp", "node"], "left_anti"), f"left{hop}")
         hop += 1
-    return reduce(DataFrame.unionByName, found)
+    best = labels.join(alone, ["grp", "node"], "left_semi").filter("origin <> node").groupBy("grp", F.col("node").alias("src")).agg(F.min(F.struct(F.size("path").alias("n"), "path")).alias("b"))
+    return found[0].unionByName(best.select("grp", "src", F.col("b.path").alias("path")))
 
 
 def bridge_nodes(paths: DataFrame) -> DataFrame:
