@@ -19,9 +19,8 @@ TILE = 4096
 
 
 def unit(vec: Column, dim: int) -> Column:
-    """The vector as doubles, null unless it has `dim` values, all finite, and a length."""
-    v = vec.cast("array<double>")
-    return F.when((F.size(vec) == dim) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0), v)
+    """The vector, null unless it has `dim` values, none of them null or NaN, and a length."""
+    return F.when((F.size(vec) == dim) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x)) & F.exists(vec, lambda x: x != 0), vec)
 
 
 def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +34,7 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], k: int | None, least: float | None) -> Iterator[pa.RecordBatch]:
-    """Rows (tile, grp, side, id, vec) in the order of tile and id: the products of side 0 with side 1 of each tile."""
+    """Rows (tile, grp, side, id, vec) in the order of tile and id: the products of side 0 with side 1 of each tile, and of all pairs of side 2."""
     held: list[pa.RecordBatch] = []
 
     def run() -> Iterator[pa.RecordBatch]:
@@ -46,13 +45,13 @@ def _tiles(batches: Iterator[pa.RecordBatch], k: int | None, least: float | None
             return
         x = flat.reshape(len(side), -1)
         x = x / np.sqrt((x * x).sum(1, keepdims=True))
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         ids = table.column("id")
         for begin in range(0, len(a), 512):
             q = a[begin : begin + 512]
             s = x[q] @ x[b].T
             if least is not None:
-                i, j = np.nonzero(s >= least - 1e-12)
+                i, j = np.nonzero((s >= least - 1e-12) & ((side[q][:, None] != 2) | (q[:, None] < b)))
             else:
                 i, j = best(s, k + 1)  # the query itself may be among them
             grp = table.column("grp").take(pa.array(q[i]))
@@ -82,12 +81,22 @@ def _dealt(left: DataFrame, right: DataFrame, tile: int) -> DataFrame:
     return a.unionByName(b).repartition("tile").sortWithinPartitions("tile", "id")
 
 
+def _dealt_self(rows: DataFrame, tile: int) -> DataFrame:
+    """One side (grp, id, vec) for its own pairs: a group of one block goes once, of more blocks every pair of blocks is a tile."""
+    sizes = rows.groupBy("grp").agg(F.ceil(F.count("*") / tile).cast("int").alias("nb"))
+    mine = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+    dealt = rows.join(sizes, "grp").withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
+    key = F.concat_ws("|", "grp", F.least("i", "j"), F.greatest("i", "j"))
+    return dealt.select(key.alias("tile"), "grp", side.alias("side"), "id", "vec").repartition("tile").sortWithinPartitions("tile", "id")
+
+
 def close_pairs(df: DataFrame, group: str, id_col: str, vec: str, dim: int, least: float, tile: int = TILE) -> DataFrame:
-    """(grp, id, other, cosine) of pairs of one group with a cosine of at least `least`, id < other."""
+    """(grp, id, other, cosine) of pairs of one group with a cosine of at least `least`, id < other; ids are unique in a group."""
     rows = df.select(F.col(group).cast("string").alias("grp"), F.col(id_col).alias("id"), unit(F.col(vec), dim).alias("vec")).filter("vec IS NOT NULL AND grp IS NOT NULL")
     kind = rows.schema["id"].dataType.simpleString()
-    out = _dealt(rows, rows, tile).mapInArrow(lambda it: _tiles(it, None, least), f"grp string, id {kind}, other {kind}, cosine double")
-    return out.filter("id < other").withColumn("cosine", F.round("cosine", 9))
+    out = _dealt_self(rows, tile).mapInArrow(lambda it: _tiles(it, None, least), f"grp string, id {kind}, other {kind}, cosine double")
+    return out.select("grp", F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), F.round("cosine", 9).alias("cosine"))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, dim: int, k: int, tile: int = TILE) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import text as T
 from ..runtime import exists, materialize
+from .validate import require
 
 
 def keep_greedily(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -54,13 +55,14 @@ def fit_budget(sentences: DataFrame, types: DataFrame) -> DataFrame:
     """Adds budget and selected: bridges first, then by score, each taken if it still fits, else skipped.
 
     sentences has SENTENCE, one row for each sentence; queries of an unknown type have no budget and are left out.
-    What remains never grows, so of the sentences of one length only the first budget / length can be taken: the rest are
+    A sentence without tokens always fits and takes nothing. What remains never grows, so of the sentences of one length only the first budget / length can be taken: the rest are
     cut off before the fold, which then sees at most budget * ln(budget) rows.
     """
+    require(sentences, {"query_id": "string", "sentence_id": "string", "token_count": "int", "score": "double", "is_bridge": "boolean"}, "the table of sentences")
     rows = sentences.join(types.select("query_id", budget_of(F.col("query_type")).alias("budget")), "query_id").filter("budget IS NOT NULL")
     order = [F.col("is_bridge").desc(), F.col("score").desc(), F.col("sentence_id")]
     ranked = rows.withColumn("__rn", F.row_number().over(W.partitionBy("query_id", "token_count").orderBy(*order)))
-    can = ranked.filter((F.col("token_count") <= F.col("budget")) & ((F.col("token_count") <= 0) | (F.col("__rn") * F.col("token_count") <= F.col("budget"))))
+    can = ranked.filter((F.col("token_count") > 0) & (F.col("__rn") * F.col("token_count") <= F.col("budget")))
 
     # the fold stays in the JVM: an array in the order of the pass, with what is left and what was taken as its state
     item = F.struct((~F.col("is_bridge")).alias("b"), (-F.col("score")).alias("s"), "sentence_id", "token_count")
@@ -71,7 +73,7 @@ def fit_budget(sentences: DataFrame, types: DataFrame) -> DataFrame:
         return F.when(x["token_count"] <= acc["left"], F.struct((acc["left"] - x["token_count"]).alias("left"), F.array_append(acc["taken"], x["sentence_id"]).alias("taken"))).otherwise(acc)
 
     picked = lists.select("query_id", F.explode(F.aggregate("items", state, take, lambda acc: acc["taken"])).alias("sentence_id"))
-    return rows.join(picked.withColumn("selected", F.lit(True)), ["query_id", "sentence_id"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    return rows.join(picked.withColumn("selected", F.lit(True)), ["query_id", "sentence_id"], "left").withColumn("selected", F.coalesce("selected", F.col("token_count") <= 0))
 
 
 def budget_stats(filled: DataFrame) -> DataFrame:
@@ -119,6 +121,13 @@ def fold_queries(df: DataFrame, fold: Callable[[list[dict]], list[dict]], schema
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
 
 
+#: What the steps after the budget read.
+MASKED = {
+    "query_id": "string", "sentence_id": "string", "selected": "boolean", "is_bridge": "boolean", "score": "double", "n_chars": "int", "doc_id": "string", "position": "int",
+    "emask": "string", "kmask": "string", "entities": "array<string>", "keywords": "array<string>",
+}
+
+
 def _bits(mask: str) -> int:
     return int(mask, 2) if mask else 0
 
@@ -201,6 +210,7 @@ def _swappable(masked: DataFrame) -> DataFrame:
     more, so there are at most as many swaps as terms, and of the candidates with one mask only the first that many in
     the order of the swaps can come in: the rest are cut off first. Candidates that cover nothing never come in.
     """
+    require(masked, MASKED, "the filled budget")
     n_terms = F.size("entities") + F.size("keywords")
     # only queries whose candidates cover a term that the selection lacks can change at all (beyond 62 terms all are tried)
     bits = F.when(n_terms <= 62, F.conv(F.concat("emask", "kmask"), 2, 10).cast("bigint"))
@@ -276,6 +286,8 @@ def expand(masked: DataFrame, queries: DataFrame) -> DataFrame:
     candidates alike in masks and bridge flag only the first that many can be: the rest are cut off first; of the
     selection one row for each mask and bridge flag tells what it covers.
     """
+    require(masked, MASKED, "the filled budget")
+    require(queries, {"query_id": "string", "query_type": "string", "complexity": "string"}, "the table of questions")
     most = max(*C.MAX_EXPANSION.values(), C.DEFAULT_EXPANSION)
     sizes = masked.groupBy("query_id").agg(F.count_if("selected").cast("int").alias("n_selected"))
     rank = F.row_number().over(W.partitionBy("query_id", "selected", "is_bridge", "emask", "kmask").orderBy(F.col("score").desc(), "n_chars", "doc_id", "position", "sentence_id"))

@@ -141,12 +141,20 @@ def dense_shard_retrieve(spark, sf):
     return dense_topk(spark, sf).join(shards, "other_id").select("vec_id", "rank", "other_id", "shard")
 
 
+def in_layers(layers: dict[str, DataFrame]) -> DataFrame:
+    """Figures of several steps in long form: (query_id, layer, metric, value), numbers and flags as whole numbers; a later step of one name wins."""
+    out = None
+    for layer, stats in layers.items():
+        names = [f.name for f in stats.schema.fields if f.dataType.simpleString() in ("int", "bigint", "boolean")]
+        long = stats.unpivot(["query_id"], [F.col(c).cast("bigint").alias(c) for c in names], "metric", "value")
+        long = long.select("query_id", F.lit(layer).alias("layer"), "metric", "value")
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 def layer_stats(spark, sf):
-    """Figures of the budget step in long form: (query_id, layer, metric, value)."""
-    stats = budget_stats(spark, sf)
-    names = ["budget", "tokens_used", "tokens_remaining", "n_input", "n_selected"]
-    long = stats.unpivot(["query_id"], [F.col(c).cast("bigint").alias(c) for c in names], "metric", "value")
-    return long.select("query_id", F.lit("budget").alias("layer"), "metric", "value")
+    """Figures of the budget, of the coverage swaps and of sufficiency."""
+    return in_layers({"budget": budget_stats(spark, sf), "diversity": diversity_stats(spark, sf), "sufficiency": sufficiency(spark, sf)})
 
 
 def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -250,7 +258,7 @@ def concept_links(spark, sf):
 
 def bridge_paths(spark: SparkSession, sf: str) -> DataFrame:
     s = sentence_nodes(spark, sf)
-    links = graph.incidences(s)
+    links = materialize(graph.incidences(s), "incidences")
     sources = links.join(query_concepts(table(spark, sf, "queries")), ["grp", "concept"], "left_semi").select("grp", "node").distinct()
     return graph.bridges(links, sources, near_pairs(s))
 
@@ -261,7 +269,7 @@ def bridge_nodes(spark, sf):
 
 def budget_input(spark: SparkSession, sf: str) -> DataFrame:
     s = one_sentence(spark, sf)
-    return s.select("query_id", "sentence_id", F.coalesce("token_count", T.word_count(F.col("text"))).alias("token_count"), F.coalesce(F.nanvl("final_score", F.lit(0.0)), F.lit(0.0)).alias("score"),
+    return s.select("query_id", "sentence_id", F.greatest(F.coalesce("token_count", T.word_count(F.col("text"))), F.lit(0)).alias("token_count"), F.coalesce(F.nanvl("final_score", F.lit(0.0)), F.lit(0.0)).alias("score"),
                     F.coalesce("force_include", F.lit(False)).alias("is_bridge"), "text", "doc_id", "position", F.length("text").alias("n_chars"))
 
 
@@ -341,7 +349,7 @@ def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
     kept = select.keep_greedily(nodes, bad.select("grp", F.col("id").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"grp": "query_id", "id": "sentence_id"})
     rows = materialize(rows.join(kept, ["query_id", "sentence_id"], "left_semi"), "distinct")
 
-    links = graph.incidences(rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias("node"), "text"))
+    links = materialize(graph.incidences(rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias("node"), "text")), "incidences")
     sources = links.join(query_concepts(q), ["grp", "concept"], "left_semi").select("grp", "node").distinct()
     ends = pairs.filter(F.col("cosine") >= C.GRAPH_COSINE).select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
     for key in ("a", "b"):
@@ -404,7 +412,7 @@ def _embed(name: str, key: str, text: str, source: str) -> str:
 _SIM = f"""s AS {S.ONE_SENTENCE}, sj AS (SELECT sentence_id, concat_ws(' [SEP] ', query, text) AS joint FROM s JOIN queries USING (query_id)), {_embed('hq', 'query_id', 'query', 'queries')}, {_embed('hs', 'sentence_id', 'joint', 'sj')},
 sim AS (SELECT s.query_id, s.sentence_id, round(sum(hq.n * hs.n) / (max(hq.norm) * max(hs.norm)), 9) AS cosine FROM s JOIN hq ON hq.id = s.query_id JOIN hs ON hs.id = s.sentence_id AND hs.bucket = hq.bucket GROUP BY 1, 2)"""
 _VALID = f"v AS (SELECT * FROM {S.ONE_SENTENCE} WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
-_BUDGET = f"""b AS (SELECT s.query_id, s.sentence_id, coalesce(s.token_count, {S.word_count('s.text')}) AS n, CASE WHEN s.final_score IS NULL OR isnan(s.final_score) THEN 0.0 ELSE s.final_score END AS score, coalesce(s.force_include, false) AS br,
+_BUDGET = f"""b AS (SELECT s.query_id, s.sentence_id, greatest(coalesce(s.token_count, {S.word_count('s.text')}), 0) AS n, CASE WHEN s.final_score IS NULL OR isnan(s.final_score) THEN 0.0 ELSE s.final_score END AS score, coalesce(s.force_include, false) AS br,
   {S.by_type('q.query_type', C.TOKEN_BUDGET)} AS budget FROM {S.ONE_SENTENCE} s JOIN queries q USING (query_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY br DESC, score DESC, sentence_id) AS k FROM b WHERE budget IS NOT NULL),
 f AS (SELECT query_id, 0::BIGINT AS k, CAST(max(budget) AS BIGINT) AS rest, ''::VARCHAR AS sentence_id, false AS selected FROM r GROUP BY 1
@@ -493,6 +501,13 @@ SQL["bridge_nodes"] = X.bridge_nodes(X.cosine_edges(_VALID))
 SQL["concept_links"] = f"WITH {X.graph(X.cosine_edges(_VALID))} SELECT grp AS query_id, concept, count(*) AS n_sentences, count(*) * (count(*) - 1) // 2 AS n_pairs FROM inc GROUP BY 1, 2 HAVING count(*) > 1"
 SQL |= {"best_swap": X.best_swap(_BUDGET), "swap_loop": X.swap_loop(_BUDGET), "diversity_stats": X.diversity_stats(_BUDGET), "sufficiency": X.sufficiency(_BUDGET)}
 SQL["dense_shard_retrieve"] = f"WITH top AS ({SQL['dense_topk']}), pos AS (SELECT vec_id AS other_id, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 128 AS INT) AS shard FROM embeddings) SELECT vec_id, rank, other_id, shard FROM top JOIN pos USING (other_id)"
-SQL["layer_stats"] = f"""WITH s AS ({SQL['budget_stats']}) SELECT query_id, 'budget' AS layer, metric, value FROM (SELECT query_id, CAST(budget AS BIGINT) AS budget, tokens_used, tokens_remaining, n_input, n_selected FROM s)
-UNPIVOT (value FOR metric IN (budget, tokens_used, tokens_remaining, n_input, n_selected))"""
+_FIGURES = {
+    "budget": ["budget", "tokens_used", "n_input", "n_selected", "bridge_selected", "non_bridge_selected", "tokens_remaining"],
+    "diversity": ["query_entities", "covered_entities", "query_keywords", "covered_keywords", "sentence_swaps", "coverage_improved", "coverage_before", "coverage_after", "coverage_delta"],
+    "sufficiency": ["sufficient", "coverage_complete", "minimum_met", "bridge_met", "required", "n_selected", "n_added", "expansion_limit", "n_terms"],
+}
+SQL["layer_stats"] = " UNION ALL ".join(
+    f"SELECT query_id, '{layer}' AS layer, metric, value FROM (SELECT query_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in names)} FROM ({SQL[query]})) UNPIVOT (value FOR metric IN ({', '.join(names)}))"
+    for (layer, names), query in zip(_FIGURES.items(), ["budget_stats", "diversity_stats", "sufficiency"])
+)
 SQL["full_pipeline"] = X.pipeline(_BUDGET, _RANKED, _embed, _EVIDENCE.replace("text", "p.text"), _SHARE.replace("text", "p.text"), _DENSITY.replace("text", "p.text"), _TEMPORAL)

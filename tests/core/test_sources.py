@@ -181,3 +181,10 @@ def test_equal_vectors_are_ranked_by_id(spark):
     v = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(60)] + [(k, [0.0, 1.0]) for k in range(60, 70)], "id long, vec array<double>")
     got = dense.top_k(v.filter("id >= 55 AND id < 58"), v, 2, 4).collect()
     assert len(got) == 12 and all(r.other == r["rank"] - 1 for r in got)
+
+
+def test_close_pairs_in_one_block_and_in_many(spark):
+    rows = [("g" if k % 5 else "h", f"i{k:03d}", [1.0, (k % 13) / 10.0, (k % 7) / 5.0]) for k in range(60)] + [("g", "zero", [0.0, 0.0, 0.0]), ("g", "nan", [1.0, float("nan"), 0.0]), ("g", "short", [1.0])]
+    df = spark.createDataFrame(rows, "q string, id string, v array<float>")
+    one, many = (sorted(map(tuple, dense.close_pairs(df, "q", "id", "v", 3, 0.95, tile=tile).collect())) for tile in (4096, 7))
+    assert one == many and len(one) == len(set(r[1:3] for r in one)) > 100 and all(a < b for _, a, b, _ in one)
