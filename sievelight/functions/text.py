@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 BLANK = r"[ \t\n\r\f\x0B]"
+TOKEN = r"[\p{L}\p{N}]+|[^ \t\n\r\f\x0B\p{L}\p{N}]"
 
 
 def _words(values: list[str]) -> Column:
@@ -39,6 +40,11 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda x: x != ""))
 
 
+def token_count(text: Column) -> Column:
+    """Runs of letters and digits, and every other mark: the stand-in for a model's sub-word tokens."""
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({TOKEN})"), F.lit(1)))
+
+
 def singular(token: Column) -> Column:
     """Light plural stripping; the first rule that fits."""
     n = F.length(token)

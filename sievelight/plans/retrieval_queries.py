@@ -269,7 +269,7 @@ def bridge_nodes(spark, sf):
 
 def budget_input(spark: SparkSession, sf: str) -> DataFrame:
     s = one_sentence(spark, sf)
-    return s.select("query_id", "sentence_id", F.greatest(F.coalesce("token_count", T.word_count(F.col("text"))), F.lit(0)).alias("token_count"), F.coalesce(F.nanvl("final_score", F.lit(0.0)), F.lit(0.0)).alias("score"),
+    return s.select("query_id", "sentence_id", F.greatest(F.coalesce("token_count", T.token_count(F.col("text"))), F.lit(0)).alias("token_count"), F.coalesce(F.nanvl("final_score", F.lit(0.0)), F.lit(0.0)).alias("score"),
                     F.coalesce("force_include", F.lit(False)).alias("is_bridge"), "text", "doc_id", "position", F.length("text").alias("n_chars"))
 
 
@@ -332,13 +332,8 @@ def sufficiency(spark, sf):
     return select.expand(swapped(masked(spark, sf)).drop("swaps"), complexities(spark, sf)).withColumn("added", F.array_join("added", "|"))
 
 
-def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
-    """Scored sentences (query_id, sentence_id, text, token_count, score, doc_id, position) to each query's evidence.
-
-    Near copies go out by cosine, then bridges are found, the budget is filled, swapped for coverage and expanded.
-    q has query, query_type, entities and keywords, none of them null.
-    """
-    rows = materialize(rows, "scored")
+def without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The scored sentences (query_id, sentence_id, text, score, doc_id ...) that are near copies of no better one, and all close pairs (grp, id, other, cosine)."""
     vectors = dense.dense_vectors(rows.select("sentence_id", "text").dropDuplicates(["sentence_id"]), "sentence_id", "text")
     s = rows.select("query_id", "sentence_id").join(vectors.withColumnRenamed("id", "sentence_id"), "sentence_id")
     pairs = materialize(dense.close_pairs(s, "query_id", "sentence_id", "vec", C.HASH_DIM, min(C.GRAPH_COSINE, C.DUPLICATE_SOFT)), "pairs")
@@ -347,7 +342,17 @@ def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
     bad = both.filter((F.col("cosine") >= C.DUPLICATE_EXACT) | ((F.col("cosine") >= C.DUPLICATE_SOFT) & F.col("da").eqNullSafe(F.col("db"))))
     nodes = rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias("id"), F.struct((-F.col("score")).alias("s"), F.col("sentence_id").alias("i")).alias("prio"))
     kept = select.keep_greedily(nodes, bad.select("grp", F.col("id").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"grp": "query_id", "id": "sentence_id"})
-    rows = materialize(rows.join(kept, ["query_id", "sentence_id"], "left_semi"), "distinct")
+    return rows.join(kept, ["query_id", "sentence_id"], "left_semi"), pairs
+
+
+def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
+    """Scored sentences (query_id, sentence_id, text, token_count, score, doc_id, position) to each query's evidence.
+
+    Near copies go out by cosine, then bridges are found, the budget is filled, swapped for coverage and expanded.
+    q has query, query_type, entities and keywords, none of them null.
+    """
+    rows, pairs = without_copies(materialize(rows, "scored"))
+    rows = materialize(rows, "distinct")
 
     links = materialize(graph.incidences(rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias("node"), "text")), "incidences")
     sources = links.join(query_concepts(q), ["grp", "concept"], "left_semi").select("grp", "node").distinct()
@@ -365,29 +370,61 @@ def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
     return out.select("query_id", "sentence_id", "text", "token_count", "score", "is_bridge")
 
 
-def full_pipeline(spark, sf):
-    """Questions to evidence: sparse and dense retrieval, fusion, sentences, signals, de-duplication, bridges, budget, coverage swaps, expansion."""
+def analysed(spark: SparkSession, sf: str) -> DataFrame:
+    """The questions, what their analysis lacks filled in by rule."""
     q = table(spark, sf, "queries")
     for c, own in (("query_type", analyze.query_type), ("entities", analyze.entities), ("keywords", analyze.keywords)):
         q = q.withColumn(c, F.coalesce(c, own(F.col("query"))))
+    return q
+
+
+def fused(spark: SparkSession, sf: str, q: DataFrame) -> DataFrame:
+    """The fused hits of every question, by BM25 and by the hashing embedder."""
     texts = chunks(spark, sf)
     found = sparse.search(sparse.stored(table(spark, sf, "retrieved_chunks"), texts, "chunk_idx", "chunk_text"), sparse.keyword_terms(q), 30)
     near = dense.top_k(dense.dense_vectors(q, "query_id", "query"), dense.dense_vectors(texts.select(F.col("chunk_idx").cast("string").alias("chunk_idx"), "chunk_text"), "chunk_idx", "chunk_text"), C.HASH_DIM, 30)
     near = near.filter("cosine > 0").select(F.col("id").alias("query_id"), F.col("other").cast("bigint").alias("id"), F.col("cosine").alias("score"), "rank")
-    fused = fusion.fuse(found, near, q).withColumnRenamed("id", "chunk_idx")
+    return fusion.fuse(found, near, q).withColumnRenamed("id", "chunk_idx")
+
+
+def scored(spark: SparkSession, sf: str, q: DataFrame) -> DataFrame:
+    """The sentences of the hits with the weighted sum of their signals."""
     meta = table(spark, sf, "retrieved_chunks").groupBy("chunk_idx").agg(F.min("doc_id").alias("doc_id"), F.min("dataset").alias("dataset"), F.min("title").alias("title"), F.min("year").alias("year"))
     own = F.col("sentence")
     signals = {"evidence": score.evidence(own), "evidential": T.evidentiality(own), "density": score.density(own)}
-    rows = segment.segment(fused.join(meta, "chunk_idx"), texts, q, signals).join(q.select("query_id", "query", "query_type"), "query_id")
+    rows = segment.segment(fused(spark, sf, q).join(meta, "chunk_idx"), chunks(spark, sf), q, signals).join(q.select("query_id", "query", "query_type"), "query_id")
     five = [F.coalesce("faiss_score", F.lit(0.0)), F.col("evidence"), F.col("evidential"), F.col("density"), score.temporal(F.col("query"), F.col("year"))]
     rows = rows.withColumn("score", score.combined(F.col("query_type"), five))
-    return evidence_of(rows.select("query_id", "sentence_id", "text", "token_count", "score", "doc_id", "position"), q)
+    return rows.select("query_id", "sentence_id", "text", "token_count", "score", "doc_id", "position")
+
+
+def retrieval_layer(spark, sf):
+    """Questions to fused hits: both searches over all chunks, cut to the depths of the question's type."""
+    out = fused(spark, sf, analysed(spark, sf))
+    return out.select("query_id", "chunk_idx", F.col("rrf_rank").cast("int").alias("rrf_rank"), F.round("rrf_score", 9).alias("rrf_score"), (F.col("bm25_score") > 0).alias("sparse"), (F.col("faiss_score") > 0).alias("dense"))
+
+
+def scoring_layer(spark, sf):
+    """Questions to scored sentences without near copies."""
+    rows, _ = without_copies(materialize(scored(spark, sf, analysed(spark, sf)), "scored"))
+    return rows.select("query_id", "sentence_id", "token_count", "score")
+
+
+def full_pipeline(spark, sf):
+    """Questions to evidence: sparse and dense retrieval, fusion, sentences, signals, de-duplication, bridges, budget, coverage swaps, expansion."""
+    q = analysed(spark, sf)
+    return evidence_of(scored(spark, sf, q), q)
+
+
+def token_counts(spark, sf):
+    """Words and marks of every sentence, the count that stands in where no model's tokens are given."""
+    return one_sentence(spark, sf).select("sentence_id", T.token_count(F.col("text")).alias("n_tokens"))
 
 
 QUERIES = {f.__name__: f for f in [
     query_info, query_type, query_negation, query_keywords, query_entities, query_complexity, required_evidence, sentence_clean, plural_normalise, evidentiality, recency, segment_sentences, segment_drop_counts,
     sentence_objects, term_coverage, bm25_topk, dense_topk, hybrid_rrf, hash_embed, hash_similarity, evidence_density, multi_signal_score, cosine_pairs, greedy_dedup, concepts, concept_links, bridge_nodes, budget_fill, budget_stats,
-    missing_terms, best_swap, swap_loop, diversity_stats, sufficiency, full_pipeline, dense_shard_retrieve, layer_stats,
+    missing_terms, best_swap, swap_loop, diversity_stats, sufficiency, retrieval_layer, scoring_layer, full_pipeline, dense_shard_retrieve, layer_stats, token_counts,
 ]}
 
 _Q = "q AS (SELECT query_id, query FROM queries UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('f{i:02d}', '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(FIXTURES)) + ") AS v(query_id, query))"
@@ -412,7 +449,7 @@ def _embed(name: str, key: str, text: str, source: str) -> str:
 _SIM = f"""s AS {S.ONE_SENTENCE}, sj AS (SELECT sentence_id, concat_ws(' [SEP] ', query, text) AS joint FROM s JOIN queries USING (query_id)), {_embed('hq', 'query_id', 'query', 'queries')}, {_embed('hs', 'sentence_id', 'joint', 'sj')},
 sim AS (SELECT s.query_id, s.sentence_id, round(sum(hq.n * hs.n) / (max(hq.norm) * max(hs.norm)), 9) AS cosine FROM s JOIN hq ON hq.id = s.query_id JOIN hs ON hs.id = s.sentence_id AND hs.bucket = hq.bucket GROUP BY 1, 2)"""
 _VALID = f"v AS (SELECT * FROM {S.ONE_SENTENCE} WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"
-_BUDGET = f"""b AS (SELECT s.query_id, s.sentence_id, greatest(coalesce(s.token_count, {S.word_count('s.text')}), 0) AS n, CASE WHEN s.final_score IS NULL OR isnan(s.final_score) THEN 0.0 ELSE s.final_score END AS score, coalesce(s.force_include, false) AS br,
+_BUDGET = f"""b AS (SELECT s.query_id, s.sentence_id, greatest(coalesce(s.token_count, {S.token_count('s.text')}), 0) AS n, CASE WHEN s.final_score IS NULL OR isnan(s.final_score) THEN 0.0 ELSE s.final_score END AS score, coalesce(s.force_include, false) AS br,
   {S.by_type('q.query_type', C.TOKEN_BUDGET)} AS budget FROM {S.ONE_SENTENCE} s JOIN queries q USING (query_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY br DESC, score DESC, sentence_id) AS k FROM b WHERE budget IS NOT NULL),
 f AS (SELECT query_id, 0::BIGINT AS k, CAST(max(budget) AS BIGINT) AS rest, ''::VARCHAR AS sentence_id, false AS selected FROM r GROUP BY 1
@@ -510,4 +547,6 @@ SQL["layer_stats"] = " UNION ALL ".join(
     f"SELECT query_id, '{layer}' AS layer, metric, value FROM (SELECT query_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in names)} FROM ({SQL[query]})) UNPIVOT (value FOR metric IN ({', '.join(names)}))"
     for (layer, names), query in zip(_FIGURES.items(), ["budget_stats", "diversity_stats", "sufficiency"])
 )
-SQL["full_pipeline"] = X.pipeline(_BUDGET, _RANKED, _embed, _EVIDENCE.replace("text", "p.text"), _SHARE.replace("text", "p.text"), _DENSITY.replace("text", "p.text"), _TEMPORAL)
+_PARTS = (_RANKED, _embed, _EVIDENCE.replace("text", "p.text"), _SHARE.replace("text", "p.text"), _DENSITY.replace("text", "p.text"), _TEMPORAL)
+SQL |= {"retrieval_layer": X.retrieval_layer(*_PARTS[:2]), "scoring_layer": X.scoring_layer(*_PARTS), "full_pipeline": X.pipeline(_BUDGET, *_PARTS)}
+SQL["token_counts"] = f"SELECT sentence_id, CAST({S.token_count('text')} AS INT) AS n_tokens FROM {S.ONE_SENTENCE}"

@@ -135,21 +135,23 @@ SELECT query_id, complete AND n >= required AND bridge AS sufficient, complete A
   CAST(n_terms AS INT) AS n_terms FROM z"""
 
 
-def pipeline(budget: str, bm25: str, embed, evidence: str, share: str, density: str, temporal: str) -> str:
-    """The whole way from questions to evidence. The tables of questions and sentences are shadowed by those of the pipeline;
-    sentence ids carry their question in front, since a sentence may serve several."""
+def retrieved(bm25: str, embed) -> str:
+    """hit: the fused hits of every question, place by place, `most` of them wanted; the table of questions is shadowed by the analysed ones."""
     types = lambda place: S.by_type("query_type", {k: v[place] for k, v in C.DEPTHS.items()})
-    weights = " + ".join(f"{S.by_type('query_type', {k: w[i] for k, w in C.WEIGHTS.items()})}::DOUBLE * s{i}" for i in range(5))
-    close = f"close AS (SELECT query_id AS grp, a AS u, b AS v FROM near WHERE c >= {C.GRAPH_COSINE} AND a IN (SELECT sentence_id FROM kept) AND b IN (SELECT sentence_id FROM kept))"
-    return f"""
-WITH RECURSIVE queries AS (SELECT query_id, query, coalesce(query_type, {S.query_type('query')}) AS query_type, coalesce(entities, {S.entities('query')}) AS entities, coalesce(keywords, {S.keywords('query')}) AS keywords FROM main.queries),
+    return f"""queries AS (SELECT query_id, query, coalesce(query_type, {S.query_type('query')}) AS query_type, coalesce(entities, {S.entities('query')}) AS entities, coalesce(keywords, {S.keywords('query')}) AS keywords FROM main.queries),
 texts AS MATERIALIZED {S.CHUNKS}, meta AS (SELECT chunk_idx, min(doc_id) AS doc_id, min(dataset) AS dataset, min(title) AS title, min(year) AS year FROM retrieved_chunks GROUP BY 1),
 {bm25},
 {embed('hq', 'query_id', 'query', 'queries')}, {embed('hc', 'chunk_idx', 'chunk_text', 'texts')},
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, CAST(id AS VARCHAR)) AS dr FROM (SELECT hq.id AS query_id, hc.id, round(sum(hq.n * hc.n) / (max(hq.norm) * max(hc.norm)), 9) AS cosine FROM hq JOIN hc USING (bucket) GROUP BY 1, 2) WHERE cosine > 0),
 both_ AS (SELECT query_id, id, CASE WHEN rank <= {types(0)} THEN rank END AS sr, CASE WHEN dr <= {types(1)} THEN dr END AS dr, cosine, {types(2)} AS most, query_type, query
   FROM (SELECT coalesce(r.query_id, d.query_id) AS query_id, coalesce(r.id, d.id) AS id, r.rank, d.dr, d.cosine FROM (SELECT * FROM rk WHERE rank <= 30) r FULL OUTER JOIN (SELECT * FROM dense WHERE dr <= 30) d ON d.query_id = r.query_id AND d.id = r.id) JOIN queries USING (query_id)),
-hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / ({C.RRF_K} + sr), 0.0) + coalesce(1.0::DOUBLE / ({C.RRF_K} + dr), 0.0) DESC, sr NULLS LAST, dr NULLS LAST, id) AS place FROM both_ WHERE sr IS NOT NULL OR dr IS NOT NULL),
+hit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(1.0::DOUBLE / ({C.RRF_K} + sr), 0.0) + coalesce(1.0::DOUBLE / ({C.RRF_K} + dr), 0.0) DESC, sr NULLS LAST, dr NULLS LAST, id) AS place FROM both_ WHERE sr IS NOT NULL OR dr IS NOT NULL)"""
+
+
+def scored(bm25: str, embed, evidence: str, share: str, density: str, temporal: str) -> str:
+    """kept: the scored sentences of the hits without near copies; their ids carry their question in front, since a sentence may serve several."""
+    weights = " + ".join(f"{S.by_type('query_type', {k: w[i] for k, w in C.WEIGHTS.items()})}::DOUBLE * s{i}" for i in range(5))
+    return f"""{retrieved(bm25, embed)},
 part AS (SELECT chunk_idx, position - 1 AS position, {S.clean('raw')} AS text FROM (SELECT chunk_idx, unnest(p) AS raw, generate_subscripts(p, 1) AS position FROM (SELECT chunk_idx, {S.parts('chunk_text')} AS p FROM texts))),
 scored AS MATERIALIZED (SELECT query_id, query_id || '|' || concat_ws(':', dataset, doc_id, chunk_idx, position) AS sentence_id, text, doc_id, position, token_count, floor(({weights}) * 10000 + 0.5000001) / 10000 AS final_score FROM (
   SELECT h.query_id, h.query_type, m.dataset, m.doc_id, p.chunk_idx, p.position, p.text, CAST({S.word_count('p.text')} AS INT) AS token_count,
@@ -161,7 +163,23 @@ placed AS MATERIALIZED (SELECT query_id, sentence_id, doc_id, row_number() OVER
 bad AS (SELECT y.query_id, y.sentence_id, list(x.sentence_id) AS others FROM near JOIN placed x ON x.sentence_id IN (near.a, near.b) JOIN placed y ON y.sentence_id IN (near.a, near.b) AND x.k < y.k WHERE near.c >= {C.DUPLICATE_EXACT} OR near.c >= {C.DUPLICATE_SOFT} AND x.doc_id = y.doc_id GROUP BY 1, 2),
 turn AS MATERIALIZED (SELECT p.query_id, p.k, p.sentence_id, coalesce(bad.others, []) AS others FROM placed p LEFT JOIN bad ON bad.sentence_id = p.sentence_id),
 pass_ AS (SELECT DISTINCT query_id, 0::BIGINT AS k, []::VARCHAR[] AS done FROM turn UNION ALL SELECT p.query_id, t.k, CASE WHEN list_has_any(p.done, t.others) THEN p.done ELSE list_append(p.done, t.sentence_id) END FROM pass_ p JOIN turn t ON t.query_id = p.query_id AND t.k = p.k + 1),
-kept AS MATERIALIZED (SELECT s.* FROM scored s JOIN (SELECT unnest(done) AS sentence_id FROM (SELECT query_id, arg_max(done, k) AS done FROM pass_ GROUP BY 1)) USING (sentence_id)),
+kept AS MATERIALIZED (SELECT s.* FROM scored s JOIN (SELECT unnest(done) AS sentence_id FROM (SELECT query_id, arg_max(done, k) AS done FROM pass_ GROUP BY 1)) USING (sentence_id))"""
+
+
+def retrieval_layer(bm25: str, embed) -> str:
+    return f"""WITH {retrieved(bm25, embed)}
+SELECT query_id, id AS chunk_idx, CAST(place AS INT) AS rrf_rank, round(coalesce(1.0::DOUBLE / ({C.RRF_K} + sr), 0.0) + coalesce(1.0::DOUBLE / ({C.RRF_K} + dr), 0.0), 9) AS rrf_score, sr IS NOT NULL AS sparse, dr IS NOT NULL AS dense FROM hit WHERE place <= most"""
+
+
+def scoring_layer(*parts) -> str:
+    return f"WITH RECURSIVE {scored(*parts)} SELECT query_id, substr(sentence_id, length(query_id) + 2) AS sentence_id, token_count, final_score AS score FROM kept"
+
+
+def pipeline(budget: str, *parts) -> str:
+    """The whole way from questions to evidence; the table of sentences is shadowed by those of the pipeline."""
+    close = f"close AS (SELECT query_id AS grp, a AS u, b AS v FROM near WHERE c >= {C.GRAPH_COSINE} AND a IN (SELECT sentence_id FROM kept) AND b IN (SELECT sentence_id FROM kept))"
+    return f"""
+WITH RECURSIVE {scored(*parts)},
 {bridges(close, 'kept')},
 sentences AS MATERIALIZED (SELECT *, sentence_id IN (SELECT unnest(path) FROM walk WHERE path IS NOT NULL) AS force_include FROM kept),
 {expanded(budget)}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import config as C
+from ..functions.text import TOKEN
 from ..operators.analyze import FUNCTION_WORDS
 
 
@@ -78,6 +79,10 @@ def word_count(text: str) -> str:
     return f"len({WORDS.format(text)})"
 
 
+def token_count(text: str) -> str:
+    return f"len(regexp_extract_all(coalesce({text}, ''), '{TOKEN}'))"
+
+
 def clean(text: str) -> str:
     return rf"trim(regexp_replace({text}, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ')"
 
