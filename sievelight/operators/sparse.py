@@ -32,11 +32,8 @@ class Index:
         tokens = materialize(tokens.withColumn("dl", F.size("tokens")), "tokens")  # the corpus is tokenised once
         # documents without tokens count in the number of documents and in the mean length
         lengths = tokens.select("id", "dl")
-        # a document's own words are counted inside its row: no shuffle before the terms are
-        counted = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("tokens", lambda x: x == t)).alias("tf")))
-        postings = tokens.select("id", "dl", F.inline(F.when(F.size("tokens") <= 256, counted)))
-        long = tokens.filter(F.size("tokens") > 256).select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        postings = postings.unionByName(long).select("term", "id", "tf", "dl")
+        # counted in part before the shuffle: a document's tokens lie together
+        postings = tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf")).select("term", "id", "tf", "dl")
         figures = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         raw = df.crossJoin(F.broadcast(figures)).select("term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
