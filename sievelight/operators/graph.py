@@ -45,12 +45,12 @@ def bridges(incident: DataFrame, sources: DataFrame, pairs: DataFrame | None = N
     """(grp, src, path): from every source the shortest path to the nearest other source, the smallest of those alike.
 
     incident (grp, node, concept), sources (grp, node), pairs (grp, a, b) further neighbours. A source without another
-    source in reach has no path. Every pair is taken as a concept of its own.
+    source in reach has no path. Every pair is taken as a concept of its own. incident and pairs hold no row twice and are
+    read several times, so they should be stored.
     """
     links = incident
     if pairs is not None:
         links = links.unionByName(pairs.select("grp", F.explode(F.array("a", "b")).alias("node"), F.concat_ws("|", F.lit("pair"), F.col("a").cast("string"), F.col("b").cast("string")).alias("concept")))
-    links = materialize(links.distinct(), "links")
     sources = materialize(sources.distinct(), "sources")
     # one hop: the smallest other source of a concept is its first or second source
     per = links.join(sources, ["grp", "node"], "left_semi")

@@ -260,7 +260,7 @@ def bridge_paths(spark: SparkSession, sf: str) -> DataFrame:
     s = sentence_nodes(spark, sf)
     links = materialize(graph.incidences(s), "incidences")
     sources = links.join(query_concepts(table(spark, sf, "queries")), ["grp", "concept"], "left_semi").select("grp", "node").distinct()
-    return graph.bridges(links, sources, near_pairs(s))
+    return graph.bridges(links, sources, materialize(near_pairs(s), "near_pairs"))
 
 
 def bridge_nodes(spark, sf):
@@ -359,7 +359,7 @@ def evidence_of(rows: DataFrame, q: DataFrame) -> DataFrame:
     ends = pairs.filter(F.col("cosine") >= C.GRAPH_COSINE).select("grp", F.col("id").alias("a"), F.col("other").alias("b"))
     for key in ("a", "b"):
         ends = ends.join(rows.select(F.col("query_id").alias("grp"), F.col("sentence_id").alias(key)), ["grp", key], "left_semi")
-    on_path = graph.bridge_nodes(graph.bridges(links, sources, ends)).select(F.col("grp").alias("query_id"), F.col("node").alias("sentence_id"), F.lit(True).alias("is_bridge"))
+    on_path = graph.bridge_nodes(graph.bridges(links, sources, materialize(ends, "ends"))).select(F.col("grp").alias("query_id"), F.col("node").alias("sentence_id"), F.lit(True).alias("is_bridge"))
     rows = rows.join(on_path, ["query_id", "sentence_id"], "left").withColumn("is_bridge", F.coalesce("is_bridge", F.lit(False))).withColumn("n_chars", F.length("text"))
 
     m = materialize(select.with_masks(select.fit_budget(materialize(rows, "bridged"), q), q), "masked")
