@@ -100,3 +100,32 @@ def test_cells_are_parted_by_a_second_codebook():
     centre = np.array([model.books[0][c // len(model.parts)] + model.parts[c % len(model.parts)] for c in range(64)])
     exact = ((x[:, None] - centre) ** 2).sum(2).argmin(1)
     assert (exact == cells[:, 0]).mean() > 0.9
+
+
+def test_many_cells_part_no_near_copies(spark):
+    """As many cells as a large table has, in which near copies fall into neighbouring ones."""
+    rng, dim = np.random.default_rng(6), 96
+    x = rng.normal(size=(2400, dim))
+    for i in range(0, 2400, 2):
+        x[i] = x[i + 1] + rng.normal(size=dim) * rng.uniform(0.3, 0.6)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.triu(x @ x.T, 1)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.8))}
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    found = {(min(r.id, r.other), max(r.id, r.other)) for r in knn.nearest(df, "id", "v", dim, 5, 0.8, cells=400).collect()}
+    assert found <= want and len(want) > 1000 and len(found) >= 0.995 * len(want)
+
+
+def test_more_near_vectors_than_places(spark):
+    """The most similar ones come out however many vectors of a tile come near, equal vectors among them."""
+    rng, dim = np.random.default_rng(9), 48
+    x = np.concatenate([rng.normal(size=dim) + rng.normal(size=(700, dim)) * 0.35, rng.normal(size=(300, dim))])
+    x[600:640] = x[600]
+    rows = [(f"s{i:04d}", [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {}
+    for r in knn.nearest(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", dim, 5, 0.8).collect():
+        got.setdefault(r.id, []).append((r.place, r.other))
+    want = truth(rows, 5, 0.8)
+    assert sum(len(v) for v in want.values()) > 3000
+    missed = sum(len({b for b, _ in v} - {b for _, b in got.get(a, [])}) for a, v in want.items())
+    assert missed <= 0.001 * sum(len(v) for v in want.values())
