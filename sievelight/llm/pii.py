@@ -2,13 +2,14 @@
 
 Fitting: of at most `FIT_DOCS` documents (those with the smallest hashes of their ids, so that neither the order of rows nor
 their files matter) spans are labelled by their context (pii_labels), and `INVENTED` invented texts with known spans are
-added (pii_grammar); windows with labels and as many without teach the tagger and a screen of character 5-grams. The
-fitted model is stored in the shared folder under a key of all that it was fitted on, so that it is fitted once. Tagging:
-the screen passes every stretch that resembles a span (its threshold keeps 99.9 % of the labelled ones); these stretches
-with their surroundings are cut into overlapping windows, decoded by Viterbi, and put together again, each character
-taking the tag of the window in which it lies farthest from an edge. Exact checks follow: a span is trimmed to the value
-itself and dropped where it cannot be one (a phone number of five digits, a date, a number of houses, a bridge named
-after somebody).
+added (pii_grammar); windows with labels and as many without teach the tagger and a screen of character 5-grams, which tells
+what resembles a span. The fitted model is stored in the shared folder under a key of all that it was fitted on, so
+that it is fitted once. Tagging: every text is cut into overlapping windows from its first to its last character; all are
+read by the tagger, decoded by Viterbi where a path scores more than that of no span, and put together again, each
+character taking the tag of the window in which it lies farthest from an edge. What lies
+far from all that the screen passes needs a higher gain, chosen on labelled texts. Exact checks follow: a span is trimmed to
+the value itself and dropped where it cannot be one (a phone number of five digits, a date, a number of houses, a bridge
+named after somebody).
 
 Name lists of up to `SENT_NAMES` names go to every worker; of longer ones each text gets the names that occur in it, by a
 join on the words of the texts. Both give the same rows.
@@ -38,7 +39,7 @@ from .pii_labels import _STOP as STOP
 from .pii_labels import _UP, DATE, EMAIL, ID, KINDS, PAGES, PHONE, STREET, Names, weak_spans
 from .tagger import DECODED, SHARED, STEPS, WINDOW, Screen, Tagger, folded
 
-#: Documents that may be labelled for fitting; windows that may be fitted; characters of context around a screened stretch.
+#: Documents that may be labelled for fitting; windows that may be fitted; characters around a screened one that count as near it.
 FIT_DOCS, FIT_WINDOWS, CONTEXT = 6000, 5000, 28
 #: Invented texts that are added; names that are sent to every worker (about 10 MB).
 INVENTED, SENT_NAMES = 300, 200_000
@@ -59,11 +60,11 @@ _ADDRESS_START = re.compile(r"(?:(?:Am|An der|Calle|Plaza|Paseo|Avenida|C/|Avda\
 
 
 class Model:
-    """least has of each kind the mean gain over no span, tag by tag, from which a span is taken."""
+    """least has of each kind the mean gain over no span, tag by tag, from which a span is taken; far that of spans nowhere near what the screen passes."""
 
     def __init__(self, tagger: Tagger, screen: Screen, names: Names):
         self.tagger, self.screen, self.names = tagger, screen, names
-        self.least = dict.fromkeys(KINDS, -np.inf)
+        self.least, self.far = dict.fromkeys(KINDS, -np.inf), dict.fromkeys(KINDS, -np.inf)
 
 
 _FLAGGED = re.compile(r"\d+|[A-Z][^\W\d_]{3,}")
@@ -134,46 +135,43 @@ def fit(rows: list[tuple[str]], names: Names, steps: int = STEPS, seed: int = 11
     tagger.loss = tagger.fit(sym, flag, gold, valid, HIDE, steps)
     model = Model(tagger, screen, names)
     judged = [*range(min(len(rows), JUDGED)), *range(len(rows), len(texts))]
-    model.least = _least(model, [texts[i] for i in judged], [golds[i] for i in judged])
+    model.least, model.far = _least(model, [texts[i] for i in judged], [golds[i] for i in judged])
     return model
 
 
-def _least(model: Model, texts: list[str], golds: list[np.ndarray]) -> dict[str, float]:
-    """Of each kind the gain from which spans are taken: the one with the best balance of right, wrong and lost spans on labelled texts."""
-    seen: list[tuple[int, int, str, float]] = []
+def _least(model: Model, texts: list[str], golds: list[np.ndarray]) -> tuple[dict[str, float], dict[str, float]]:
+    """Of each kind the gains from which spans are taken, near and far: those with the best balance of right, wrong and lost spans on labelled texts."""
+    seen: list[tuple[int, int, str, float, bool]] = []
     for a in range(0, len(texts), 500):
-        some: list[tuple[int, int, str, float]] = []
+        some: list[tuple[int, int, str, float, bool]] = []
         tag(texts[a : a + 500], model, None, some)
         seen += [(t + a, *rest) for t, *rest in some]
-    out = dict(model.least)
+    out, far = dict(model.least), dict(model.far)
     for number, kind in enumerate(KINDS):
         inside = (1 + 2 * number, 2 + 2 * number)
         total = sum(int((golds[t] == inside[0]).sum()) for t in range(len(texts)))
-        own = sorted(((gain, bool(np.isin(golds[t][start : start + 4], inside).any())) for t, start, k, gain in seen if k == kind), reverse=True)
-        if not own or not total:
-            continue
-        right = np.cumsum([good for _, good in own])
-        balance = 2 * right / (np.arange(1, len(own) + 1) + total)
-        out[kind] = own[int(np.flatnonzero(balance >= balance.max() - 0.002)[-1])][0]  # the lowest that costs nothing to speak of
-    return out
-
-
-def _stretches(mask: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Screened stretches with their context, inside one text each."""
-    at = np.flatnonzero(mask)
-    if not len(at):
-        return []
-    text = np.searchsorted(offsets, at, side="right") - 1
-    new = np.append(True, (np.diff(at) > 2 * CONTEXT) | (np.diff(text) > 0))
-    begin, end = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
-    t = text[new]
-    return list(zip(np.maximum(begin - CONTEXT, offsets[t]).tolist(), np.minimum(end + CONTEXT + 1, offsets[t + 1]).tolist()))
+        judged = lambda near: sorted(((gain, bool(np.isin(golds[t][start : start + 4], inside).any())) for t, start, k, gain, n in seen if k == kind and n == near), reverse=True)
+        own, others = judged(True), judged(False)
+        taken = good = 0
+        if own and total:
+            right = np.cumsum([good for _, good in own])
+            balance = 2 * right / (np.arange(1, len(own) + 1) + total)
+            last = int(np.flatnonzero(balance >= balance.max() - 0.002)[-1])
+            out[kind], taken, good = own[last][0], last + 1, int(right[last])  # the lowest that costs nothing to speak of
+        far[kind] = out[kind]
+        if others:
+            right = good + np.cumsum([good for _, good in others])
+            balance = 2 * right / (taken + np.arange(1, len(others) + 1) + max(total, 1))
+            best = int(balance.argmax())
+            # where taking any of them does harm, only what exceeds all of them
+            far[kind] = max(out[kind], others[best][0] if balance[best] > 2 * good / max(1, taken + total) else others[0][0] + 1e-6)
+    return out, far
 
 
 def tag(texts: list[str], model: Model, known: set[str] | None = None, seen: list | None = None) -> list[list[tuple[int, int, str]]]:
     """The spans of each text; known are the folded names that may occur in the texts (without it those of the model).
 
-    seen takes (text, start, kind, gain) of every span of the path, before it is checked.
+    seen takes (text, start, kind, gain, near) of every span of the path, before it is checked.
     """
     known = model.names.all if known is None else known
     cp, offsets = flat.joined(texts)
@@ -181,37 +179,35 @@ def tag(texts: list[str], model: Model, known: set[str] | None = None, seen: lis
     if not len(cp):
         return out
     sym = folded()[cp]
-    stretches = _stretches(model.screen.passes(sym), offsets)
-    whole = "".join(texts)
-    begins = [(k, a + w, min(b, a + w + DECODED)) for k, (a, b) in enumerate(stretches) for w in _windows(b - a, DECODED)]
-    begins.sort(key=lambda x: x[2] - x[1])  # windows of like length share a batch; shorter ones are filled up with the symbol 0
-    tags = [np.zeros(b - a, np.int8) for a, b in stretches]
-    gains = [np.zeros(b - a, np.float32) for a, b in stretches]
-    depth = [np.full(b - a, -1, np.int16) for a, b in stretches]
-    for some in range(0, len(begins), 512):
-        part = begins[some : some + 512]
-        width = part[-1][2] - part[-1][1]
-        s, f = np.zeros((len(part), width), np.uint8), np.zeros((len(part), width), np.uint8)
-        for r, (_, w, e) in enumerate(part):
-            s[r, : e - w], f[r, : e - w] = sym[w:e], flags(whole[w:e], known)
-        path, gain = (x.T for x in model.tagger.decode(s.T, f.T))
-        for r, (k, w, e) in enumerate(part):
-            a, b = stretches[k]
-            place = np.arange(e - w)
-            edge = np.minimum(place if w > a else place + DECODED, (e - w - 1 - place) if e < b else DECODED + place).astype(np.int16)
-            own = slice(w - a, e - a)
-            better = edge > depth[k][own]
-            tags[k][own][better] = path[r, : e - w][better]
-            gains[k][own][better] = gain[r, : e - w][better]
-            depth[k][own][better] = edge[better]
-    for (a, _), path, gain in zip(stretches, tags, gains):
-        t = int(np.searchsorted(offsets, a, side="right")) - 1
-        base = a - int(offsets[t])
+    flag = np.concatenate([flags(t, known) for t in texts])
+    windows = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        if a < b:
+            starts = [a + w for w in _windows(b - a, DECODED)]
+            # a character that two windows share is of that in which it lies farther from the edge
+            edges = [a, *[(s + e + DECODED) // 2 for e, s in zip(starts, starts[1:])], b]
+            windows += [(s, min(b, s + DECODED), edges[k], edges[k + 1]) for k, s in enumerate(starts)]
+    windows = np.array(windows, np.int64)
+    windows = windows[np.argsort(windows[:, 1] - windows[:, 0], kind="stable")]  # windows of like length share a batch; shorter ones are filled up with the symbol 0
+    tags, gains = np.zeros(len(cp), np.int8), np.zeros(len(cp), np.float32)
+    for some in range(0, len(windows), 512):
+        start, end, low, high = windows[some : some + 512].T
+        at = start[:, None] + np.arange((end - start).max())
+        inside = at < end[:, None]
+        at = np.minimum(at, len(cp) - 1)
+        path, gain = (x.T for x in model.tagger.decode(np.where(inside, sym[at], 0).T, np.where(inside, flag[at], 0).T))
+        for r in np.flatnonzero(path.any(1)):
+            own, part = slice(low[r], high[r]), slice(low[r] - start[r], high[r] - start[r])
+            tags[own], gains[own] = path[r, part], gain[r, part]
+    for t in np.unique(np.searchsorted(offsets, np.flatnonzero(tags), side="right") - 1).tolist():
+        own = slice(int(offsets[t]), int(offsets[t + 1]))
+        path, gain, passed = tags[own], gains[own], model.screen.passes(sym[own])
         for start, end, kind in _spans(path):
             sure = float(gain[start:end].mean())
+            near = bool(passed[max(0, start - CONTEXT) : end + CONTEXT].any())
             if seen is not None:
-                seen.append((t, base + start, kind, sure))
-            if sure >= model.least[kind] and (fixed := check(texts[t], base + start, base + end, kind)) and (not out[t] or fixed[0] >= out[t][-1][1]):
+                seen.append((t, start, kind, sure, near))
+            if sure >= (model.least if near else model.far)[kind] and (fixed := check(texts[t], start, end, kind)) and (not out[t] or fixed[0] >= out[t][-1][1]):
                 if out[t] and _one_person(texts[t], out[t][-1], fixed):
                     fixed = (out[t].pop()[0], *fixed[1:])
                 out[t].append(fixed)
@@ -362,7 +358,7 @@ def _code() -> str:
 
     from . import pii_grammar, pii_labels, tagger
 
-    return hashlib.sha256("".join(inspect.getsource(m) for m in (pii_grammar, pii_labels, tagger, fit, _least)).encode()).hexdigest()
+    return hashlib.sha256("".join(inspect.getsource(m) for m in (pii_grammar, pii_labels, tagger, fit, _least, tag)).encode()).hexdigest()
 
 
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,14 +118,54 @@ class Tagger:
             out[t] = hid
         return out, store
 
+    def _states(self, sym: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        """Hidden states as _run gives them, with one table for symbol and flag and all gates by one tanh."""
+        t_all, n = sym.shape
+        h, p = CELLS, self.p
+        half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * h, h])  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+        table = ((p["x"] + p["c"][:, None])[:, :, None] + p["g"][:, None]).reshape(2, -1, 4 * h) * half
+        weights, at = p["h"] * half, sym.astype(np.intp) * self.flags + flag
+        hid, cell, new = (np.zeros((2, n, h), np.float32) for _ in range(3))
+        out, z = np.empty((t_all, 2, n, h), np.float32), np.empty((2, n, 4 * h), np.float32)
+        for t in range(t_all):
+            np.matmul(hid, weights, out=z)
+            z[0] += table[0].take(at[t], axis=0)
+            z[1] += table[1].take(at[t_all - 1 - t], axis=0)
+            np.tanh(z, out=z)
+            gates = z[:, :, : 3 * h]
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            cell *= gates[:, :, h : 2 * h]
+            np.multiply(gates[:, :, :h], z[:, :, 3 * h :], out=new)
+            cell += new
+            np.tanh(cell, out=new)
+            hid = np.multiply(gates[:, :, 2 * h :], new, out=out[t])
+        return out
+
     def scores(self, sym: np.ndarray, flag: np.ndarray) -> np.ndarray:
-        out, _ = self._run(sym, flag, False)
+        out = self._states(sym, flag)
         h = CELLS
         return out[:, 0] @ self.p["out"][:h] + out[::-1, 1] @ self.p["out"][h:] + self.p["bias"]
 
     def decode(self, sym: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tag path of each window (Viterbi), and by how much the scores of its tags exceed that of no span."""
         e = self.scores(sym, flag)
+        path, gain = np.zeros(e.shape[:2], np.int8), np.zeros(e.shape[:2], np.float32)
+        if len(on := np.flatnonzero(self._may_hold(e))):
+            path[:, on], gain[:, on] = self._viterbi(e[:, on])
+        return path, gain
+
+    def _may_hold(self, e: np.ndarray) -> np.ndarray:
+        """Which windows have a path that scores more than that of no span, by the scores of Viterbi without the way back."""
+        move = self.p["move"] + self.banned
+        move = (move - move[0, 0])[:, :, None]
+        more = np.ascontiguousarray((e - e[:, :, :1]).transpose(0, 2, 1))  # over no span
+        best = more[0]
+        for row in more[1:]:
+            best = (best[:, None] + move).max(0) + row
+        return best.max(0) > 0
+
+    def _viterbi(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         move = self.p["move"] + self.banned
         t_all, n, k = e.shape
         back = np.empty((t_all, n, k), np.int8)

@@ -1,3 +1,4 @@
+import copy
 import random
 
 import numpy as np
@@ -170,3 +171,26 @@ def test_sentences_of_other_forms(model):
         got = {(k, text[a:b]) for a, b, k in pii.tag([text], model)[0] if k != "name"}
         right, wrong, missed = right + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
     assert right >= 5 and right + missed == 13 and wrong <= 3
+
+
+def test_every_position_is_read(model):
+    """What the screen does not pass is tagged all the same, from a gain of its own."""
+    rng = random.Random(7)
+    texts = [document(rng) for _ in range(40)] + [" ".join(document(rng) for _ in range(6))]
+    blind = copy.copy(model)
+    blind.screen = copy.copy(model.screen)
+    blind.screen.least, blind.far = np.inf, model.least
+    want = pii.tag(texts, model)
+    assert pii.tag(texts, blind) == want and sum(map(len, want)) > 100
+    blind.far = dict.fromkeys(KINDS, np.inf)
+    assert not any(pii.tag(texts, blind))
+
+
+def test_windows_without_a_span_are_told_exactly(model):
+    texts = [document(random.Random(k))[:144].ljust(144) for k in range(60)] + ["The old mill was sold in 1745 for 300 crowns. A map shows a kiln and farms.".ljust(144)] * 4
+    sym = np.stack([folded()[np.frombuffer(t.encode("utf-32-le"), np.uint32)] for t in texts]).T
+    flag = np.stack([pii.flags(t, NAMES.all) for t in texts]).T
+    path, gain = model.tagger.decode(sym, flag)
+    whole, gains = model.tagger._viterbi(model.tagger.scores(sym, flag))
+    assert (path == whole).all() and (gain == gains).all() and (path.any(0) == model.tagger._may_hold(model.tagger.scores(sym, flag))).all() and not path.any(0).all()
+    assert np.abs(model.tagger._run(sym, flag, False)[0] - model.tagger._states(sym, flag)).max() < 1e-5
