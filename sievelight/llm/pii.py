@@ -5,7 +5,7 @@ their files matter) spans are labelled by their context (pii_labels), and `INVEN
 added (pii_grammar); windows with labels and as many without teach the tagger and a screen of character 5-grams, which tells
 what resembles a span. The fitted model is stored in the shared folder under a key of all that it was fitted on, so
 that it is fitted once. Tagging: every text is cut into overlapping windows from its first to its last character; all are
-read by the tagger, decoded by Viterbi where a path scores more than that of no span, and put together again, each
+read by the tagger, decoded by Viterbi where a path may score more than that of no span, and put together again, each
 character taking the tag of the window in which it lies farthest from an edge. What lies
 far from all that the screen passes needs a higher gain, chosen on labelled texts. Exact checks follow: a span is trimmed to
 the value itself and dropped where it cannot be one (a phone number of five digits, a date, a number of houses, a bridge
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import pickle
 import re
 from collections.abc import Iterator
@@ -67,18 +68,24 @@ class Model:
         self.least, self.far = dict.fromkeys(KINDS, -np.inf), dict.fromkeys(KINDS, -np.inf)
 
 
-_FLAGGED = re.compile(r"\d+|[A-Z][^\W\d_]{3,}")
+_DIGITS, _WORD = re.compile(r"\d+"), re.compile(r"[A-Z][^\W\d_]{3,}")
 
 
 def flags(text: str, known: set[str] | frozenset[str]) -> np.ndarray:
     """Of every character twice the length of its run of digits (at most 11), and 1 more in a known name."""
-    out = np.zeros(len(text), np.uint8)
-    for m in _FLAGGED.finditer(text):
-        if m.group()[0].isdigit():
-            out[m.start() : m.end()] = 2 * min(11, m.end() - m.start())
-        elif m.group().lower() in known:
-            out[m.start() : m.end()] = 1
-    return out
+    out = bytearray(len(text))
+    for m in _DIGITS.finditer(text):
+        a, b = m.span()
+        out[a:b] = _RUNS[min(11, b - a)] * (b - a)
+    if not known.isdisjoint(map(str.lower, _WORD.findall(text))):
+        for m in _WORD.finditer(text):
+            if m.group().lower() in known:
+                a, b = m.span()
+                out[a:b] = b"\1" * (b - a)
+    return np.frombuffer(out, np.uint8)
+
+
+_RUNS = [bytes([2 * k]) for k in range(12)]
 
 
 FLAGS = 24
@@ -116,7 +123,10 @@ def fit(rows: list[tuple[str]], names: Names, steps: int = STEPS, seed: int = 11
             (with_span if ((marks >= a) & (marks < a + WINDOW)).any() else without).append((i, a))
         for m in marks[rng.random(len(marks)) < 0.5]:  # the same spans at other places of a window
             with_span.append((i, int(max(0, min(m - rng.integers(4, WINDOW - 12), len(gold) - WINDOW)))))
-    hard = [w for w in without if screen.passes(syms[w[0]])[w[1] : w[1] + WINDOW].any()]
+    hard = []
+    for i, some in itertools.groupby(without, lambda w: w[0]):
+        passed = screen.passes(syms[i])
+        hard += [w for w in some if passed[w[1] : w[1] + WINDOW].any()]
     pick = lambda of, n: [of[k] for k in rng.permutation(len(of))[:n]]
     chosen = pick(with_span, FIT_WINDOWS * 3 // 4)
     chosen += pick(hard, len(chosen) // 5) + pick(without, len(chosen) // 8)
@@ -190,15 +200,31 @@ def tag(texts: list[str], model: Model, known: set[str] | None = None, seen: lis
     windows = np.array(windows, np.int64)
     windows = windows[np.argsort(windows[:, 1] - windows[:, 0], kind="stable")]  # windows of like length share a batch; shorter ones are filled up with the symbol 0
     tags, gains = np.zeros(len(cp), np.int8), np.zeros(len(cp), np.float32)
+    tables = model.tagger.tables()
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # windows that may have a span and their scores, until they are many enough
+
+    def put() -> None:
+        path, gain = (x.T for x in model.tagger._viterbi(np.concatenate([e for _, e in held], axis=1)))
+        where = np.concatenate([on for on, _ in held])
+        for r in np.flatnonzero(path.any(1)):
+            start, _, low, high = windows[where[r]]
+            own, part = slice(low, high), slice(low - start, high - start)
+            tags[own], gains[own] = path[r, part], gain[r, part]
+        held.clear()
+
     for some in range(0, len(windows), 512):
-        start, end, low, high = windows[some : some + 512].T
+        start, end, _, _ = windows[some : some + 512].T
         at = start[:, None] + np.arange((end - start).max())
         inside = at < end[:, None]
         at = np.minimum(at, len(cp) - 1)
-        path, gain = (x.T for x in model.tagger.decode(np.where(inside, sym[at], 0).T, np.where(inside, flag[at], 0).T))
-        for r in np.flatnonzero(path.any(1)):
-            own, part = slice(low[r], high[r]), slice(low[r] - start[r], high[r] - start[r])
-            tags[own], gains[own] = path[r, part], gain[r, part]
+        e = model.tagger.scores(np.where(inside, sym[at], 0).T, np.where(inside, flag[at], 0).T, tables)
+        on = np.flatnonzero(model.tagger.suspects(e))
+        if held and (len(held[0][1]) != len(e) or sum(len(x) for x, _ in held) + len(on) > 512):
+            put()
+        if len(on):
+            held.append((some + on, e[:, on]))
+    if held:
+        put()
     for t in np.unique(np.searchsorted(offsets, np.flatnonzero(tags), side="right") - 1).tolist():
         own = slice(int(offsets[t]), int(offsets[t + 1]))
         path, gain, passed = tags[own], gains[own], model.screen.passes(sym[own])
@@ -365,7 +391,7 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows, words = [], []
         for r, text in enumerate(batch.column(1).to_pylist()):
-            own = {m.group().lower() for m in _FLAGGED.finditer(text or "") if not m.group()[0].isdigit()}
+            own = set(map(str.lower, _WORD.findall(text or "")))
             rows += [r] * len(own)
             words += own
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string())], ["id", "name"])

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
+from . import flat
+
 #: Cells per direction, characters of a window in fitting and in decoding, and how many two windows share; windows of a fitting step, number of steps (the same for any input), rate.
 CELLS, WINDOW, DECODED, SHARED, STEP, STEPS, RATE = 32, 72, 144, 28, 48, 1000, 0.012
 SCREEN_BITS, SCREEN_GRAM, SCREEN_SPAN = 20, 5, 12
+#: Characters whose grams are counted at once.
+COUNTED = 2_000_000
 NEVER = -1e4
 
 
@@ -74,6 +79,14 @@ def _summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _zeros(*shape: int) -> np.ndarray:
+    """Zeros that begin at a cache line, which vector instructions read and write faster."""
+    size = 4 * int(np.prod(shape))
+    room = np.zeros(size + 64, np.uint8)
+    begin = -room.ctypes.data % 64
+    return room[begin : begin + size].view(np.float32).reshape(shape)
+
+
 class Tagger:
     """Tags are 0 for outside, then begin and inside of each kind."""
 
@@ -118,34 +131,61 @@ class Tagger:
             out[t] = hid
         return out, store
 
-    def _states(self, sym: np.ndarray, flag: np.ndarray) -> np.ndarray:
-        """Hidden states as _run gives them, with one table for symbol and flag and all gates by one tanh."""
-        t_all, n = sym.shape
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """What symbol and flag give to the gates, in one table, and the weights of the state, both gate by gate; halves go with _steps."""
         h, p = CELLS, self.p
-        half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * h, h])  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
-        table = ((p["x"] + p["c"][:, None])[:, :, None] + p["g"][:, None]).reshape(2, -1, 4 * h) * half
-        weights, at = p["h"] * half, sym.astype(np.intp) * self.flags + flag
-        hid, cell, new = (np.zeros((2, n, h), np.float32) for _ in range(3))
-        out, z = np.empty((t_all, 2, n, h), np.float32), np.empty((2, n, 4 * h), np.float32)
+        half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * h, h])  # sigmoid(x) = (tanh(x / 2) + 1) / 2
+        given = ((p["x"] + p["c"][:, None])[:, :, None] + p["g"][:, None]).reshape(2, -1, 4, h) * half.reshape(4, h)
+        table, weights = _zeros(4, *given.shape[:2], h), _zeros(4, 2, h, h)
+        table[:] = given.transpose(2, 0, 1, 3)
+        weights[:] = (p["h"] * half * np.float32(0.5)).reshape(2, h, 4, h).transpose(2, 0, 1, 3)
+        return table.reshape(-1, h), weights
+
+    def _steps(self, sym: np.ndarray, flag: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[np.ndarray]:
+        """Of each step twice the hidden states that _run gives; the next step writes over them.
+
+        All gates go through one tanh, gate by gate in its own block, so that every pass runs over adjacent numbers. Halves
+        and doubles are exact in binary, they only move between the factors.
+        """
+        t_all, n = sym.shape
+        h = CELLS
+        table, weights = tables or self.tables()
+        size = len(table) // 8
+        at = sym.astype(np.intp) * self.flags + flag
+        block, rows = np.arange(8).reshape(4, 2, 1) * size, np.empty((4, 2, n), np.intp)
+        z, given, hid, cell = _zeros(4, 2, n, h), _zeros(4, 2, n, h), _zeros(2, n, h), _zeros(2, n, h)
+        into, keep, out, new = z
+        one, halved = np.float32(1), np.float32(0.5)
         for t in range(t_all):
+            np.add(at[t], block[:, 0], out=rows[:, 0])
+            np.add(at[t_all - 1 - t], block[:, 1], out=rows[:, 1])
+            table.take(rows, 0, given, "clip")
             np.matmul(hid, weights, out=z)
-            z[0] += table[0].take(at[t], axis=0)
-            z[1] += table[1].take(at[t_all - 1 - t], axis=0)
+            z += given
             np.tanh(z, out=z)
-            gates = z[:, :, : 3 * h]
-            gates *= np.float32(0.5)
-            gates += np.float32(0.5)
-            cell *= gates[:, :, h : 2 * h]
-            np.multiply(gates[:, :, :h], z[:, :, 3 * h :], out=new)
-            cell += new
+            z[:3] += one
+            cell *= keep
+            into *= new
+            cell += into
+            cell *= halved
             np.tanh(cell, out=new)
-            hid = np.multiply(gates[:, :, 2 * h :], new, out=out[t])
-        return out
+            np.multiply(out, new, out=hid)
+            yield hid
 
-    def scores(self, sym: np.ndarray, flag: np.ndarray) -> np.ndarray:
-        out = self._states(sym, flag)
-        h = CELLS
-        return out[:, 0] @ self.p["out"][:h] + out[::-1, 1] @ self.p["out"][h:] + self.p["bias"]
+    def _states(self, sym: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        """Hidden states as _run gives them."""
+        return np.stack([hid * np.float32(0.5) for hid in self._steps(sym, flag)])
+
+    def scores(self, sym: np.ndarray, flag: np.ndarray, tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Scores of the tags, time by window by tag; in memory the windows of a tag are adjacent. tables are those of the tagger, made once for many calls."""
+        t_all, n = sym.shape
+        out, each = _zeros(2, self.tags, CELLS), _zeros(t_all, 2, self.tags, n)
+        out[:] = (self.p["out"] * np.float32(0.5)).reshape(2, CELLS, self.tags).transpose(0, 2, 1)
+        for t, hid in enumerate(self._steps(sym, flag, tables)):
+            np.matmul(out, hid.transpose(0, 2, 1), out=each[t])
+        e = each[:, 0] + each[::-1, 1]
+        e += self.p["bias"][:, None]
+        return e.transpose(0, 2, 1)
 
     def decode(self, sym: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tag path of each window (Viterbi), and by how much the scores of its tags exceed that of no span."""
@@ -155,30 +195,52 @@ class Tagger:
             path[:, on], gain[:, on] = self._viterbi(e[:, on])
         return path, gain
 
+    def suspects(self, e: np.ndarray) -> np.ndarray:
+        """Which windows may have a path that scores more than that of no span: all that have one, and few others.
+
+        Each kind's best span is followed by itself, its way out included; where none scores more than no span, no path of
+        several does. A move from one span to the next counts at least as the way out of the one and the way into the other.
+        """
+        move = self.p["move"] + self.banned
+        move = move - move[0, 0]
+        rows, leave = e.transpose(0, 2, 1), move[1:, :1]
+        enter = (move[:, 1::2] - move[:, :1]).max(0)[:, None] + leave[::2]
+        begin, inside = np.arange(1, self.tags, 2), np.arange(2, self.tags, 2)
+        go, stay = move[begin, inside][:, None] - leave[::2] + leave[1::2], move[inside, inside][:, None]
+        best = top = rows[0, 1:] - rows[0, 0] + leave
+        for row in rows[1:]:
+            more = row[1:] - row[0]  # over no span
+            more[::2] += enter
+            more[1::2] += np.maximum(best[::2] + go, best[1::2] + stay)
+            best, top = more, np.maximum(top, more)
+        return np.maximum(top, best - leave).max(0) > -0.01  # less than that rounding does not add
+
     def _may_hold(self, e: np.ndarray) -> np.ndarray:
         """Which windows have a path that scores more than that of no span, by the scores of Viterbi without the way back."""
-        move = self.p["move"] + self.banned
-        move = (move - move[0, 0])[:, :, None]
-        more = np.ascontiguousarray((e - e[:, :, :1]).transpose(0, 2, 1))  # over no span
-        best = more[0]
-        for row in more[1:]:
-            best = (best[:, None] + move).max(0) + row
-        return best.max(0) > 0
+        out = self.suspects(e)
+        if len(on := np.flatnonzero(out)):
+            move = self.p["move"] + self.banned
+            move = (move - move[0, 0])[:, :, None]
+            more = np.ascontiguousarray((e[:, on] - e[:, on, :1]).transpose(0, 2, 1))  # over no span
+            best = more[0]
+            for row in more[1:]:
+                best = (best[:, None] + move).max(0) + row
+            out[on] = best.max(0) > 0
+        return out
 
     def _viterbi(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        move = self.p["move"] + self.banned
-        t_all, n, k = e.shape
-        back = np.empty((t_all, n, k), np.int8)
-        best = e[0]
+        move = (self.p["move"] + self.banned)[:, :, None]
+        t_all, n, _ = e.shape
+        rows = e.transpose(0, 2, 1)
+        best = np.empty((t_all, self.tags, n), np.float32)
+        best[0] = rows[0]
         for t in range(1, t_all):
-            total = best[:, None] + move.T
-            at = total.argmax(2)
-            back[t] = at
-            best = np.take_along_axis(total, at[:, :, None], 2)[:, :, 0] + e[t]
+            best[t] = (best[t - 1][:, None] + move).max(0) + rows[t]
         path = np.empty((t_all, n), np.int8)
-        path[-1] = best.argmax(1)
-        for t in range(t_all - 1, 0, -1):
-            path[t - 1] = np.take_along_axis(back[t], path[t][:, None].astype(np.int64), 1)[:, 0]
+        path[-1] = best[-1].argmax(0)
+        into = np.ascontiguousarray(move[:, :, 0].T)
+        for t in range(t_all - 1, 0, -1):  # the way back is that of the same sums
+            path[t - 1] = (best[t - 1].T + into[path[t]]).argmax(1)
         return path, np.take_along_axis(e, path[:, :, None].astype(np.int64), 2)[:, :, 0] - e[:, :, 0]
 
     def _gradients(self, sym, flag, gold, valid) -> tuple[float, dict]:
@@ -275,8 +337,8 @@ class Screen:
         size = 1 << SCREEN_BITS
         inside, outside = np.zeros(size, np.float32), np.zeros(size, np.float32)
         codes = [self.grams(s) for s in texts_sym]
-        for code, gold in zip(codes, texts_gold):
-            on = gold > 0
+        for a, b in flat.slices(np.array([len(c) for c in codes], np.int64), COUNTED):
+            code, on = np.concatenate(codes[a:b]), np.concatenate(texts_gold[a:b]) > 0
             inside += np.bincount(code[on], minlength=size)
             outside += np.bincount(code[~on], minlength=size)
         self.odds = np.log((inside + 0.05) / (outside + 0.5)).astype(np.float32)

@@ -194,3 +194,59 @@ def test_windows_without_a_span_are_told_exactly(model):
     whole, gains = model.tagger._viterbi(model.tagger.scores(sym, flag))
     assert (path == whole).all() and (gain == gains).all() and (path.any(0) == model.tagger._may_hold(model.tagger.scores(sym, flag))).all() and not path.any(0).all()
     assert np.abs(model.tagger._run(sym, flag, False)[0] - model.tagger._states(sym, flag)).max() < 1e-5
+
+
+def test_suspects_leave_out_no_window_with_a_span():
+    """The bound that spares windows the search for a path, with moves and scores of any kind."""
+    rng = np.random.default_rng(4)
+    held = spared = 0
+    for _ in range(60):
+        t = Tagger(len(KINDS), 2)
+        t.p["move"] = rng.normal(rng.choice([-3, 0]), rng.choice([0.5, 3]), t.p["move"].shape).astype(np.float32)
+        e = (rng.normal(size=(12, 40, t.tags)) * 2).astype(np.float32)
+        e[:, :, 0] += rng.choice([3, 6, 8])
+        path, suspects = t._viterbi(e)[0].any(0), t.suspects(e)
+        assert suspects[path].all() and (t._may_hold(e) == path).all()
+        held, spared = held + path.sum(), spared + (~suspects).sum()
+    assert held > 100 and spared > 100
+
+
+def test_windows_of_many_batches_are_searched_together(model, monkeypatch):
+    """Also that the paths come back to their own windows: text by text the same is found."""
+    rng = random.Random(12)
+    texts = [" ".join(document(rng) for _ in range(3)).ljust(500)[:500] for _ in range(120)]
+    calls, viterbi = [], Tagger._viterbi
+    monkeypatch.setattr(Tagger, "_viterbi", lambda self, e: calls.append(e.shape[1]) or viterbi(self, e))
+    quiet = ("A map of 1810 shows Bromund, a kiln, and 28 farms. " * 10)[:500]
+    mixed = [x for t in texts for x in (t, *[quiet] * 9)]
+    found = pii.tag(mixed, model)
+    windows = len(mixed) * len(pii._windows(500, 144))
+    assert len(calls) < windows // 512 and max(calls) <= 512
+    assert found[::10] == [pii.tag([t], model)[0] for t in texts] and sum(map(len, found[::10])) > 300
+
+
+def test_grams_of_many_texts_are_counted_at_once(monkeypatch):
+    """A text must not cost a pass over all possible grams."""
+    table = folded()
+    syms = [table[np.frombuffer(f"ab 555-01{k:02d} cd {k}".encode("utf-32-le"), np.uint32)] for k in range(50)]
+    golds = [np.where((np.arange(len(s)) >= 3) & (np.arange(len(s)) < 11), 2 - (np.arange(len(s)) == 3), 0).astype(np.int8) for s in syms]
+    counts, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: counts.append(1) or bincount(*a, **k))
+    one = Screen(syms, golds)
+    assert len(counts) == 2
+    code, on = np.concatenate([Screen.grams(s) for s in syms]), np.concatenate(golds) > 0
+    inside, outside = (bincount(code[x], minlength=len(one.odds)).astype(np.float32) for x in (on, ~on))
+    assert (one.odds == np.log((inside + 0.05) / (outside + 0.5)).astype(np.float32)).all()
+    monkeypatch.setattr("sievelight.llm.tagger.COUNTED", 40)
+    parts = Screen(syms, golds)
+    assert len(counts) > 20 and (parts.odds == one.odds).all() and parts.least == one.least
+
+
+def test_flags_of_digits_and_names():
+    text = "McMolnoldi Molnoldi3 7 ４５６ XMolnoldi 123456789012345 COROLITH _Corolith_ corolith ² é"
+    want = np.zeros(len(text), np.uint8)
+    for value, flag in ((" Molnoldi", 1), ("3 7", 2), ("４５６", 6), ("123456789012345", 22), ("COROLITH", 1), ("_Corolith", 1)):
+        at = text.index(value)
+        want[at : at + len(value)] = flag
+    want[[k for k, c in enumerate(text) if c in " _"]] = 0
+    assert (pii.flags(text, {"molnoldi", "corolith"}) == want).all() and not len(pii.flags("", {"a"}))
