@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +15,13 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
+from ..runtime import materialize, tiling
+from . import sparse
 
 #: Rows of a side of a tile: a task holds two blocks of vectors and their products.
 TILE = 4096
+#: Of texts whose tokens are hashed, which are small: questions and texts of a tile at most, texts whose counts are held at once.
+HASHED_TILE, HELD = (65_536, 524_288), 16_384
 
 
 def unit(vec: Column, dim: int) -> Column:
@@ -133,3 +139,116 @@ def dense_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = C.HASH_D
     rows = df.select(F.col(id_col).alias("id"), tokens.alias("b"))
     rows = rows if every else rows.filter(F.size("b") > 0)
     return rows.mapInArrow(lambda it: _counted(it, dim), f"id {df.schema[id_col].dataType.simpleString()}, vec array<float>")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, tokens): the buckets of the tokens as bytes, and the sum of the squares of their counts."""
+    kind = np.dtype(np.min_scalar_type(dim - 1))
+    for batch in batches:
+        lists = batch.column(1)
+        words = lists.flatten().dictionary_encode()
+        bucket = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dim for w in words.dictionary.to_pylist()], kind)
+        b = bucket[words.indices.to_numpy()]
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        row = np.repeat(np.arange(len(batch)), np.diff(offsets))
+        squares = np.square(np.bincount(row * dim + b, minlength=len(batch) * dim).reshape(-1, dim)).sum(1)
+        made = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((offsets * kind.itemsize).astype(np.int32)), pa.py_buffer(b.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), made, pa.array(squares, pa.int64())], ["id", "b", "squares"])
+
+
+def nearest(asked: list[np.ndarray], texts: tuple[np.ndarray, np.ndarray], squares: np.ndarray, dim: int, k: int, held: int = HELD) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each question, buckets of tokens, the places and cosines of the k texts of the highest positive cosine to nine places; of equal ones those that come first.
+
+    texts: the buckets of all texts in a row, and where each begins and ends; squares: the sums of the squares of their counts.
+    Products of counts are whole numbers, added up bucket by bucket. Texts are met by length: from what the k best so far
+    have, it follows which product a text of the next ones must reach.
+    """
+    flat, offsets = texts
+    order = np.argsort(squares, kind="stable")
+    lengths = [math.sqrt(int(np.square(np.bincount(t)).sum())) for t in asked]
+    counts = [np.unique(t, return_counts=True) for t in asked]
+    least, size = [0.0] * len(asked), [0] * len(asked)
+    found: list[list] = [[] for _ in asked]
+
+    def merge(q: int) -> None:
+        at, cosine = (np.concatenate(x) for x in zip(*found[q]))
+        top = sparse.best(cosine, at, k, 9)
+        found[q], size[q] = [(at[top], cosine[top])], 0
+        if len(top) == k:
+            least[q] = float(np.round(cosine[top[-1]], 9))
+
+    for begin in range(0, len(order), held):
+        rows = order[begin : begin + held]
+        n = offsets[rows + 1] - offsets[rows]
+        token = np.arange(n.sum()) + np.repeat(offsets[rows] - np.cumsum(n) + n, n)
+        m = np.bincount(flat[token].astype(np.int64) * len(rows) + np.repeat(np.arange(len(rows)), n), minlength=dim * len(rows)).reshape(dim, len(rows))
+        m = m.astype(np.min_scalar_type(int(m.max(initial=0))))
+        most, norm = m.max(1).astype(np.int64), np.sqrt(squares[rows])
+        total, room = np.empty(len(rows), m.dtype), np.iinfo(m.dtype).max
+        for q, (bucket, count) in enumerate(counts):
+            bound = int(most[bucket] @ count)
+            need = max(1, math.ceil((least[q] - 1e-9) * lengths[q] * norm[0] - 1e-6))
+            if bound < need:
+                continue
+            if bound <= room and len(asked[q]) <= 64:
+                np.copyto(total, m[asked[q][0]])
+                for t in asked[q][1:]:
+                    np.add(total, m[t], out=total)
+                product = total
+            else:
+                product = count @ m[bucket].astype(np.int64)
+            hit = np.flatnonzero(product >= need)
+            cosine = product[hit] / (lengths[q] * norm[hit])
+            if least[q]:
+                near = cosine >= least[q] - 1e-9
+                hit, cosine = hit[near], cosine[near]
+            if len(hit):
+                found[q].append((rows[hit], cosine))
+                size[q] += len(hit)
+                if not least[q] or size[q] > 2 * k:
+                    merge(q)
+    for q in range(len(asked)):
+        if size[q]:
+            merge(q)
+    return [f[0] if f else (np.empty(0, np.int64), np.empty(0)) for f in found]
+
+
+def _hashed_tiles(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, side, id, b, squares) in the order of tile and id: the k best of side 1 for each of side 0 of a tile."""
+    kind = np.dtype(np.min_scalar_type(dim - 1))
+    held = list(batches)
+    rows = pa.Table.from_batches(held) if held else None
+    for tile in np.unique(rows.column("tile").to_numpy()) if rows is not None and len(rows) else []:
+        sides = []
+        for side in (0, 1):
+            of = rows.filter(pc.and_(pc.equal(rows.column("tile"), int(tile)), pc.equal(rows.column("side"), side))).combine_chunks()
+            b = pa.concat_arrays(of.column("b").chunks) if len(of) else pa.array([], pa.binary())
+            ends = np.frombuffer(b.buffers()[1], np.int32)[b.offset : b.offset + len(b) + 1].astype(np.int64) if len(b) else np.zeros(1, np.int64)
+            flat = np.frombuffer(b.buffers()[2], kind, ends[-1] // kind.itemsize) if len(b) else np.empty(0, kind)
+            sides.append((of.column("id"), (flat, ends // kind.itemsize), of.column("squares").to_numpy()))
+        (ids, (said, ends), _), (others, texts, squares) = sides
+        if not len(ids) or not len(others):
+            continue
+        got = nearest([said[a:b] for a, b in zip(ends, ends[1:])], texts, squares, dim, k)
+        row = np.repeat(np.arange(len(got)), [len(at) for at, _ in got])
+        at, cosine = (np.concatenate(x) for x in zip(*got))
+        out = ids.take(pa.array(row)), others.take(pa.array(at)), pa.array(cosine)
+        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out], ["id", "other", "cosine"])
+
+
+def hashed_top_k(queries: DataFrame, texts: DataFrame, k: int, dim: int = C.HASH_DIM, tile: tuple[int, int] = HASHED_TILE) -> DataFrame:
+    """(id, other, cosine, rank): exact k best of `texts` with a positive cosine by the hashing embedder for each of `queries`, both (id, tokens) with unique ids; ties go to the smaller id.
+
+    Only the k best of a tile leave it.
+    """
+    kind = queries.schema["id"].dataType.simpleString()
+    a, b = (materialize(d.select("id", "tokens").filter(F.size("tokens") > 0).mapInArrow(lambda it: _buckets(it, dim), f"id {kind}, b binary, squares bigint"), "buckets") for d in (queries, texts))
+    rows, columns = tiling(queries.sparkSession, a.count(), b.count(), *tile)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    dealt = []
+    for side, d, i, j in ((0, a, block(rows), F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))), (1, b, F.explode(F.sequence(F.lit(0), F.lit(rows - 1))), block(columns))):
+        dealt.append(d.select("*", i.alias("i"), j.alias("j")).select((F.col("i") * F.lit(columns) + F.col("j")).cast("int").alias("tile"), F.lit(side).alias("side"), "id", "b", "squares"))
+    both = dealt[0].unionByName(dealt[1]).repartitionById(rows * columns, F.col("tile")).sortWithinPartitions("tile", "id")
+    out = both.mapInArrow(lambda it: _hashed_tiles(it, dim, k), f"id {kind}, other {kind}, cosine double").withColumn("cosine", F.round("cosine", 9)).filter("cosine > 0")
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)

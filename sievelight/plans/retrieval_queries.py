@@ -380,10 +380,11 @@ def analysed(spark: SparkSession, sf: str) -> DataFrame:
 
 def fused(spark: SparkSession, sf: str, q: DataFrame) -> DataFrame:
     """The fused hits of every question, by BM25 and by the hashing embedder."""
-    texts = chunks(spark, sf)
-    found = sparse.search(sparse.stored(table(spark, sf, "retrieved_chunks"), texts, "chunk_idx", "chunk_text"), sparse.keyword_terms(q), 30)
-    near = dense.top_k(dense.dense_vectors(q, "query_id", "query"), dense.dense_vectors(texts.select(F.col("chunk_idx").cast("string").alias("chunk_idx"), "chunk_text"), "chunk_idx", "chunk_text"), C.HASH_DIM, 30)
-    near = near.filter("cosine > 0").select(F.col("id").alias("query_id"), F.col("other").cast("bigint").alias("id"), F.col("cosine").alias("score"), "rank")
+    index = sparse.stored(table(spark, sf, "retrieved_chunks"), chunks(spark, sf), "chunk_idx", "chunk_text")
+    found = sparse.search(index, sparse.keyword_terms(q), 30)
+    asked = q.select(F.col("query_id").alias("id"), T.index_tokens(F.col("query")).alias("tokens"))
+    near = dense.hashed_top_k(asked, index.tokens.withColumn("id", F.col("id").cast("string")), 30)
+    near = near.select(F.col("id").alias("query_id"), F.col("other").cast("bigint").alias("id"), F.col("cosine").alias("score"), "rank")
     return fusion.fuse(found, near, q).withColumnRenamed("id", "chunk_idx")
 
 

@@ -95,5 +95,13 @@ def fingerprint(df: DataFrame) -> str:
     return hashlib.sha256("\n".join(marks).encode()).hexdigest()[:24]
 
 
+def tiling(spark: SparkSession, left: int, right: int, most_left: int, most_right: int) -> tuple[int, int]:
+    """Numbers of blocks of two sides that meet in tiles: as many as their sizes ask for, and of the left side so many that all cores have one."""
+    rows, columns = max(1, -(-left // most_left)), max(1, -(-right // most_right))
+    while rows * columns < 2 * spark.sparkContext.defaultParallelism and left >= 128 * rows:
+        rows *= 2
+    return rows, columns
+
+
 def exists(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
